@@ -164,10 +164,13 @@ def geo_line_poly(t):
     return polygons.lines_meeting_polygons(t.segments, t.edges).select("line_id", "poly_id")
 
 
-@query(f"""WITH {SEG}, {_VERTEX_IN} SELECT line_id, poly_id FROM vin UNION
- SELECT s.line_id, e.poly_id FROM seg s JOIN fx_edges e ON {segment_segment_sq('s.', 'e.')} <= 2500.0 * 2500.0""")
+@query(f"""WITH {SEG}, e AS (SELECT * FROM fx_edges WHERE poly_id IN (SELECT poly_id FROM fx_blocks WHERE estimate IS NULL)),
+vin AS (SELECT v.line_id FROM fx_vertices v JOIN e ON ((e.y1 > v.y) <> (e.y2 > v.y))
+ AND v.x < e.x1 + (v.y - e.y1) * (e.x2 - e.x1) / NULLIF(e.y2 - e.y1, 0) GROUP BY v.line_id, v.seq, e.poly_id HAVING COUNT(*) % 2 = 1)
+SELECT line_id FROM vin UNION SELECT s.line_id FROM seg s JOIN e ON {segment_segment_sq('s.', 'e.')} <= 9000.0 * 9000.0""")
 def geo_line_near_poly(t):
-    return polygons.lines_meeting_polygons(t.segments, t.edges, 2500.0).select("line_id", "poly_id")
+    unknown = joins.semi(t.edges, t.blocks.where(F.col("estimate").isNull()), ["poly_id"])
+    return polygons.lines_near_polygons(t.segments, unknown, 9000.0)
 
 
 CLIP_SQL = f"""{SEG},
@@ -196,23 +199,23 @@ def _share_sql(r: str = "1609.0") -> str:
 full_area AS (SELECT poly_id, SUM(CASE WHEN ring = 0 THEN ABS(ra) ELSE -ABS(ra) END) AS area FROM ring GROUP BY 1),
 box AS (SELECT poly_id, MIN(x1) AS xlo, MAX(x1) AS xhi, MIN(y1) AS ylo, MAX(y1) AS yhi FROM fx_edges GROUP BY 1),
 rel AS (SELECT p.crossing_id, e.poly_id, SIGN(g.ra) * CASE WHEN e.ring = 0 THEN 1.0 ELSE -1.0 END AS w,
-  e.x1 - p.x AS ax, e.y1 - p.y AS ay, e.x2 - p.x AS bx, e.y2 - p.y AS by FROM fx_crossings p JOIN box b
+  e.x1 - p.x AS ax, e.y1 - p.y AS ay, e.x2 - p.x AS bx, e.y2 - p.y AS b_y FROM fx_crossings p JOIN box b
   ON p.x BETWEEN b.xlo - {r} AND b.xhi + {r} AND p.y BETWEEN b.ylo - {r} AND b.yhi + {r}
   JOIN fx_edges e ON e.poly_id = b.poly_id JOIN ring g ON g.poly_id = e.poly_id AND g.ring = e.ring),
-co AS (SELECT *, (bx - ax) ** 2 + (by - ay) ** 2 AS qa, ax * (bx - ax) + ay * (by - ay) AS qb, ax * ax + ay * ay - {r} * {r} AS qc FROM rel),
+co AS (SELECT *, (bx - ax) ** 2 + (b_y - ay) ** 2 AS qa, ax * (bx - ax) + ay * (b_y - ay) AS qb, ax * ax + ay * ay - {r} * {r} AS qc FROM rel),
 ro AS (SELECT *, sqrt(GREATEST(qb * qb - qa * qc, 0)) AS root FROM co),
 ts AS (SELECT *, LEAST(GREATEST((-qb - root) / qa, 0), 1) AS t1, LEAST(GREATEST((-qb + root) / qa, 0), 1) AS t2 FROM ro),
-pq AS (SELECT *, ax + t1 * (bx - ax) AS px, ay + t1 * (by - ay) AS py, ax + t2 * (bx - ax) AS qx, ay + t2 * (by - ay) AS qy FROM ts),
+pq AS (SELECT *, ax + t1 * (bx - ax) AS px, ay + t1 * (b_y - ay) AS py, ax + t2 * (bx - ax) AS qx, ay + t2 * (b_y - ay) AS qy FROM ts),
 shares AS (SELECT crossing_id, poly_id, SUM(w * ({r} * {r} / 2 * atan2(ax * py - ay * px, ax * px + ay * py) + (px * qy - py * qx) / 2
-  + {r} * {r} / 2 * atan2(qx * by - qy * bx, qx * bx + qy * by))) AS shared FROM pq GROUP BY 1, 2 HAVING shared > 1e-6),
+  + {r} * {r} / 2 * atan2(qx * b_y - qy * bx, qx * bx + qy * b_y))) AS shared FROM pq GROUP BY 1, 2 HAVING shared > 1e-2),
 density AS (SELECT s.crossing_id, CASE WHEN COUNT(b.estimate) = COUNT(*) THEN SUM(s.shared * b.estimate / f.area) END / (SUM(s.shared) / 2.59e6) AS density
  FROM shares s JOIN full_area f USING (poly_id) JOIN fx_blocks b USING (poly_id) GROUP BY 1)"""
 
 
-@query(f"WITH {_share_sql()} SELECT crossing_id, ROUND(density, 4) AS density FROM density")
+@query(f"WITH {_share_sql()} SELECT crossing_id, ROUND(density, 3) AS density FROM density")
 def geo_density(t):
     density = polygons.areal_density(shapes.locations(t.crossings), t.edges, t.blocks, RADIUS)
-    return rounded(match.attach(t.crossings.select("crossing_id", "x", "y"), density), 4, "density").select("crossing_id", "density")
+    return rounded(match.attach(t.crossings.select("crossing_id", "x", "y"), density), 3, "density").select("crossing_id", "density")
 
 
 _NEAR_COUNT = """near AS (SELECT a.crossing_id, COUNT(*) AS n_near FROM fx_crossings a JOIN fx_crossings b
@@ -220,15 +223,15 @@ _NEAR_COUNT = """near AS (SELECT a.crossing_id, COUNT(*) AS n_near FROM fx_cross
 
 
 def _density(t):
-    return rounded(reports.asset_density(t.crossings.select("crossing_id", "street", "x", "y"), t.edges, t.blocks, RADIUS), 4, "density")
+    return rounded(reports.asset_density(t.crossings.select("crossing_id", "street", "x", "y"), t.edges, t.blocks, RADIUS), 3, "density")
 
 
-@query(f"WITH {_share_sql()}, {_NEAR_COUNT} SELECT n.crossing_id, n.n_near, ROUND(d.density, 4) AS density FROM near n LEFT JOIN density d USING (crossing_id)")
+@query(f"WITH {_share_sql()}, {_NEAR_COUNT} SELECT n.crossing_id, n.n_near, ROUND(d.density, 3) AS density FROM near n LEFT JOIN density d USING (crossing_id)")
 def pipe_density(t):
     return _density(t).select("crossing_id", "n_near", "density")
 
 
-@query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT n.crossing_id, n.n_near, ROUND(d.density, 4) AS density FROM near n LEFT JOIN density d USING (crossing_id)),
+@query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT n.crossing_id, n.n_near, ROUND(d.density, 3) AS density FROM near n LEFT JOIN density d USING (crossing_id)),
 m AS (SELECT n_near, MIN(density) AS density FROM a GROUP BY 1)
 SELECT a.n_near, a.density, a.crossing_id, c.street FROM a JOIN m ON a.n_near = m.n_near AND a.density = m.density JOIN fx_crossings c ON c.crossing_id = a.crossing_id""")
 def pipe_density_sparsest(t):
@@ -275,10 +278,10 @@ def _inside_sql() -> str:
     """Length of each line piece inside each cell: the piece cut by the six side lines."""
     w = HEX_WIDTH
     turns = ", ".join(f"({math.cos(math.radians(60 * i))!r}::DOUBLE, {math.sin(math.radians(60 * i))!r}::DOUBLE)" for i in range(6))
-    return f"""half AS (SELECT p.rail_corridor, p.row, p.cell, p.x1, p.y1, p.x2, p.y2, u.nx * (p.x1 - p.hx) + u.ny * (p.y1 - p.hy) AS at, u.nx * (p.x2 - p.x1) + u.ny * (p.y2 - p.y1) AS slope
+    return f"""half AS (SELECT p.rail_corridor, p.row, p.cell, p.x1, p.y1, p.x2, p.y2, u.nx * (p.x1 - p.hx) + u.ny * (p.y1 - p.hy) AS ahead, u.nx * (p.x2 - p.x1) + u.ny * (p.y2 - p.y1) AS slope
  FROM pairs p CROSS JOIN (VALUES {turns}) AS u(nx, ny)),
-spans AS (SELECT rail_corridor, row, cell, x1, y1, x2, y2, GREATEST(0, MAX(CASE WHEN slope < 0 THEN ({w / 2} - at) / slope END)) AS t1,
- LEAST(1, MIN(CASE WHEN slope > 0 THEN ({w / 2} - at) / slope END)) AS t2, BOOL_OR(slope = 0 AND at > {w / 2}) AS outside FROM half GROUP BY ALL),
+spans AS (SELECT rail_corridor, row, cell, x1, y1, x2, y2, GREATEST(0, MAX(CASE WHEN slope < 0 THEN ({w / 2} - ahead) / slope END)) AS t1,
+ LEAST(1, MIN(CASE WHEN slope > 0 THEN ({w / 2} - ahead) / slope END)) AS t2, BOOL_OR(slope = 0 AND ahead > {w / 2}) AS outside FROM half GROUP BY ALL),
 inner_len AS (SELECT rail_corridor, row, cell, SUM(CASE WHEN outside THEN 0 ELSE GREATEST(t2 - t1, 0) * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) END) AS line_length FROM spans GROUP BY ALL)"""
 
 

@@ -108,7 +108,7 @@ FROM (SELECT s_suppkey AS poly_id, CAST((s_suppkey % 10) * 10000 + 3.5 AS DOUBLE
         CAST((s_suppkey - s_suppkey % 10) * 1000 + (s_suppkey % 10) * 1500 - 7500 + 3.5 AS DOUBLE) AS y0 FROM {supplier}) p
 {ring_edges}""",
     "fx_blocks": """
-SELECT s_suppkey AS poly_id, s_name AS name, CASE WHEN s_suppkey % 37 = 5 THEN NULL ELSE CAST(1000 + s_suppkey * 37 AS DOUBLE) END AS estimate FROM {supplier}""",
+SELECT s_suppkey AS poly_id, s_name AS name, CASE WHEN s_suppkey % 37 = 5 THEN NULL ELSE 1000 + s_suppkey * 37 + CAST(1 AS DOUBLE) / 7 END AS estimate FROM {supplier}""",
 }
 
 SOURCES = ("part", "lineitem", "supplier", "orders", "customer", "events")

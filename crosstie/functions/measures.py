@@ -28,7 +28,13 @@ def square_metres_to_square_miles(c: str | Column) -> Column:
 
 
 def half_even(c: str | Column, digits: int = 0) -> Column:
-    return F.bround(col(c), digits)
+    """Round to ``digits`` places, halves to even, on the binary value.
+
+    ``bround`` rounds the shortest decimal text of a double instead, so 1.275 (stored
+    slightly below) would become 1.28; the study's rounding gives 1.27.
+    """
+    scale = float(10 ** digits)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale) if digits else F.rint(col(c))
 
 
 def hour_24(hour: str | Column, ampm: str | Column) -> Column:

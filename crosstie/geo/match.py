@@ -8,29 +8,35 @@ input row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstie.geo.measure import point_segment_sq, segment_segment_sq
-from crosstie.geo.shapes import CELL, ENDS, cell_size, cover_segments, locations, with_cell
-from crosstie.operators.joins import HOT_ROWS, key_join, spread, spread_join
+from crosstie.geo.shapes import CELL, ENDS, MIN_CELL, cell_size, cover_segments, locations, with_cell
+from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
+
+
+def _around() -> Column:
+    """The nine cells of a 3 x 3 block as offsets."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
 def cell_join(left: DataFrame, right: DataFrame, exact: Column, how: str = "inner",
-              keys: Sequence[str] = CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Equi-join on grid keys with an exact residual test; crowded left keys are dealt out.
+              keys: Sequence[str] = CELL) -> DataFrame:
+    """Equi-join on grid keys with an exact residual test.
 
-    Apart from the keys the two sides must have different column names.
+    Apart from the keys the two sides must have different column names. Grid keys are
+    never grouping keys of the next step, so a crowded cell can be split by the
+    adaptive skew join: its output is shuffled again anyway.
     """
-    dealt, repeated = spread(left, right, keys, hot_rows)
-    renamed = {k: f"_r_{k}" for k in (*keys, "_salt")}
-    repeated = repeated.withColumnsRenamed(renamed)
+    renamed = {k: f"_r_{k}" for k in keys}
     cond = exact
     for k, r in renamed.items():
         cond = (F.col(k) == F.col(r)) & cond
-    return dealt.join(repeated, cond, how).drop("_salt", *renamed.values())
+    return left.join(right.withColumnsRenamed(renamed), cond, how).drop(*renamed.values())
 
 
 def attach(points: DataFrame, found: DataFrame, x: str = "x", y: str = "y", how: str = "inner",
@@ -40,18 +46,17 @@ def attach(points: DataFrame, found: DataFrame, x: str = "x", y: str = "y", how:
     return spread_join(points, found, [x, y], how, hot_rows)
 
 
-def _near(points: DataFrame, segments: DataFrame, distance: float, how: str, hot_rows: int) -> DataFrame:
+def _near(points: DataFrame, segments: DataFrame, distance: float, how: str) -> DataFrame:
     size = cell_size(distance)
     cover = cover_segments(segments, size, distance)
     sq = point_segment_sq("x", "y", *ENDS)
-    return cell_join(with_cell(points, size), cover, sq <= F.lit(float(distance) ** 2), how, hot_rows=hot_rows)
+    return cell_join(with_cell(points, size), cover, sq <= F.lit(float(distance) ** 2), how)
 
 
-def within_lines(points: DataFrame, segments: DataFrame, distance: float, x: str = "x", y: str = "y",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def within_lines(points: DataFrame, segments: DataFrame, distance: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points no farther than ``distance`` from any line (each kept once)."""
     renamed = points.withColumnsRenamed({x: "x", y: "y"}) if (x, y) != ("x", "y") else points
-    kept = _near(renamed, segments.select(*ENDS), distance, "left_semi", hot_rows).drop(*CELL)
+    kept = _near(renamed, segments.select(*ENDS), distance, "left_semi").drop(*CELL)
     return kept.withColumnsRenamed({"x": x, "y": y}) if (x, y) != ("x", "y") else kept
 
 
@@ -65,7 +70,7 @@ def nearest_line(points: DataFrame, segments: DataFrame, distance: float, attrib
     passes the filter has its nearest line among the candidates by construction.
     """
     rest = [a for a in attributes if a != line]
-    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner", hot_rows)
+    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner")
     sq = point_segment_sq("x", "y", *ENDS)
     best = cand.groupBy("x", "y").agg(F.min(F.struct(sq.alias("_sq"), line, *rest)).alias("_b"))
     out = [F.col(f"_b.{a}").alias(a) for a in attributes]
@@ -78,21 +83,49 @@ def join_within(points: DataFrame, segments: DataFrame, distance: float, attribu
                 line: str = "line_id", x: str = "x", y: str = "y", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per (point row, line within ``distance``)."""
     rest = [a for a in attributes if a != line]
-    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner", hot_rows)
+    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner")
     pairs = cand.select("x", "y", line, *rest).distinct().select("x", "y", *attributes)
     return attach(points, pairs, x, y, "inner", hot_rows)
 
 
+def segments_within(segments: DataFrame, keys: Sequence[str], others: DataFrame, distance: float,
+                    split: int = 8) -> DataFrame:
+    """Distinct ``keys`` of the segments that come within ``distance`` of any other segment.
+
+    Both sides are listed under fine cells and cell pairs are judged first. Where a pair
+    of cells is close enough as a whole, everything in the first cell is accepted without
+    looking at segments; only segments in the rim around the others are compared, and
+    only if their key was not accepted already. A segment lies within one cell of the
+    cells it is listed under, which the acceptance test allows for.
+    """
+    keys = list(keys)
+    fine = max(float(distance) / split, MIN_CELL / 2)
+    reach = float(distance) / fine
+    k = max(math.ceil(reach), 1)
+    mine = cover_segments(segments.select(*keys, *ENDS), fine)
+    theirs = cover_segments(others.select(*ENDS), fine).withColumnsRenamed({c: f"o_{c}" for c in ENDS})
+    block = {"bx": F.floor(F.col("cx") / F.lit(k)), "by": F.floor(F.col("cy") / F.lit(k))}
+    a = (mine.select(*CELL).distinct().withColumns(block).withColumn("_o", F.explode(_around()))
+         .withColumns({"bx": F.col("bx") + F.col("_o.i"), "by": F.col("by") + F.col("_o.j")}).drop("_o"))
+    b = theirs.select(*CELL).distinct().withColumns(block).withColumnsRenamed({"cx": "ox", "cy": "oy"})
+    di, dj = F.abs(F.col("ox") - F.col("cx")), F.abs(F.col("oy") - F.col("cy"))
+    gap_i, gap_j = F.greatest(di - 1, F.lit(0)), F.greatest(dj - 1, F.lit(0))
+    reach_sq = F.lit(reach * reach)
+    pairs = (a.join(b, ["bx", "by"]).where(gap_i * gap_i + gap_j * gap_j <= reach_sq)
+             .select(*CELL, "ox", "oy", ((di + 3) * (di + 3) + (dj + 3) * (dj + 3) <= reach_sq).alias("sure")))
+    accepted = pairs.where("sure").select(*CELL).distinct()
+    found = mine.join(accepted, list(CELL), "left_semi").select(*keys).distinct()
+    rim = key_join(mine, found, keys, "left_anti").join(pairs.where(~F.col("sure")).drop("sure"), list(CELL))
+    exact = segment_segment_sq(tuple(F.col(c) for c in ENDS), tuple(F.col(f"o_{c}") for c in ENDS))
+    rim = rim.drop(*CELL).withColumnsRenamed({"ox": "cx", "oy": "cy"})
+    close = cell_join(rim, theirs, exact <= F.lit(float(distance) ** 2), "left_semi").select(*keys)
+    return found.union(close).distinct()
+
+
 def lines_near_lines(lines: DataFrame, segments: DataFrame, others: DataFrame, distance: float,
-                     line: str = "line_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+                     line: str = "line_id") -> DataFrame:
     """Lines having a segment within ``distance`` of any segment of ``others``."""
-    size = cell_size(distance)
-    a = cover_segments(segments.select(line, *ENDS), size)
-    theirs = [f"o_{c}" for c in ENDS]
-    b = cover_segments(others.select(*ENDS).distinct(), size, distance).withColumnsRenamed(dict(zip(ENDS, theirs)))
-    exact = segment_segment_sq(tuple(F.col(c) for c in ENDS), tuple(F.col(c) for c in theirs))
-    near = cell_join(a, b, exact <= F.lit(float(distance) ** 2), "left_semi", hot_rows=hot_rows)
-    return key_join(lines, near.select(line).distinct(), [line], "left_semi")
+    return key_join(lines, segments_within(segments, [line], others, distance), [line], "left_semi")
 
 
 def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x: str = "x", y: str = "y",
@@ -115,8 +148,7 @@ def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x:
         F.sum("w").alias("n"), F.min("x").alias("xlo"), F.max("x").alias("xhi"),
         F.min("y").alias("ylo"), F.max("y").alias("yhi"))
     coarse = {"cx": F.floor(F.col("fx") / F.lit(split)), "cy": F.floor(F.col("fy") / F.lit(split))}
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = (cells.withColumns(coarse).withColumn("_o", F.explode(around))
+    a = (cells.withColumns(coarse).withColumn("_o", F.explode(_around()))
          .withColumns({"cx": F.col("cx") + F.col("_o.i"), "cy": F.col("cy") + F.col("_o.j")}).drop("_o", "n"))
     b = cells.withColumns(coarse).select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in cells.columns])
     gap_x = F.greatest(F.col("b_xlo") - F.col("xhi"), F.col("xlo") - F.col("b_xhi"), F.lit(0.0))
@@ -127,14 +159,14 @@ def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x:
              .withColumn("sure", far_x * far_x + far_y * far_y <= d2))
     whole = pairs.where("sure").groupBy("fx", "fy").agg(F.sum("b_n").alias("n_whole"))
     cut = pairs.where(~F.col("sure")).select("fx", "fy", "b_fx", "b_fy")
-    ours = spread_join(locs.select("x", "y", "fx", "fy"), cut, ["fx", "fy"], "inner", hot_rows).select(
+    ours = locs.select("x", "y", "fx", "fy").join(cut, ["fx", "fy"]).select(
         "x", "y", F.col("b_fx").alias("fx"), F.col("b_fy").alias("fy"))
     theirs = locs.select(F.col("x").alias("bx"), F.col("y").alias("by"), "w", "fx", "fy")
     gap = ((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx"))
            + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-    part = (cell_join(ours, theirs, gap <= d2, "inner", ("fx", "fy"), hot_rows)
+    part = (cell_join(ours, theirs, gap <= d2, "inner", ("fx", "fy"))
             .groupBy("x", "y").agg(F.sum("w").alias("n_part")))
-    counted = spread_join(locs.select("x", "y", "fx", "fy"), whole, ["fx", "fy"], "left", hot_rows)
-    counted = key_join(counted, part, ["x", "y"], "left").select(
+    counted = (locs.select("x", "y", "fx", "fy").join(whole, ["fx", "fy"], "left")
+               .join(part, ["x", "y"], "left")).select(
         "x", "y", (F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_part", F.lit(0))).alias(out))
     return attach(known, counted, x, y, "inner", hot_rows)

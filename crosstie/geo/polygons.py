@@ -8,51 +8,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstie.functions.measures import SQUARE_METRES_PER_SQUARE_MILE
 from crosstie.functions.nulls import ratio, strict_sum
-from crosstie.geo.match import attach, cell_join
-from crosstie.geo.measure import (
-    circle_edge_area, length, point_segment_sq, ring_term, segment_segment_sq, segments_cross,
-)
+from crosstie.geo.match import attach, cell_join, segments_within
+from crosstie.geo.measure import circle_edge_area, length, point_segment_sq, ring_term, segments_cross
 from crosstie.geo.shapes import (
-    CELL, ENDS, boxes, cell_of, cell_size, cover_box, cover_segments, cut_to_length, locations, with_cell,
+    ENDS, boxes, cell_of, cover_box, cover_segments, cut_to_length, locations, with_cell,
 )
 from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
 
 POLYGON_CELL = 2000.0
 TOUCH = 1e-6  # metres within which a point counts as lying on an edge
+SLIVER = 1e-2  # square metres; smaller shares are rounding noise of the closed form
+
 
+def _inside(cand: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
+    """Rows of ``cand`` (``x, y``, the polygon key, any others) whose position is in or on the polygon.
 
-def locate(locs: DataFrame, edges: DataFrame, poly: str = "poly_id", size: float = POLYGON_CELL,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+    A row meets only those edges of its polygon that lie in its horizontal band; the
+    parity of edges to its right decides. Holes need no special case.
+    """
+    lo, hi = F.least("y1", "y2") - TOUCH, F.greatest("y1", "y2") + TOUCH
+    ends = [f"e_{c}" for c in ENDS]
+    bands = (edges.select(poly, *ENDS, F.explode(F.sequence(cell_of(lo, size), cell_of(hi, size))).alias("band"))
+             .withColumnsRenamed(dict(zip(ENDS, ends))))
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    x, y = F.col("x"), F.col("y")
+    in_reach = y.between(F.least(y1, y2) - TOUCH, F.greatest(y1, y2) + TOUCH)
+    met = cell_join(cand.withColumn("band", cell_of("y", size)), bands, in_reach, "inner", (poly, "band"))
+    at = x1 + F.try_divide((y - y1) * (x2 - x1), y2 - y1)
+    touches = point_segment_sq("x", "y", *ends) <= F.lit(TOUCH * TOUCH)
+    return (met.groupBy(*cand.columns)
+            .agg(F.count_if(((y1 > y) != (y2 > y)) & (x < at)).alias("_c"), F.bool_or(touches).alias("_t"))
+            .where((F.col("_c") % 2 == 1) | F.col("_t")).select(*cand.columns))
+
+
+def locate(locs: DataFrame, edges: DataFrame, poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
     """``(x, y, poly)`` for every position in or on a polygon.
 
-    Candidates come from the grid cells of the bounding boxes; each candidate then
-    meets only those edges of its polygon that lie in the same horizontal band, and
-    the parity of edges to its right decides. Holes need no special case.
+    Candidates come from the grid cells of the polygons' bounding boxes.
     """
     box = cover_box(boxes(edges, [poly]), "xlo", "ylo", "xhi", "yhi", size)
     inside_box = (F.col("x").between(F.col("xlo"), F.col("xhi")) & F.col("y").between(F.col("ylo"), F.col("yhi")))
-    cand = cell_join(with_cell(locs, size), box, inside_box, hot_rows=hot_rows).select("x", "y", "cy", poly)
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    bands = edges.select(poly, *ENDS, F.explode(F.sequence(cell_of(lo - TOUCH, size), cell_of(hi + TOUCH, size))).alias("cy"))
-    in_reach = F.col("y").between(lo - TOUCH, hi + TOUCH)
-    met = cell_join(cand, bands, in_reach, "inner", (poly, "cy"), hot_rows)
-    straddles = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = F.col("x1") + F.try_divide((F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
-    touches = point_segment_sq("x", "y", *ENDS) <= F.lit(TOUCH * TOUCH)
-    return (met.groupBy("x", "y", poly)
-            .agg(F.count_if(straddles & (F.col("x") < at)).alias("_c"), F.bool_or(touches).alias("_t"))
-            .where((F.col("_c") % 2 == 1) | F.col("_t")).select("x", "y", poly))
+    cand = cell_join(with_cell(locs.select("x", "y"), size), box, inside_box).select("x", "y", poly)
+    return _inside(cand, edges, poly, size)
 
 
 def join_polygons(points: DataFrame, edges: DataFrame, poly: str = "poly_id", x: str = "x", y: str = "y",
                   size: float = POLYGON_CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per (point row, polygon holding it)."""
-    return attach(points, locate(locations(points, x, y), edges, poly, size, hot_rows), x, y, "inner", hot_rows)
+    return attach(points, locate(locations(points, x, y), edges, poly, size), x, y, "inner", hot_rows)
 
 
 def polygons_with_points(polygons: DataFrame, edges: DataFrame, points: DataFrame, poly: str = "poly_id",
@@ -62,13 +70,12 @@ def polygons_with_points(polygons: DataFrame, edges: DataFrame, points: DataFram
 
 
 def polygons_near_points(polygons: DataFrame, edges: DataFrame, points: DataFrame, distance: float,
-                         poly: str = "poly_id", size: float = POLYGON_CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
+                         poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
     """Polygons holding a point or having one within ``distance`` of an edge."""
     locs = locations(points)
-    grid = cell_size(distance)
-    near = cell_join(cover_segments(edges.select(poly, *ENDS), grid, distance), with_cell(locs, grid),
-                     point_segment_sq("x", "y", *ENDS) <= F.lit(float(distance) ** 2), "left_semi", hot_rows=hot_rows)
-    hit = near.select(poly).union(locate(locs, edges, poly, size, hot_rows).select(poly)).distinct()
+    dots = locs.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = segments_within(edges, [poly], dots, distance)
+    hit = near.union(locate(locs, edges, poly, size).select(poly)).distinct()
     return key_join(polygons, hit, [poly], "left_semi")
 
 
@@ -91,7 +98,7 @@ def _oriented(edges: DataFrame, poly: str) -> DataFrame:
     """Edges with weight +1/-1 that makes outer rings count positive and holes negative."""
     keys = _ring_keys(edges, poly)
     sign = F.signum("ring_area") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
-    return spread_join(edges, ring_areas(edges, poly).withColumn("_w", sign).drop("ring_area"), keys, "inner")
+    return edges.join(ring_areas(edges, poly).withColumn("_w", sign).drop("ring_area"), keys)
 
 
 def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str = "poly_id",
@@ -101,12 +108,14 @@ def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str =
     box = cover_box(boxes(edges, [poly]), "xlo", "ylo", "xhi", "yhi", grid, radius)
     r = F.lit(float(radius))
     close = (F.col("x").between(F.col("xlo") - r, F.col("xhi") + r) & F.col("y").between(F.col("ylo") - r, F.col("yhi") + r))
-    cand = cell_join(with_cell(locs, grid), box, close, hot_rows=hot_rows).select("x", "y", poly)
+    cand = cell_join(with_cell(locs, grid), box, close).select("x", "y", poly)
     oriented = _oriented(edges, poly).select(poly, "_w", *ENDS)
+    # The next grouping contains the join key, which stops the adaptive skew join from
+    # splitting a polygon that holds most positions; its positions are dealt out here.
     met = spread_join(cand, oriented, [poly], "inner", hot_rows)
     part = F.col("_w") * circle_edge_area("x", "y", float(radius), *ENDS)
     shared = met.groupBy("x", "y", poly).agg(F.sum(part).alias("shared"))
-    return shared.where(F.col("shared") > 1e-6)
+    return shared.where(F.col("shared") > SLIVER)
 
 
 def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius: float, estimate: str = "estimate",
@@ -123,10 +132,6 @@ def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius:
         ratio(strict_sum(people), F.sum("shared") / F.lit(SQUARE_METRES_PER_SQUARE_MILE)).alias(out))
 
 
-def _prefixed(edges: DataFrame, poly: str) -> DataFrame:
-    return edges.select(poly, *[F.col(c).alias(f"e_{c}") for c in ENDS])
-
-
 def _seg() -> tuple:
     return tuple(F.col(c) for c in ENDS)
 
@@ -135,69 +140,68 @@ def _edge() -> tuple:
     return tuple(F.col(f"e_{c}") for c in ENDS)
 
 
-def _covered_edges(edges: DataFrame, poly: str, size: float, grow: float = 0.0) -> DataFrame:
-    covered = cover_segments(edges.select(poly, *ENDS), size, grow)
+def _covered_edges(edges: DataFrame, poly: str, size: float) -> DataFrame:
+    covered = cover_segments(edges.select(poly, *ENDS), size)
     return covered.withColumnsRenamed({c: f"e_{c}" for c in ENDS})
 
 
-def _segment_ends(segments: DataFrame) -> DataFrame:
+def _vertices(segments: DataFrame, line: str) -> DataFrame:
     ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")),
                    F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    return segments.select(F.inline(ends)).distinct()
+    return segments.select(line, F.inline(ends))
 
 
-def lines_meeting_polygons(segments: DataFrame, edges: DataFrame, distance: float = 0.0, line: str = "line_id",
-                           poly: str = "poly_id", size: float = POLYGON_CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(line, poly)`` pairs that intersect, or come within ``distance`` if it is positive.
+def lines_meeting_polygons(segments: DataFrame, edges: DataFrame, line: str = "line_id", poly: str = "poly_id",
+                           size: float = POLYGON_CELL) -> DataFrame:
+    """``(line, poly)`` pairs that intersect.
 
-    A pair meets when a segment crosses (or comes near) an edge, or when a vertex lies
-    inside: a line that crosses no edge is inside or outside as a whole.
+    A pair meets when a segment crosses an edge, or when a vertex lies inside: a line
+    that crosses no edge is inside or outside as a whole.
     """
-    grid = max(size, float(distance))
     segs = segments.select(line, *ENDS)
-    hit = (segment_segment_sq(_seg(), _edge()) <= F.lit(float(distance) ** 2)) if distance > 0 else segments_cross(_seg(), _edge())
-    by_edge = cell_join(cover_segments(segs, grid), _covered_edges(edges, poly, grid, distance), hit, hot_rows=hot_rows)
-    held = locate(_segment_ends(segs), edges, poly, size, hot_rows)
-    starts = segs.select(line, F.inline(F.array(
-        F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))))
-    by_vertex = spread_join(starts, held, ["x", "y"], "inner", hot_rows)
+    by_edge = cell_join(cover_segments(segs, size), _covered_edges(edges, poly, size), segments_cross(_seg(), _edge()))
+    starts = _vertices(segs, line)
+    by_vertex = starts.join(locate(locations(starts), edges, poly, size), ["x", "y"])
     return by_edge.select(line, poly).union(by_vertex.select(line, poly)).distinct()
 
 
+def lines_near_polygons(segments: DataFrame, edges: DataFrame, distance: float, line: str = "line_id",
+                        poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
+    """Distinct lines that come within ``distance`` of any polygon or lie inside one."""
+    near = segments_within(segments, [line], edges, distance)
+    starts = key_join(_vertices(segments, line), near, [line], "left_anti")
+    inner = starts.join(locate(locations(starts), edges, poly, size), ["x", "y"], "left_semi").select(line)
+    return near.union(inner.distinct())
+
+
 def clip_lines(segments: DataFrame, edges: DataFrame, keys: Sequence[str] = ("line_id", "seq"),
-               poly: str = "poly_id", size: float = POLYGON_CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Parts of the segments inside each polygon, as ``keys, poly, piece, x1..y2``.
+               poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
+    """Parts of the segments inside each polygon, as ``keys, piece, poly, x1..y2``.
 
-    Segments are cut to cell length first, so one piece meets few edges. Where a piece
-    crosses edges of a polygon it is cut at the crossings and the parts whose midpoint
-    is inside are kept; a piece that crosses none is kept or dropped as a whole.
+    Segments are cut to cell length first, so one piece meets few edges and its
+    crossings with one polygon fit in one array. A crossing piece is cut there and the
+    parts whose midpoint is inside are kept; a piece that crosses no edge of a polygon
+    is kept or dropped as a whole.
     """
     pieces = cut_to_length(segments.select(*keys, *ENDS), size)
     ids = [*keys, "piece"]
     s, e = _seg(), _edge()
     dx, dy, ex, ey = s[2] - s[0], s[3] - s[1], e[2] - e[0], e[3] - e[1]
-    det = dx * ey - dy * ex
-    t = F.try_divide((e[0] - s[0]) * ey - (e[1] - s[1]) * ex, det)
-    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), segments_cross(s, e), hot_rows=hot_rows)
-            .select(*ids, poly, *ENDS, t.alias("t")).distinct())
-    stops = cuts.select(*ids, poly, *ENDS, "t").union(
-        cuts.select(*ids, poly, *ENDS).distinct().select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")))
-    order = Window.partitionBy(*ids, poly, *ENDS).orderBy("t")
-    spans = stops.withColumn("t2", F.lead("t").over(order)).where(F.col("t2") > F.col("t"))
-    mid = (F.col("t") + F.col("t2")) / 2
-    cut_parts = spans.select(
-        *ids, poly, *ENDS, "t", "t2",
-        (s[0] + dx * mid).alias("x"), (s[1] + dy * mid).alias("y"))
-    whole = pieces.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2})
-    held = locate(locations(cut_parts.select("x", "y").union(whole.select("x", "y"))), edges, poly, size, hot_rows)
-    kept_cut = key_join(cut_parts, held, ["x", "y", poly], "left_semi").select(
-        *ids, poly,
-        (s[0] + dx * F.col("t")).alias("x1"), (s[1] + dy * F.col("t")).alias("y1"),
-        (s[0] + dx * F.col("t2")).alias("x2"), (s[1] + dy * F.col("t2")).alias("y2"))
-    kept_whole = key_join(
-        spread_join(whole, held, ["x", "y"], "inner", hot_rows),
-        cuts.select(*ids, poly).distinct(), [*ids, poly], "left_anti").select(*ids, poly, *ENDS)
-    return kept_cut.unionByName(kept_whole)
+    t = F.try_divide((e[0] - s[0]) * ey - (e[1] - s[1]) * ex, dx * ey - dy * ex)
+    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), segments_cross(s, e))
+            .groupBy(*ids, poly, *ENDS).agg(F.collect_set(t).alias("ts")))
+    stops = F.array_sort(F.array_union(F.col("ts"), F.array(F.lit(0.0), F.lit(1.0))))
+    spans = cuts.withColumn("ts", stops).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("ts") - 1)))
+    a, b = F.get("ts", F.col("_i") - 1), F.get("ts", F.col("_i"))
+    spans = spans.where(b > a).select(*ids, poly, (s[0] + dx * a).alias("x1"), (s[1] + dy * a).alias("y1"),
+                                      (s[0] + dx * b).alias("x2"), (s[1] + dy * b).alias("y2"))
+    middle = {"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}
+    kept_cut = _inside(spans.withColumns(middle), edges, poly, size)
+    whole = pieces.withColumns(middle)
+    held = whole.join(locate(locations(whole), edges, poly, size), ["x", "y"])
+    kept_whole = held.join(cuts.select(*ids, poly), [*ids, poly], "left_anti")
+    columns = [*ids, poly, *ENDS]
+    return kept_cut.select(*columns).unionByName(kept_whole.select(*columns))
 
 
 def clipped_lengths(clipped: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from crosstie.functions import rules
 from crosstie.functions.nulls import not_in_keep_null, paste
 from crosstie.functions.text import title_case
 from crosstie.geo.match import join_within, lines_near_lines, nearest_line, within_lines
-from crosstie.geo.polygons import clip_lines, lines_meeting_polygons
+from crosstie.geo.polygons import clip_lines, lines_near_polygons
 from crosstie.geo.project import TM_92W30, unproject
 from crosstie.geo.shapes import dissolve
 from crosstie.operators.joins import anti, key_join, semi
@@ -172,7 +172,7 @@ def context_network(segments: DataFrame, lines: DataFrame, edges: DataFrame,
     """Lines in service near the area, merged into one set of segments."""
     open_lines = lines.where(not_in_keep_null("net", OUT_OF_SERVICE_CLASSES))
     rail = semi(segments, open_lines, ["line_id"])
-    near = lines_meeting_polygons(rail, edges, distance).select("line_id").distinct()
+    near = lines_near_polygons(rail, edges, distance)
     return dissolve(semi(rail, near, ["line_id"]))
 
 
