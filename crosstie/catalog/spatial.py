@@ -123,7 +123,7 @@ SELECT rail_corridor, COUNT(*) AS n_segments, ROUND(SUM(sqrt((x2 - x1) ** 2 + (y
 def geo_dissolve(t):
     merged = shapes.dissolve(rail(t), ["rail_corridor"])
     return rounded(merged.groupBy("rail_corridor").agg(F.count(F.lit(1)).alias("n_segments"),
-                                                       F.sum(length("x1", "y1", "x2", "y2")).alias("length")), 3, "length")
+                                                       F.expr(f"sum({length()}) AS length")), 3, "length")
 
 
 # Polygons -------------------------------------------------------------------
@@ -212,10 +212,11 @@ density AS (SELECT s.crossing_id, CASE WHEN COUNT(b.estimate) = COUNT(*) THEN SU
  FROM shares s JOIN full_area f USING (poly_id) JOIN fx_blocks b USING (poly_id) GROUP BY 1)"""
 
 
-@query(f"WITH {_share_sql()} SELECT crossing_id, ROUND(density, 3) AS density FROM density")
+@query(f"WITH {_share_sql()} SELECT crossing_id, ROUND(density / 7, 5) AS density FROM density")
 def geo_density(t):
     density = polygons.areal_density(shapes.locations(t.crossings), t.edges, t.blocks, RADIUS)
-    return rounded(match.attach(t.crossings.select("crossing_id", "x", "y"), density), 3, "density").select("crossing_id", "density")
+    out = match.attach(t.crossings.select("crossing_id", "x", "y"), density)
+    return out.select("crossing_id", F.round(F.col("density") / 7, 5).alias("density"))
 
 
 _NEAR_COUNT = """near AS (SELECT a.crossing_id, COUNT(*) AS n_near FROM fx_crossings a JOIN fx_crossings b
@@ -223,15 +224,16 @@ _NEAR_COUNT = """near AS (SELECT a.crossing_id, COUNT(*) AS n_near FROM fx_cross
 
 
 def _density(t):
-    return rounded(reports.asset_density(t.crossings.select("crossing_id", "street", "x", "y"), t.edges, t.blocks, RADIUS), 3, "density")
+    out = reports.asset_density(t.crossings.select("crossing_id", "street", "x", "y"), t.edges, t.blocks, RADIUS)
+    return out.withColumn("density", F.round(F.col("density") / 7, 5))
 
 
-@query(f"WITH {_share_sql()}, {_NEAR_COUNT} SELECT n.crossing_id, n.n_near, ROUND(d.density, 3) AS density FROM near n LEFT JOIN density d USING (crossing_id)")
+@query(f"WITH {_share_sql()}, {_NEAR_COUNT} SELECT n.crossing_id, n.n_near, ROUND(d.density / 7, 5) AS density FROM near n LEFT JOIN density d USING (crossing_id)")
 def pipe_density(t):
     return _density(t).select("crossing_id", "n_near", "density")
 
 
-@query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT n.crossing_id, n.n_near, ROUND(d.density, 3) AS density FROM near n LEFT JOIN density d USING (crossing_id)),
+@query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT n.crossing_id, n.n_near, ROUND(d.density / 7, 5) AS density FROM near n LEFT JOIN density d USING (crossing_id)),
 m AS (SELECT n_near, MIN(density) AS density FROM a GROUP BY 1)
 SELECT a.n_near, a.density, a.crossing_id, c.street FROM a JOIN m ON a.n_near = m.n_near AND a.density = m.density JOIN fx_crossings c ON c.crossing_id = a.crossing_id""")
 def pipe_density_sparsest(t):
@@ -293,7 +295,7 @@ HEX_CUT_SQL = (f"WITH {_hex_sql()}, {_inside_sql()} SELECT h.rail_corridor, h.ro
 def geo_hex_cut(t):
     lines = rail(t).where(F.col("rail_corridor").isNotNull())
     cells = hexgrid.hex_cells(lines, HEX_REACH, HEX_WIDTH, ["rail_corridor"])
-    cut = hexgrid.mark_cut_cells(cells, lines, 20.0, HEX_WIDTH, ["rail_corridor"])
+    cut = hexgrid.mark_cut_cells(cells, lines, 20.0, HEX_REACH, HEX_WIDTH, ["rail_corridor"])
     return rounded(cut, 3, "line_length").select("rail_corridor", "row", "cell", "line_length", "is_cut")
 
 
@@ -374,7 +376,7 @@ SELECT COUNT(*) AS n_segments, ROUND(SUM(sqrt((s.x2 - s.x1) ** 2 + (s.y2 - s.y1)
  WHERE (l.net IS NULL OR l.net NOT IN {in_list(OUT_CLASSES)}) AND s.line_id IN (SELECT line_id FROM m)""")
 def pipe_rail_context(t):
     merged = asset_plans.context_network(t.segments, t.lines, t.edges)
-    return rounded(merged.agg(F.count(F.lit(1)).alias("n_segments"), F.sum(length("x1", "y1", "x2", "y2")).alias("length")), 3, "length")
+    return rounded(merged.agg(F.count(F.lit(1)).alias("n_segments"), F.expr(f"sum({length()}) AS length")), 3, "length")
 
 
 @query(f"""WITH {RAIL}, main AS (SELECT * FROM rail WHERE rail_corridor = 'River'),

@@ -46,8 +46,9 @@ def to_number(c: str | Column) -> Column:
     Java's parser accepts a trailing ``d`` or ``f`` type suffix, which is not a
     number in a data file, so such text is refused before the cast.
     """
-    text = col(c).cast("string")
-    return F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
+    text = F.rtrim(col(c).cast("string"))
+    suffixed = text.endswith("d") | text.endswith("f") | text.endswith("D") | text.endswith("F")
+    return F.when(~suffixed, text.try_cast("double"))
 
 
 def to_integer(c: str | Column) -> Column:

@@ -11,11 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.geo.measure import clamp01, point_segment_sq, segment_segment_sq
-from crosstie.geo.shapes import ENDS, boxes, cut_to_length
+from crosstie.geo.measure import ENDS, length, num, point_segment_sq, segment_segment_sq
+from crosstie.geo.shapes import boxes, cut_to_length
 from crosstie.operators.joins import key_join
 
 # Corner directions of a pointy-topped hexagon, counter-clockwise, for unit circumradius.
@@ -26,83 +26,81 @@ def _row_height(width: float) -> float:
     return width * math.sqrt(3.0) / 2.0
 
 
-def centre(width: float, row: Column, cell: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
-    shift = F.when(F.pmod(row, F.lit(2)) == 1, F.lit(width / 2)).otherwise(F.lit(0.0))
-    return x0 + cell * F.lit(width) + shift, y0 + row * F.lit(_row_height(width))
-
-
-def _hex_distance_sq(hx: Column, hy: Column, width: float) -> Column:
-    """Squared distance from a segment to the hexagon's outline (0 where they cross)."""
+def _hex_distance_sq(width: float) -> str:
+    """Squared distance from the segment to the outline of the hexagon at (hx, hy); 0 where they cross."""
     radius = width / math.sqrt(3.0)
-    corners = [(hx + F.lit(radius * c), hy + F.lit(radius * s)) for c, s in _CORNERS]
-    seg = tuple(F.col(c) for c in ENDS)
-    sides = F.array(*[
-        F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))
-        for a, b in zip(corners, corners[1:] + corners[:1])])
-    gaps = F.transform(sides, lambda e: segment_segment_sq((e["ax"], e["ay"], e["bx"], e["by"]), seg))
-    return F.array_min(gaps)
+    corners = [(f"hx + {num(radius * c)}", f"hy + {num(radius * s)}") for c, s in _CORNERS]
+    sides = ", ".join(f"struct({a[0]} AS ax, {a[1]} AS ay, {b[0]} AS bx, {b[1]} AS by)"
+                      for a, b in zip(corners, corners[1:] + corners[:1]))
+    gap = segment_segment_sq(("e.ax", "e.ay", "e.bx", "e.by"), ENDS)
+    return f"array_min(transform(array({sides}), e -> {gap}))"
 
 
 def _lattice_near(segments: DataFrame, origin: DataFrame, keys: Sequence[str], reach: float, width: float) -> DataFrame:
     """Pieces of the segments with every lattice cell whose centre may lie within ``reach``."""
-    pieces = key_join(cut_to_length(segments, width).drop("piece"), origin, keys, "inner")
-    r, h = F.lit(float(reach)), F.lit(_row_height(width))
-    rows = F.sequence(F.floor((F.least("y1", "y2") - r - F.col("y0")) / h),
-                      F.ceil((F.greatest("y1", "y2") + r - F.col("y0")) / h))
-    cols = F.sequence(F.floor((F.least("x1", "x2") - r - F.col("x0")) / F.lit(width)) - 1,
-                      F.ceil((F.greatest("x1", "x2") + r - F.col("x0")) / F.lit(width)))
-    hx, hy = centre(width, F.col("row"), F.col("cell"), F.col("x0"), F.col("y0"))
-    lattice = pieces.withColumn("row", F.explode(rows)).withColumn("cell", F.explode(cols))
-    return (lattice.withColumns({"hx": hx, "hy": hy})
-            .where(point_segment_sq("hx", "hy", *ENDS) <= r * r))
+    pieces = cut_to_length(segments, width).drop("piece").join(origin, list(keys))
+    r, w, h = num(reach), num(width), num(_row_height(width))
+    return (pieces
+            .selectExpr("*", f"explode(sequence(floor((least(y1, y2) - {r} - y0) / {h}), ceil((greatest(y1, y2) + {r} - y0) / {h}))) AS row")
+            .selectExpr("*", f"explode(sequence(floor((least(x1, x2) - {r} - x0) / {w}) - 1, ceil((greatest(x1, x2) + {r} - x0) / {w}))) AS cell")
+            .selectExpr("*", f"x0 + cell * {w} + IF(pmod(row, 2) = 1, {num(width / 2)}, 0D) AS hx", f"y0 + row * {h} AS hy")
+            .where(f"{point_segment_sq('hx', 'hy')} <= {num(reach ** 2)}"))
+
+
+def _grouped(segments: DataFrame, distance: float, groups: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Segments, lattice origin per group, and the group keys (one constant key without groups)."""
+    keys = list(groups) or ["_all"]
+    work = segments.select(*groups, *ENDS) if groups else segments.selectExpr("0 AS _all", *ENDS)
+    origin = boxes(work, keys).selectExpr(*keys, f"xlo - {num(distance)} AS x0", f"ylo - {num(distance)} AS y0")
+    return work, origin, keys
 
 
 def hex_cells(segments: DataFrame, distance: float, width: float, groups: Sequence[str] = ()) -> DataFrame:
-    """Cells within ``distance`` of the lines: ``groups, row, cell, hx, hy, x0, y0``; one row per cell.
+    """Cells within ``distance`` of the lines: ``groups, row, cell, hx, hy``; one row per cell.
 
     A cell is in when its centre is closer than ``distance`` plus the inner radius, out
     beyond ``distance`` plus the outer radius, and only in between is the hexagon tested
     side by side.
     """
-    keys = list(groups) or ["_all"]
-    work = segments.select(*groups, *ENDS) if groups else segments.select(F.lit(0).alias("_all"), *ENDS)
-    origin = boxes(work, keys).select(
-        *keys, (F.col("xlo") - F.lit(distance)).alias("x0"), (F.col("ylo") - F.lit(distance)).alias("y0"))
+    work, origin, keys = _grouped(segments, distance, groups)
     lattice = _lattice_near(work, origin, keys, distance + width / math.sqrt(3.0), width)
-    sure = point_segment_sq("hx", "hy", *ENDS) <= F.lit((distance + width / 2) ** 2)
-    near = lattice.where(F.when(sure, F.lit(True)).otherwise(
-        _hex_distance_sq(F.col("hx"), F.col("hy"), width) <= F.lit(float(distance) ** 2)))
-    return near.select(*groups, "row", "cell", "hx", "hy", "x0", "y0").distinct()
-
-
-def _length_inside(hx: Column, hy: Column, width: float, x1, y1, x2, y2) -> Column:
-    """Length of the segment inside the hexagon: the segment cut by the six side lines."""
-    x1, y1, x2, y2 = x1 - hx, y1 - hy, x2 - hx, y2 - hy
-    dx, dy = x2 - x1, y2 - y1
-    enter, leave, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
-    for angle in range(0, 360, 60):
-        nx, ny = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-        at, slope = nx * x1 + ny * y1, nx * dx + ny * dy
-        t = F.try_divide(F.lit(width / 2) - at, slope)
-        enter = F.greatest(enter, F.when(slope < 0, t))
-        leave = F.least(leave, F.when(slope > 0, t))
-        outside = outside | ((slope == 0) & (at > width / 2))
-    return F.when(outside, F.lit(0.0)).otherwise(
-        F.greatest(clamp01(leave) - clamp01(enter), F.lit(0.0)) * F.sqrt(dx * dx + dy * dy))
-
-
-def mark_cut_cells(cells: DataFrame, segments: DataFrame, strip: float, width: float,
+    sure = f"{point_segment_sq('hx', 'hy')} <= {num((distance + width / 2) ** 2)}"
+    near = lattice.where(f"CASE WHEN {sure} THEN true ELSE {_hex_distance_sq(width)} <= {num(distance ** 2)} END")
+    return near.select(*groups, "row", "cell", "hx", "hy").distinct()
+
+
+def _inside_steps(width: float) -> tuple[dict[str, str], str]:
+    """Length of the segment inside the hexagon at (hx, hy): the segment cut by the six side lines.
+
+    Returned are the helper columns (position and slope against each side) and the length.
+    """
+    half = num(width / 2)
+    cols, enter, leave, outside = {}, ["0D"], ["1D"], []
+    for i in range(6):
+        nx, ny = num(math.cos(math.radians(60 * i))), num(math.sin(math.radians(60 * i)))
+        cols[f"_at{i}"] = f"{nx} * (x1 - hx) + {ny} * (y1 - hy)"
+        cols[f"_sl{i}"] = f"{nx} * (x2 - x1) + {ny} * (y2 - y1)"
+        t = f"try_divide({half} - _at{i}, _sl{i})"
+        enter.append(f"CASE WHEN _sl{i} < 0 THEN {t} END")
+        leave.append(f"CASE WHEN _sl{i} > 0 THEN {t} END")
+        outside.append(f"(_sl{i} = 0 AND _at{i} > {half})")
+    inside = f"greatest(least({', '.join(leave)}) - greatest({', '.join(enter)}), 0D) * {length()}"
+    return cols, f"CASE WHEN {' OR '.join(outside)} THEN 0D ELSE {inside} END"
+
+
+def mark_cut_cells(cells: DataFrame, segments: DataFrame, strip: float, distance: float, width: float,
                    groups: Sequence[str] = ()) -> DataFrame:
-    """Add ``is_cut`` (line within ``strip`` of the cell) and ``line_length`` inside the cell."""
-    keys = list(groups) or ["_all"]
-    work = segments.select(*groups, *ENDS)
+    """Add ``is_cut`` (line within ``strip`` of the cell) and ``line_length`` inside the cell.
+
+    ``distance``, ``width`` and ``groups`` are those the cells were made with.
+    """
+    work, origin, keys = _grouped(segments, distance, groups)
     if not groups:
-        work, cells = work.withColumn("_all", F.lit(0)), cells.withColumn("_all", F.lit(0))
-    origin = cells.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"))
+        cells = cells.selectExpr("*", "0 AS _all")
     near = _lattice_near(work, origin, keys, strip + width / math.sqrt(3.0), width)
-    inside = _length_inside(F.col("hx"), F.col("hy"), width, *[F.col(c) for c in ENDS])
-    touch = F.when(inside > 0, F.lit(True)).otherwise(
-        _hex_distance_sq(F.col("hx"), F.col("hy"), width) <= F.lit(float(strip) ** 2))
-    cut = near.groupBy(*keys, "row", "cell").agg(F.sum(inside).alias("line_length"), F.bool_or(touch).alias("is_cut"))
+    helpers, inside = _inside_steps(width)
+    near = near.selectExpr("*", *[f"{e} AS {name}" for name, e in helpers.items()]).selectExpr("*", f"{inside} AS _in")
+    touch = f"CASE WHEN _in > 0 THEN true ELSE {_hex_distance_sq(width)} <= {num(strip ** 2)} END"
+    cut = near.groupBy(*keys, "row", "cell").agg(F.sum("_in").alias("line_length"), F.expr(f"bool_or({touch}) AS is_cut"))
     out = key_join(cells, cut, [*keys, "row", "cell"], "left").fillna(0.0, ["line_length"]).fillna(False, ["is_cut"])
     return out if groups else out.drop("_all")

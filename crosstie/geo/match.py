@@ -11,32 +11,30 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.geo.measure import point_segment_sq, segment_segment_sq
-from crosstie.geo.shapes import CELL, ENDS, MIN_CELL, cell_size, cover_segments, locations, with_cell
+from crosstie.geo.measure import ENDS, num, point_segment_sq, segment_segment_sq
+from crosstie.geo.shapes import CELL, MIN_CELL, cell_size, cover_segments, locations, with_cell
 from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
 
 
-def _around() -> Column:
-    """The nine cells of a 3 x 3 block as offsets."""
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+# The nine offsets of a 3 x 3 block.
+_AROUND = "explode(array({})) AS _o".format(", ".join(
+    f"struct({i} AS i, {j} AS j)" for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
-def cell_join(left: DataFrame, right: DataFrame, exact: Column, how: str = "inner",
+def cell_join(left: DataFrame, right: DataFrame, exact: str, how: str = "inner",
               keys: Sequence[str] = CELL) -> DataFrame:
-    """Equi-join on grid keys with an exact residual test.
+    """Equi-join on grid keys with an exact residual test (SQL over both sides' columns).
 
     Apart from the keys the two sides must have different column names. Grid keys are
     never grouping keys of the next step, so a crowded cell can be split by the
     adaptive skew join: its output is shuffled again anyway.
     """
-    renamed = {k: f"_r_{k}" for k in keys}
-    cond = exact
-    for k, r in renamed.items():
-        cond = (F.col(k) == F.col(r)) & cond
-    return left.join(right.withColumnsRenamed(renamed), cond, how).drop(*renamed.values())
+    cond = " AND ".join([*(f"{k} = _r_{k}" for k in keys), f"({exact})"])
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(right, F.expr(cond), how).drop(*(f"_r_{k}" for k in keys))
 
 
 def attach(points: DataFrame, found: DataFrame, x: str = "x", y: str = "y", how: str = "inner",
@@ -49,8 +47,8 @@ def attach(points: DataFrame, found: DataFrame, x: str = "x", y: str = "y", how:
 def _near(points: DataFrame, segments: DataFrame, distance: float, how: str) -> DataFrame:
     size = cell_size(distance)
     cover = cover_segments(segments, size, distance)
-    sq = point_segment_sq("x", "y", *ENDS)
-    return cell_join(with_cell(points, size), cover, sq <= F.lit(float(distance) ** 2), how)
+    exact = f"{point_segment_sq('x', 'y')} <= {num(distance ** 2)}"
+    return cell_join(with_cell(points, size), cover, exact, how)
 
 
 def within_lines(points: DataFrame, segments: DataFrame, distance: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -71,12 +69,12 @@ def nearest_line(points: DataFrame, segments: DataFrame, distance: float, attrib
     """
     rest = [a for a in attributes if a != line]
     cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner")
-    sq = point_segment_sq("x", "y", *ENDS)
-    best = cand.groupBy("x", "y").agg(F.min(F.struct(sq.alias("_sq"), line, *rest)).alias("_b"))
-    out = [F.col(f"_b.{a}").alias(a) for a in attributes]
+    first = ", ".join([f"{point_segment_sq('x', 'y')} AS _sq", line, *rest])
+    best = cand.groupBy("x", "y").agg(F.expr(f"min(struct({first})) AS _b"))
+    out = [f"_b.{a} AS {a}" for a in attributes]
     if dist_out:
-        out.append(F.sqrt(F.col("_b._sq")).alias(dist_out))
-    return attach(points, best.select("x", "y", *out), x, y, how, hot_rows)
+        out.append(f"sqrt(_b._sq) AS {dist_out}")
+    return attach(points, best.selectExpr("x", "y", *out), x, y, how, hot_rows)
 
 
 def join_within(points: DataFrame, segments: DataFrame, distance: float, attributes: Sequence[str],
@@ -92,34 +90,34 @@ def segments_within(segments: DataFrame, keys: Sequence[str], others: DataFrame,
                     split: int = 8) -> DataFrame:
     """Distinct ``keys`` of the segments that come within ``distance`` of any other segment.
 
-    Both sides are listed under fine cells and cell pairs are judged first. Where a pair
-    of cells is close enough as a whole, everything in the first cell is accepted without
-    looking at segments; only segments in the rim around the others are compared, and
-    only if their key was not accepted already. A segment lies within one cell of the
-    cells it is listed under, which the acceptance test allows for.
+    Fine cells are judged first. A cell that has a cell of the others close enough as a
+    whole is accepted with everything in it, one that has none in reach is dropped, and
+    only segments in the rim between, of keys not accepted already, are compared one by
+    one. A segment lies within one cell of the cells it is listed under, which the
+    acceptance test allows for.
     """
     keys = list(keys)
     fine = max(float(distance) / split, MIN_CELL / 2)
     reach = float(distance) / fine
     k = max(math.ceil(reach), 1)
+    bx, by = f"floor(cx / {k})", f"floor(cy / {k})"
     mine = cover_segments(segments.select(*keys, *ENDS), fine)
-    theirs = cover_segments(others.select(*ENDS), fine).withColumnsRenamed({c: f"o_{c}" for c in ENDS})
-    block = {"bx": F.floor(F.col("cx") / F.lit(k)), "by": F.floor(F.col("cy") / F.lit(k))}
-    a = (mine.select(*CELL).distinct().withColumns(block).withColumn("_o", F.explode(_around()))
-         .withColumns({"bx": F.col("bx") + F.col("_o.i"), "by": F.col("by") + F.col("_o.j")}).drop("_o"))
-    b = theirs.select(*CELL).distinct().withColumns(block).withColumnsRenamed({"cx": "ox", "cy": "oy"})
-    di, dj = F.abs(F.col("ox") - F.col("cx")), F.abs(F.col("oy") - F.col("cy"))
-    gap_i, gap_j = F.greatest(di - 1, F.lit(0)), F.greatest(dj - 1, F.lit(0))
-    reach_sq = F.lit(reach * reach)
-    pairs = (a.join(b, ["bx", "by"]).where(gap_i * gap_i + gap_j * gap_j <= reach_sq)
-             .select(*CELL, "ox", "oy", ((di + 3) * (di + 3) + (dj + 3) * (dj + 3) <= reach_sq).alias("sure")))
-    accepted = pairs.where("sure").select(*CELL).distinct()
-    found = mine.join(accepted, list(CELL), "left_semi").select(*keys).distinct()
-    rim = key_join(mine, found, keys, "left_anti").join(pairs.where(~F.col("sure")).drop("sure"), list(CELL))
-    exact = segment_segment_sq(tuple(F.col(c) for c in ENDS), tuple(F.col(f"o_{c}") for c in ENDS))
-    rim = rim.drop(*CELL).withColumnsRenamed({"ox": "cx", "oy": "cy"})
-    close = cell_join(rim, theirs, exact <= F.lit(float(distance) ** 2), "left_semi").select(*keys)
-    return found.union(close).distinct()
+    a = (mine.select(*CELL).distinct().selectExpr(*CELL, _AROUND)
+         .selectExpr(*CELL, f"{bx} + _o.i AS bx", f"{by} + _o.j AS by"))
+    b = (cover_segments(others.select(*ENDS), fine).select(*CELL).distinct()
+         .selectExpr("cx AS ox", "cy AS oy", f"{bx} AS bx", f"{by} AS by"))
+    gap = "power(greatest(abs(ox - cx) - 1, 0), 2) + power(greatest(abs(oy - cy) - 1, 0), 2)"
+    sure = f"power(abs(ox - cx) + 3, 2) + power(abs(oy - cy) + 3, 2) <= {num(reach ** 2)}"
+    judged = (a.join(b, ["bx", "by"]).where(f"{gap} <= {num(reach ** 2)}")
+              .groupBy(*CELL).agg(F.expr(f"bool_or({sure}) AS sure")))
+    listed = mine.join(judged, list(CELL))
+    found = listed.where("sure").select(*keys).distinct()
+    rim = listed.where("NOT sure").select(*keys, *ENDS).distinct().join(found, keys, "left_anti")
+    size = cell_size(distance)
+    theirs = cover_segments(others.select(*ENDS), size, distance).withColumnsRenamed({c: f"o_{c}" for c in ENDS})
+    exact = f"{segment_segment_sq(ENDS, [f'o_{c}' for c in ENDS])} <= {num(distance ** 2)}"
+    close = cell_join(cover_segments(rim, size), theirs, exact, "left_semi")
+    return found.union(close.select(*keys)).distinct()
 
 
 def lines_near_lines(lines: DataFrame, segments: DataFrame, others: DataFrame, distance: float,
@@ -139,34 +137,28 @@ def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x:
     area never produces all pairs of its points. A coarse cell has at most
     ``split**2`` fine cells, which bounds the cell join whatever the density.
     """
-    d2 = F.lit(float(distance) ** 2)
-    fine = float(distance) / split
-    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d2 = num(distance ** 2)
+    fine = num(distance / split)
+    known = points.where(f"{x} IS NOT NULL AND {y} IS NOT NULL")
     locs = (known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-            .withColumns({"fx": F.floor(F.col("x") / F.lit(fine)), "fy": F.floor(F.col("y") / F.lit(fine))}))
+            .selectExpr("*", f"floor(x / {fine}) AS fx", f"floor(y / {fine}) AS fy"))
     cells = locs.groupBy("fx", "fy").agg(
         F.sum("w").alias("n"), F.min("x").alias("xlo"), F.max("x").alias("xhi"),
         F.min("y").alias("ylo"), F.max("y").alias("yhi"))
-    coarse = {"cx": F.floor(F.col("fx") / F.lit(split)), "cy": F.floor(F.col("fy") / F.lit(split))}
-    a = (cells.withColumns(coarse).withColumn("_o", F.explode(_around()))
-         .withColumns({"cx": F.col("cx") + F.col("_o.i"), "cy": F.col("cy") + F.col("_o.j")}).drop("_o", "n"))
-    b = cells.withColumns(coarse).select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in cells.columns])
-    gap_x = F.greatest(F.col("b_xlo") - F.col("xhi"), F.col("xlo") - F.col("b_xhi"), F.lit(0.0))
-    gap_y = F.greatest(F.col("b_ylo") - F.col("yhi"), F.col("ylo") - F.col("b_yhi"), F.lit(0.0))
-    far_x = F.greatest(F.col("b_xhi") - F.col("xlo"), F.col("xhi") - F.col("b_xlo"))
-    far_y = F.greatest(F.col("b_yhi") - F.col("ylo"), F.col("yhi") - F.col("b_ylo"))
-    pairs = (a.join(b, list(CELL)).where(gap_x * gap_x + gap_y * gap_y <= d2)
-             .withColumn("sure", far_x * far_x + far_y * far_y <= d2))
+    box = ("xlo", "xhi", "ylo", "yhi")
+    cx, cy = f"floor(fx / {split})", f"floor(fy / {split})"
+    a = (cells.selectExpr("fx", "fy", *box, _AROUND)
+         .selectExpr("fx", "fy", *box, f"{cx} + _o.i AS cx", f"{cy} + _o.j AS cy"))
+    b = cells.selectExpr(f"{cx} AS cx", f"{cy} AS cy", "fx AS b_fx", "fy AS b_fy", "n AS b_n", *[f"{c} AS b_{c}" for c in box])
+    gap = "power(greatest(b_xlo - xhi, xlo - b_xhi, 0D), 2) + power(greatest(b_ylo - yhi, ylo - b_yhi, 0D), 2)"
+    far = "power(greatest(b_xhi - xlo, xhi - b_xlo), 2) + power(greatest(b_yhi - ylo, yhi - b_ylo), 2)"
+    pairs = a.join(b, list(CELL)).where(f"{gap} <= {d2}").selectExpr("fx", "fy", "b_fx", "b_fy", "b_n", f"{far} <= {d2} AS sure")
     whole = pairs.where("sure").groupBy("fx", "fy").agg(F.sum("b_n").alias("n_whole"))
-    cut = pairs.where(~F.col("sure")).select("fx", "fy", "b_fx", "b_fy")
-    ours = locs.select("x", "y", "fx", "fy").join(cut, ["fx", "fy"]).select(
-        "x", "y", F.col("b_fx").alias("fx"), F.col("b_fy").alias("fy"))
-    theirs = locs.select(F.col("x").alias("bx"), F.col("y").alias("by"), "w", "fx", "fy")
-    gap = ((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx"))
-           + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-    part = (cell_join(ours, theirs, gap <= d2, "inner", ("fx", "fy"))
+    cut = pairs.where("NOT sure").select("fx", "fy", "b_fx", "b_fy")
+    ours = locs.select("x", "y", "fx", "fy").join(cut, ["fx", "fy"]).selectExpr("x", "y", "b_fx AS fx", "b_fy AS fy")
+    theirs = locs.selectExpr("x AS bx", "y AS by", "w", "fx", "fy")
+    part = (cell_join(ours, theirs, f"power(x - bx, 2) + power(y - by, 2) <= {d2}", "inner", ("fx", "fy"))
             .groupBy("x", "y").agg(F.sum("w").alias("n_part")))
-    counted = (locs.select("x", "y", "fx", "fy").join(whole, ["fx", "fy"], "left")
-               .join(part, ["x", "y"], "left")).select(
-        "x", "y", (F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_part", F.lit(0))).alias(out))
+    counted = (locs.select("x", "y", "fx", "fy").join(whole, ["fx", "fy"], "left").join(part, ["x", "y"], "left")
+               .selectExpr("x", "y", f"coalesce(n_whole, 0) + coalesce(n_part, 0) AS {out}"))
     return attach(known, counted, x, y, "inner", hot_rows)

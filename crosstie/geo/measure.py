@@ -1,84 +1,87 @@
-"""Planar distances and areas as column expressions on plain doubles."""
+"""Planar distances and areas as SQL expressions on plain double columns.
 
-from __future__ import annotations
+Arguments are column names (or other SQL fragments) and the result is a fragment for
+``expr``/``selectExpr``; a segment or edge is given as its four end columns.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from crosstie.functions.nulls import col
+ENDS = ("x1", "y1", "x2", "y2")
 
 
-def _cols(*cs):
-    return [col(c) for c in cs]
+def num(v: float) -> str:
+    """A double literal."""
+    return f"{float(v)!r}D"
 
 
-def clamp01(t: Column) -> Column:
-    return F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+def clamp01(t: str) -> str:
+    return f"least(greatest({t}, 0D), 1D)"
 
 
-def length(x1, y1, x2, y2) -> Column:
-    x1, y1, x2, y2 = _cols(x1, y1, x2, y2)
-    return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+def length(seg=ENDS) -> str:
+    x1, y1, x2, y2 = seg
+    return f"sqrt(power({x2} - {x1}, 2) + power({y2} - {y1}, 2))"
 
 
-def point_segment_sq(x, y, x1, y1, x2, y2) -> Column:
+def point_segment_sq(x: str, y: str, seg=ENDS) -> str:
     """Squared distance of a point to a segment; a zero-length segment is a point."""
-    x, y, x1, y1, x2, y2 = _cols(x, y, x1, y1, x2, y2)
-    dx, dy = x2 - x1, y2 - y1
-    t = clamp01(F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0)))
-    ex, ey = x1 + t * dx - x, y1 + t * dy - y
-    return ex * ex + ey * ey
-
-
-def cross(ax, ay, bx, by) -> Column:
-    return ax * by - ay * bx
+    x1, y1, x2, y2 = seg
+    dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"
+    along = f"({x} - {x1}) * {dx} + ({y} - {y1}) * {dy}"
+    t = clamp01(f"coalesce(try_divide({along}, power({dx}, 2) + power({dy}, 2)), 0D)")
+    return f"(power({x1} + {t} * {dx} - {x}, 2) + power({y1} + {t} * {dy} - {y}, 2))"
 
 
-def side(px, py, qx, qy, x, y) -> Column:
-    """Positive when (x, y) lies left of p -> q."""
-    px, py, qx, qy, x, y = _cols(px, py, qx, qy, x, y)
-    return (qx - px) * (y - py) - (qy - py) * (x - px)
+def side(seg, x: str, y: str) -> str:
+    """Positive when (x, y) lies left of the segment's direction."""
+    x1, y1, x2, y2 = seg
+    return f"(({x2} - {x1}) * ({y} - {y1}) - ({y2} - {y1}) * ({x} - {x1}))"
 
 
-def segments_cross(a: tuple, b: tuple) -> Column:
+def segments_cross(a, b) -> str:
     """Proper crossing of two segments; touching ends are covered by a zero distance."""
-    s1, s2 = side(*b, a[0], a[1]), side(*b, a[2], a[3])
-    s3, s4 = side(*a, b[0], b[1]), side(*a, b[2], b[3])
-    return ((s1 > 0) != (s2 > 0)) & ((s3 > 0) != (s4 > 0))
+    def split(s, t):
+        return f"(({side(s, t[0], t[1])} > 0) != ({side(s, t[2], t[3])} > 0))"
+    return f"({split(b, a)} AND {split(a, b)})"
 
 
-def segment_segment_sq(a: tuple, b: tuple) -> Column:
+def segment_segment_sq(a, b) -> str:
     """Squared distance of two segments."""
-    ends = F.least(point_segment_sq(a[0], a[1], *b), point_segment_sq(a[2], a[3], *b),
-                   point_segment_sq(b[0], b[1], *a), point_segment_sq(b[2], b[3], *a))
-    return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(ends)
+    ends = ", ".join([point_segment_sq(a[0], a[1], b), point_segment_sq(a[2], a[3], b),
+                      point_segment_sq(b[0], b[1], a), point_segment_sq(b[2], b[3], a)])
+    return f"CASE WHEN {segments_cross(a, b)} THEN 0D ELSE least({ends}) END"
 
 
-def ring_term(x1, y1, x2, y2) -> Column:
+def ring_term(seg=ENDS) -> str:
     """One edge's share of twice the signed ring area."""
-    x1, y1, x2, y2 = _cols(x1, y1, x2, y2)
-    return x1 * y2 - x2 * y1
+    x1, y1, x2, y2 = seg
+    return f"({x1} * {y2} - {x2} * {y1})"
 
 
-def circle_edge_area(cx, cy, r, x1, y1, x2, y2) -> Column:
-    """Signed area of the part of triangle (centre, p1, p2) inside the circle.
+def circle_edge_steps(x: str, y: str, radius: float, seg=ENDS) -> tuple[list[dict[str, str]], str]:
+    """Signed area of the part of triangle (centre, p1, p2) inside the circle, in steps.
 
     Summed over the edges of a ring this is the exact area the ring shares with the
-    circle. The edge is cut at its two circle intersections (clamped to the edge):
-    the middle part adds a triangle, the outer parts add circle sectors.
+    circle. The edge is cut at its two circle intersections (clamped to the edge): the
+    middle part adds a triangle, the outer parts add circle sectors. Returned are the
+    helper columns to add, step by step, and the final expression over them.
     """
-    cx, cy, x1, y1, x2, y2 = _cols(cx, cy, x1, y1, x2, y2)
-    ax, ay, bx, by = x1 - cx, y1 - cy, x2 - cx, y2 - cy
-    dx, dy = bx - ax, by - ay
-    qa = dx * dx + dy * dy
-    qb = ax * dx + ay * dy
-    qc = ax * ax + ay * ay - F.lit(r * r)
-    root = F.sqrt(F.greatest(qb * qb - qa * qc, F.lit(0.0)))
-    t1 = clamp01(F.coalesce(F.try_divide(-qb - root, qa), F.lit(0.0)))
-    t2 = clamp01(F.coalesce(F.try_divide(-qb + root, qa), F.lit(0.0)))
-    px, py, qx, qy = ax + t1 * dx, ay + t1 * dy, ax + t2 * dx, ay + t2 * dy
+    x1, y1, x2, y2 = seg
+    r2 = num(radius * radius)
+    steps = [
+        {"_ax": f"{x1} - {x}", "_ay": f"{y1} - {y}", "_bx": f"{x2} - {x}", "_by": f"{y2} - {y}"},
+        {"_qa": "power(_bx - _ax, 2) + power(_by - _ay, 2)", "_qb": "_ax * (_bx - _ax) + _ay * (_by - _ay)",
+         "_qc": f"_ax * _ax + _ay * _ay - {r2}"},
+        {"_root": "sqrt(greatest(_qb * _qb - _qa * _qc, 0D))"},
+        {"_t1": clamp01("coalesce(try_divide(-_qb - _root, _qa), 0D)"),
+         "_t2": clamp01("coalesce(try_divide(-_qb + _root, _qa), 0D)")},
+        {"_px": "_ax + _t1 * (_bx - _ax)", "_py": "_ay + _t1 * (_by - _ay)",
+         "_qx": "_ax + _t2 * (_bx - _ax)", "_qy": "_ay + _t2 * (_by - _ay)"},
+    ]
 
     def sector(ux, uy, vx, vy):
-        return F.lit(0.5 * r * r) * F.atan2(cross(ux, uy, vx, vy), ux * vx + uy * vy)
+        return f"{r2} / 2 * atan2({ux} * {vy} - {uy} * {vx}, {ux} * {vx} + {uy} * {vy})"
 
-    return sector(ax, ay, px, py) + 0.5 * cross(px, py, qx, qy) + sector(qx, qy, bx, by)
+    area = (f"({sector('_ax', '_ay', '_px', '_py')} + (_px * _qy - _py * _qx) / 2 "
+            f"+ {sector('_qx', '_qy', '_bx', '_by')})")
+    return steps, area

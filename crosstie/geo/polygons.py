@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from crosstie.functions.measures import SQUARE_METRES_PER_SQUARE_MILE
 from crosstie.functions.nulls import ratio, strict_sum
 from crosstie.geo.match import attach, cell_join, segments_within
-from crosstie.geo.measure import circle_edge_area, length, point_segment_sq, ring_term, segments_cross
+from crosstie.geo.measure import ENDS, circle_edge_steps, length, num, point_segment_sq, ring_term, segments_cross
 from crosstie.geo.shapes import (
-    ENDS, boxes, cell_of, cover_box, cover_segments, cut_to_length, locations, with_cell,
+    boxes, cell_of, cover_box, cover_segments, cut_to_length, locations, with_cell,
 )
 from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
 
@@ -25,25 +25,24 @@ TOUCH = 1e-6  # metres within which a point counts as lying on an edge
 SLIVER = 1e-2  # square metres; smaller shares are rounding noise of the closed form
 
 
+_EDGE = tuple(f"e_{c}" for c in ENDS)
+
+
 def _inside(cand: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
     """Rows of ``cand`` (``x, y``, the polygon key, any others) whose position is in or on the polygon.
 
     A row meets only those edges of its polygon that lie in its horizontal band; the
     parity of edges to its right decides. Holes need no special case.
     """
-    lo, hi = F.least("y1", "y2") - TOUCH, F.greatest("y1", "y2") + TOUCH
-    ends = [f"e_{c}" for c in ENDS]
-    bands = (edges.select(poly, *ENDS, F.explode(F.sequence(cell_of(lo, size), cell_of(hi, size))).alias("band"))
-             .withColumnsRenamed(dict(zip(ENDS, ends))))
-    x1, y1, x2, y2 = (F.col(c) for c in ends)
-    x, y = F.col("x"), F.col("y")
-    in_reach = y.between(F.least(y1, y2) - TOUCH, F.greatest(y1, y2) + TOUCH)
-    met = cell_join(cand.withColumn("band", cell_of("y", size)), bands, in_reach, "inner", (poly, "band"))
-    at = x1 + F.try_divide((y - y1) * (x2 - x1), y2 - y1)
-    touches = point_segment_sq("x", "y", *ends) <= F.lit(TOUCH * TOUCH)
+    lo, hi = cell_of(f"least(y1, y2) - {num(TOUCH)}", size), cell_of(f"greatest(y1, y2) + {num(TOUCH)}", size)
+    bands = edges.selectExpr(poly, *[f"{c} AS e_{c}" for c in ENDS], f"explode(sequence({lo}, {hi})) AS band")
+    in_reach = f"y BETWEEN least(e_y1, e_y2) - {num(TOUCH)} AND greatest(e_y1, e_y2) + {num(TOUCH)}"
+    met = cell_join(cand.selectExpr("*", f"{cell_of('y', size)} AS band"), bands, in_reach, "inner", (poly, "band"))
+    at = "e_x1 + try_divide((y - e_y1) * (e_x2 - e_x1), e_y2 - e_y1)"
     return (met.groupBy(*cand.columns)
-            .agg(F.count_if(((y1 > y) != (y2 > y)) & (x < at)).alias("_c"), F.bool_or(touches).alias("_t"))
-            .where((F.col("_c") % 2 == 1) | F.col("_t")).select(*cand.columns))
+            .agg(F.expr(f"count_if(((e_y1 > y) != (e_y2 > y)) AND x < {at}) AS _c"),
+                 F.expr(f"bool_or({point_segment_sq('x', 'y', _EDGE)} <= {num(TOUCH * TOUCH)}) AS _t"))
+            .where("_c % 2 = 1 OR _t").select(*cand.columns))
 
 
 def locate(locs: DataFrame, edges: DataFrame, poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
@@ -52,9 +51,8 @@ def locate(locs: DataFrame, edges: DataFrame, poly: str = "poly_id", size: float
     Candidates come from the grid cells of the polygons' bounding boxes.
     """
     box = cover_box(boxes(edges, [poly]), "xlo", "ylo", "xhi", "yhi", size)
-    inside_box = (F.col("x").between(F.col("xlo"), F.col("xhi")) & F.col("y").between(F.col("ylo"), F.col("yhi")))
-    cand = cell_join(with_cell(locs.select("x", "y"), size), box, inside_box).select("x", "y", poly)
-    return _inside(cand, edges, poly, size)
+    cand = cell_join(with_cell(locs.select("x", "y"), size), box, "x BETWEEN xlo AND xhi AND y BETWEEN ylo AND yhi")
+    return _inside(cand.select("x", "y", poly), edges, poly, size)
 
 
 def join_polygons(points: DataFrame, edges: DataFrame, poly: str = "poly_id", x: str = "x", y: str = "y",
@@ -73,7 +71,7 @@ def polygons_near_points(polygons: DataFrame, edges: DataFrame, points: DataFram
                          poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
     """Polygons holding a point or having one within ``distance`` of an edge."""
     locs = locations(points)
-    dots = locs.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dots = locs.selectExpr("x AS x1", "y AS y1", "x AS x2", "y AS y2")
     near = segments_within(edges, [poly], dots, distance)
     hit = near.union(locate(locs, edges, poly, size).select(poly)).distinct()
     return key_join(polygons, hit, [poly], "left_semi")
@@ -85,20 +83,20 @@ def _ring_keys(edges: DataFrame, poly: str) -> list[str]:
 
 def ring_areas(edges: DataFrame, poly: str = "poly_id") -> DataFrame:
     """Signed shoelace area per ring."""
-    return edges.groupBy(*_ring_keys(edges, poly)).agg((F.sum(ring_term(*ENDS)) / 2).alias("ring_area"))
+    return edges.groupBy(*_ring_keys(edges, poly)).agg(F.expr(f"sum({ring_term()}) / 2 AS ring_area"))
 
 
 def areas(edges: DataFrame, poly: str = "poly_id") -> DataFrame:
     """Polygon area: outer rings minus holes, whatever the drawing direction."""
-    signed = F.when(F.col("ring") == 0, F.abs("ring_area")).otherwise(-F.abs("ring_area"))
-    return ring_areas(edges, poly).groupBy(poly).agg(F.sum(signed).alias("area"))
+    return ring_areas(edges, poly).groupBy(poly).agg(
+        F.expr("sum(IF(ring = 0, abs(ring_area), -abs(ring_area))) AS area"))
 
 
 def _oriented(edges: DataFrame, poly: str) -> DataFrame:
     """Edges with weight +1/-1 that makes outer rings count positive and holes negative."""
     keys = _ring_keys(edges, poly)
-    sign = F.signum("ring_area") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
-    return edges.join(ring_areas(edges, poly).withColumn("_w", sign).drop("ring_area"), keys)
+    weights = ring_areas(edges, poly).selectExpr(*keys, "signum(ring_area) * IF(ring = 0, 1D, -1D) AS _w")
+    return edges.join(weights, keys)
 
 
 def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str = "poly_id",
@@ -106,16 +104,18 @@ def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str =
     """``(x, y, poly, shared)``: exact area each polygon shares with the circle around a position."""
     grid = max(size, float(radius))
     box = cover_box(boxes(edges, [poly]), "xlo", "ylo", "xhi", "yhi", grid, radius)
-    r = F.lit(float(radius))
-    close = (F.col("x").between(F.col("xlo") - r, F.col("xhi") + r) & F.col("y").between(F.col("ylo") - r, F.col("yhi") + r))
+    r = num(radius)
+    close = f"x BETWEEN xlo - {r} AND xhi + {r} AND y BETWEEN ylo - {r} AND yhi + {r}"
     cand = cell_join(with_cell(locs, grid), box, close).select("x", "y", poly)
     oriented = _oriented(edges, poly).select(poly, "_w", *ENDS)
     # The next grouping contains the join key, which stops the adaptive skew join from
     # splitting a polygon that holds most positions; its positions are dealt out here.
     met = spread_join(cand, oriented, [poly], "inner", hot_rows)
-    part = F.col("_w") * circle_edge_area("x", "y", float(radius), *ENDS)
-    shared = met.groupBy("x", "y", poly).agg(F.sum(part).alias("shared"))
-    return shared.where(F.col("shared") > SLIVER)
+    steps, area = circle_edge_steps("x", "y", radius)
+    for step in steps:
+        met = met.selectExpr("*", *[f"{e} AS {name}" for name, e in step.items()])
+    shared = met.groupBy("x", "y", poly).agg(F.expr(f"sum(_w * {area}) AS shared"))
+    return shared.where(f"shared > {num(SLIVER)}")
 
 
 def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius: float, estimate: str = "estimate",
@@ -132,23 +132,13 @@ def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius:
         ratio(strict_sum(people), F.sum("shared") / F.lit(SQUARE_METRES_PER_SQUARE_MILE)).alias(out))
 
 
-def _seg() -> tuple:
-    return tuple(F.col(c) for c in ENDS)
-
-
-def _edge() -> tuple:
-    return tuple(F.col(f"e_{c}") for c in ENDS)
-
-
 def _covered_edges(edges: DataFrame, poly: str, size: float) -> DataFrame:
     covered = cover_segments(edges.select(poly, *ENDS), size)
     return covered.withColumnsRenamed({c: f"e_{c}" for c in ENDS})
 
 
 def _vertices(segments: DataFrame, line: str) -> DataFrame:
-    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")),
-                   F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    return segments.select(line, F.inline(ends))
+    return segments.selectExpr(line, "inline(array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y2 AS y)))")
 
 
 def lines_meeting_polygons(segments: DataFrame, edges: DataFrame, line: str = "line_id", poly: str = "poly_id",
@@ -159,7 +149,7 @@ def lines_meeting_polygons(segments: DataFrame, edges: DataFrame, line: str = "l
     that crosses no edge is inside or outside as a whole.
     """
     segs = segments.select(line, *ENDS)
-    by_edge = cell_join(cover_segments(segs, size), _covered_edges(edges, poly, size), segments_cross(_seg(), _edge()))
+    by_edge = cell_join(cover_segments(segs, size), _covered_edges(edges, poly, size), segments_cross(ENDS, _EDGE))
     starts = _vertices(segs, line)
     by_vertex = starts.join(locate(locations(starts), edges, poly, size), ["x", "y"])
     return by_edge.select(line, poly).union(by_vertex.select(line, poly)).distinct()
@@ -185,19 +175,17 @@ def clip_lines(segments: DataFrame, edges: DataFrame, keys: Sequence[str] = ("li
     """
     pieces = cut_to_length(segments.select(*keys, *ENDS), size)
     ids = [*keys, "piece"]
-    s, e = _seg(), _edge()
-    dx, dy, ex, ey = s[2] - s[0], s[3] - s[1], e[2] - e[0], e[3] - e[1]
-    t = F.try_divide((e[0] - s[0]) * ey - (e[1] - s[1]) * ex, dx * ey - dy * ex)
-    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), segments_cross(s, e))
-            .groupBy(*ids, poly, *ENDS).agg(F.collect_set(t).alias("ts")))
-    stops = F.array_sort(F.array_union(F.col("ts"), F.array(F.lit(0.0), F.lit(1.0))))
-    spans = cuts.withColumn("ts", stops).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("ts") - 1)))
-    a, b = F.get("ts", F.col("_i") - 1), F.get("ts", F.col("_i"))
-    spans = spans.where(b > a).select(*ids, poly, (s[0] + dx * a).alias("x1"), (s[1] + dy * a).alias("y1"),
-                                      (s[0] + dx * b).alias("x2"), (s[1] + dy * b).alias("y2"))
-    middle = {"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}
-    kept_cut = _inside(spans.withColumns(middle), edges, poly, size)
-    whole = pieces.withColumns(middle)
+    dx, dy, ex, ey = "(x2 - x1)", "(y2 - y1)", "(e_x2 - e_x1)", "(e_y2 - e_y1)"
+    t = f"try_divide((e_x1 - x1) * {ey} - (e_y1 - y1) * {ex}, {dx} * {ey} - {dy} * {ex})"
+    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), segments_cross(ENDS, _EDGE))
+            .groupBy(*ids, poly, *ENDS).agg(F.expr(f"collect_set({t}) AS ts")))
+    spans = (cuts.withColumn("ts", F.expr("array_sort(array_union(ts, array(0D, 1D)))"))
+             .selectExpr(*ids, poly, *ENDS, "inline(arrays_zip(slice(ts, 1, size(ts) - 1), slice(ts, 2, size(ts) - 1))) AS (a, b)")
+             .where("b > a")
+             .selectExpr(*ids, poly, f"x1 + {dx} * a AS x1", f"y1 + {dy} * a AS y1", f"x1 + {dx} * b AS x2", f"y1 + {dy} * b AS y2"))
+    middle = ("(x1 + x2) / 2 AS x", "(y1 + y2) / 2 AS y")
+    kept_cut = _inside(spans.selectExpr("*", *middle), edges, poly, size)
+    whole = pieces.selectExpr("*", *middle)
     held = whole.join(locate(locations(whole), edges, poly, size), ["x", "y"])
     kept_whole = held.join(cuts.select(*ids, poly), [*ids, poly], "left_anti")
     columns = [*ids, poly, *ENDS]
@@ -205,4 +193,4 @@ def clip_lines(segments: DataFrame, edges: DataFrame, keys: Sequence[str] = ("li
 
 
 def clipped_lengths(clipped: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return clipped.groupBy(*keys).agg(F.sum(length(*ENDS)).alias("length"))
+    return clipped.groupBy(*keys).agg(F.expr(f"sum({length()}) AS length"))

@@ -11,14 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.functions.nulls import col
-from crosstie.geo.measure import length
+from crosstie.geo.measure import ENDS, length, num
 
 CELL = ("cx", "cy")
-ENDS = ("x1", "y1", "x2", "y2")
 MIN_CELL = 500.0
 
 
@@ -26,12 +24,13 @@ def cell_size(distance: float) -> float:
     return max(float(distance), MIN_CELL)
 
 
-def cell_of(v: str | Column, size: float) -> Column:
-    return F.floor(col(v) / F.lit(float(size))).cast("bigint")
+def cell_of(v: str, size: float) -> str:
+    """SQL for the grid number of a coordinate."""
+    return f"floor(({v}) / {num(size)})"
 
 
 def with_cell(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    return points.withColumns({"cx": cell_of(x, size), "cy": cell_of(y, size)})
+    return points.selectExpr("*", f"{cell_of(x, size)} AS cx", f"{cell_of(y, size)} AS cy")
 
 
 def segments_from_vertices(vertices: DataFrame, line: str = "line_id", seq: str = "seq") -> DataFrame:
@@ -67,52 +66,50 @@ def edges_from_rings(polygons: DataFrame, geometry: str = "rings") -> DataFrame:
 
 def cut_to_length(segments: DataFrame, longest: float) -> DataFrame:
     """Split segments into equal pieces no longer than ``longest`` (adds ``piece``)."""
-    x1, y1, x2, y2 = (F.col(c) for c in ENDS)
-    n = F.greatest(F.ceil(length(*ENDS) / F.lit(float(longest))), F.lit(1)).cast("int")
     rest = [c for c in segments.columns if c not in ENDS]
-    cut = segments.withColumn("_n", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    a, b = F.col("piece") / F.col("_n"), (F.col("piece") + 1) / F.col("_n")
-    last = F.col("piece") + 1 == F.col("_n")
-    return cut.select(
-        *rest, "piece",
-        (x1 + (x2 - x1) * a).alias("x1"), (y1 + (y2 - y1) * a).alias("y1"),
-        F.when(last, x2).otherwise(x1 + (x2 - x1) * b).alias("x2"),
-        F.when(last, y2).otherwise(y1 + (y2 - y1) * b).alias("y2"))
 
+    def at(a: str, b: str, i: str) -> str:
+        return f"{a} + ({b} - {a}) * ({i} / _n)"
 
-def _box_cells(xlo: Column, ylo: Column, xhi: Column, yhi: Column, size: float) -> Column:
-    def axis(lo, hi):
-        return F.sequence(cell_of(lo, size), cell_of(hi, size))
-    return F.flatten(F.transform(axis(xlo, xhi), lambda i: F.transform(
-        axis(ylo, yhi), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+    def end(a: str, b: str) -> str:
+        return f"CASE WHEN piece + 1 = _n THEN {b} ELSE {at(a, b, '(piece + 1)')} END"
+
+    return (segments.selectExpr("*", f"greatest(CAST(ceil({length()} / {num(longest)}) AS INT), 1) AS _n")
+            .selectExpr("*", "explode(sequence(0, _n - 1)) AS piece")
+            .selectExpr(*rest, "piece", f"{at('x1', 'x2', 'piece')} AS x1", f"{at('y1', 'y2', 'piece')} AS y1",
+                        f"{end('x1', 'x2')} AS x2", f"{end('y1', 'y2')} AS y2"))
 
 
 def cover_box(df: DataFrame, xlo: str, ylo: str, xhi: str, yhi: str, size: float, grow: float = 0.0) -> DataFrame:
     """One row per cell touched by the box grown by ``grow``."""
-    g = F.lit(float(grow))
-    cells = _box_cells(F.col(xlo) - g, F.col(ylo) - g, F.col(xhi) + g, F.col(yhi) + g, size)
-    return df.withColumn("_c", F.explode(cells)).select(*df.columns, "_c.cx", "_c.cy")
+    g = num(grow)
+    return (df.selectExpr("*", f"explode(sequence({cell_of(f'{xlo} - {g}', size)}, {cell_of(f'{xhi} + {g}', size)})) AS cx")
+            .selectExpr("*", f"explode(sequence({cell_of(f'{ylo} - {g}', size)}, {cell_of(f'{yhi} + {g}', size)})) AS cy"))
 
 
 def cover_segments(segments: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
     """One row per (segment, cell near it).
 
-    Long segments are followed piece by piece, so the number of cells grows with
-    their length and not with the area of their bounding box; a cell met by several
-    pieces is listed once.
+    Long segments are followed step by step, so the number of cells grows with their
+    length and not with the area of their bounding box. The box of a step moves along a
+    straight line, so the steps that touch a cell follow one another: a cell is listed by
+    the first of them, when the step before does not touch it.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ENDS)
-    g = F.lit(float(grow))
-    n = F.greatest(F.ceil(length(*ENDS) / F.lit(float(size))), F.lit(1)).cast("int")
+    g = num(grow)
 
-    def cells(i: Column) -> Column:
-        ax, ay = x1 + (x2 - x1) * (i / n), y1 + (y2 - y1) * (i / n)
-        bx, by = x1 + (x2 - x1) * ((i + 1) / n), y1 + (y2 - y1) * ((i + 1) / n)
-        return _box_cells(F.least(ax, bx) - g, F.least(ay, by) - g,
-                          F.greatest(ax, bx) + g, F.greatest(ay, by) + g, size)
+    def span(a: str, b: str, step: str) -> tuple[str, str]:
+        start, end = f"{a} + ({b} - {a}) * (({step}) / _n)", f"{a} + ({b} - {a}) * (({step} + 1) / _n)"
+        return cell_of(f"least({start}, {end}) - {g}", size), cell_of(f"greatest({start}, {end}) + {g}", size)
 
-    whole = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cells)))
-    return segments.withColumn("_c", F.explode(whole)).select(*segments.columns, "_c.cx", "_c.cy")
+    (xlo, xhi), (ylo, yhi) = span("x1", "x2", "_i"), span("y1", "y2", "_i")
+    (pxlo, pxhi), (pylo, pyhi) = span("x1", "x2", "_i - 1"), span("y1", "y2", "_i - 1")
+    return (segments.selectExpr("*", f"greatest(CAST(ceil({length()} / {num(size)}) AS INT), 1) AS _n")
+            .selectExpr("*", "explode(sequence(0, _n - 1)) AS _i")
+            .selectExpr("*", f"{pxlo} AS _pxlo", f"{pxhi} AS _pxhi", f"{pylo} AS _pylo", f"{pyhi} AS _pyhi",
+                        f"{ylo} AS _ylo", f"{yhi} AS _yhi", f"explode(sequence({xlo}, {xhi})) AS cx")
+            .selectExpr("*", "explode(sequence(_ylo, _yhi)) AS cy")
+            .where("_i = 0 OR NOT (cx BETWEEN _pxlo AND _pxhi AND cy BETWEEN _pylo AND _pyhi)")
+            .select(*segments.columns, *CELL))
 
 
 def locations(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -124,17 +121,13 @@ def locations(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def boxes(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bounding box per shape."""
     return edges.groupBy(*keys).agg(
-        F.min(F.least("x1", "x2")).alias("xlo"), F.min(F.least("y1", "y2")).alias("ylo"),
-        F.max(F.greatest("x1", "x2")).alias("xhi"), F.max(F.greatest("y1", "y2")).alias("yhi"))
+        F.expr("min(least(x1, x2)) AS xlo"), F.expr("min(least(y1, y2)) AS ylo"),
+        F.expr("max(greatest(x1, x2)) AS xhi"), F.expr("max(greatest(y1, y2)) AS yhi"))
 
 
 def dissolve(segments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merge features into one: the set of distinct segments, direction ignored."""
-    swap = (F.col("x2") < F.col("x1")) | ((F.col("x2") == F.col("x1")) & (F.col("y2") < F.col("y1")))
-    ordered = segments.select(
-        *keys,
-        F.when(swap, F.col("x2")).otherwise(F.col("x1")).alias("x1"),
-        F.when(swap, F.col("y2")).otherwise(F.col("y1")).alias("y1"),
-        F.when(swap, F.col("x1")).otherwise(F.col("x2")).alias("x2"),
-        F.when(swap, F.col("y1")).otherwise(F.col("y2")).alias("y2"))
-    return ordered.distinct()
+    swap = "(x2 < x1 OR (x2 = x1 AND y2 < y1))"
+    return segments.selectExpr(
+        *keys, f"IF({swap}, x2, x1) AS x1", f"IF({swap}, y2, y1) AS y1",
+        f"IF({swap}, x1, x2) AS x2", f"IF({swap}, y1, y2) AS y2").distinct()

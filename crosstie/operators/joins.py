@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take before the key is dealt over several tasks.
 HOT_ROWS = 1_000_000
+# Rows up to which a counted table of a key and a few attributes is broadcast.
+BROADCAST_ROWS = 200_000
 _SALT = "_salt"
 
 
@@ -87,6 +89,23 @@ def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int
     return dealt, repeated
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``rows`` rows (counting stops beyond that)."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+               hot_rows: int = HOT_ROWS, small_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a large, uneven left side to a stored table of unknown size.
+
+    The right side's row count is checked first: up to ``small_rows`` it is broadcast and
+    the left side is not shuffled at all; beyond that hot left keys are dealt out.
+    """
+    if is_small(right, small_rows):
+        return key_join(left, F.broadcast(right), keys, how)
+    return spread_join(left, right, keys, how, hot_rows)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key_join`` on equally named keys for a left side whose keys may be very uneven."""

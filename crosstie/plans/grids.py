@@ -18,7 +18,7 @@ def analysis_grid(rail: DataFrame, distance: float = CORRIDOR_DISTANCE, width: f
                   strip: float = STRIP, corridor: str = "rail_corridor") -> DataFrame:
     """Cells around each corridor with a stable id, marked where the line cuts them."""
     lines = rail.where(F.col(corridor).isNotNull())
-    cells = mark_cut_cells(hex_cells(lines, distance, width, [corridor]), lines, strip, width, [corridor])
+    cells = mark_cut_cells(hex_cells(lines, distance, width, [corridor]), lines, strip, distance, width, [corridor])
     label = F.concat_ws("_", F.col("row").cast("string"), F.col("cell").cast("string"))
     return cells.withColumns({"id": label, "name": label, "is_pass": F.lit(0)})
 
