@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosstie.catalog.registry import query
+from crosstie.geo.measure import length
+from crosstie.geo.shapes import edges_from_rings, segments_from_points
+from crosstie.plans.grids import export_parcels
 from crosstie.session import scratch_path
 from crosstie.sources import features, store, tables
 
@@ -53,7 +56,6 @@ def src_geojson(t):
 
 @query("SELECT line_id, seq, x AS x1, y AS y1 FROM fx_vertices WHERE seq < 59")
 def src_features(t):
-    from crosstie.geo.shapes import segments_from_points
     path = scratch_path(t.spark, "features")
     features.write_features(features.lines_from_vertices(t.vertices), path)
     segments = segments_from_points(features.read_features(t.spark, path))
@@ -95,3 +97,17 @@ def snk_sheet(t):
     folder = scratch_path(t.spark, "export")
     tables.write_sheet(t.recs.select("crossing_id", "rec_1", "rec_2"), folder, "Teams")
     return tables.read_sheet(t.spark, folder, "Teams", "crossing_id bigint, rec_1 string, rec_2 string")
+
+
+@query("SELECT s_suppkey AS parcel_id, s_name AS owner, CAST(4 AS BIGINT) AS n_edges, 4.0 * (s_suppkey + 1) AS perimeter FROM supplier"
+       .replace("4.0 * (s_suppkey + 1)", "CAST(4 * (s_suppkey + 1) AS DOUBLE)"))
+def snk_parcels(t):
+    side = "CAST(s_suppkey + 1 AS DOUBLE)"
+    corners = ", ".join(f"struct({x} AS x, {y} AS y)" for x, y in (("0D", "0D"), (side, "0D"), (side, side), ("0D", side), ("0D", "0D")))
+    parcels = t.source("supplier").selectExpr("s_suppkey AS parcel_id", "s_name AS owner", f"array(array({corners})) AS rings")
+    source, target = scratch_path(t.spark, "parcels"), scratch_path(t.spark, "parcels-json")
+    features.write_features(parcels, source)
+    export_parcels(t.spark, source, target, ["parcel_id", "owner"])
+    back = features.read_geojson(t.spark, target, features.POLYGON, "parcel_id: bigint, owner: string")
+    return edges_from_rings(back).groupBy("parcel_id", "owner").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.expr(f"sum({length()}) AS perimeter"))

@@ -58,30 +58,39 @@ def ring_term(seg=ENDS) -> str:
     return f"({x1} * {y2} - {x2} * {y1})"
 
 
-def circle_edge_steps(x: str, y: str, radius: float, seg=ENDS) -> tuple[list[dict[str, str]], str]:
-    """Signed area of the part of triangle (centre, p1, p2) inside the circle, in steps.
+# Direction from which angles on a circle are counted. Any value works; an odd one keeps
+# the reference point off edges that run along coordinate axes.
+REFERENCE_ANGLE = 1.2345
+
 
-    Summed over the edges of a ring this is the exact area the ring shares with the
-    circle. The edge is cut at its two circle intersections (clamped to the edge): the
-    middle part adds a triangle, the outer parts add circle sectors. Returned are the
-    helper columns to add, step by step, and the final expression over them.
+def circle_edge_steps(x: str, y: str, radius: float, seg=ENDS) -> tuple[list[dict[str, str]], str]:
+    """One edge's share of the area a ring has in common with a circle, in steps.
+
+    The common area is bounded by the parts of edges inside the circle and by the arcs
+    inside the ring. An edge gives the triangle under its inner part, and half r squared
+    times the angle where it enters the circle (an arc ends there) minus the angle where
+    it leaves (an arc starts there). The arcs close up if a full circle is added whenever
+    the circle's point at the reference angle lies in the ring. Edges that stay outside
+    the circle give nothing. Returned are helper columns to add step by step and the
+    final expression over them.
     """
     x1, y1, x2, y2 = seg
     r2 = num(radius * radius)
     steps = [
         {"_ax": f"{x1} - {x}", "_ay": f"{y1} - {y}", "_bx": f"{x2} - {x}", "_by": f"{y2} - {y}"},
         {"_qa": "power(_bx - _ax, 2) + power(_by - _ay, 2)", "_qb": "_ax * (_bx - _ax) + _ay * (_by - _ay)",
-         "_qc": f"_ax * _ax + _ay * _ay - {r2}"},
-        {"_root": "sqrt(greatest(_qb * _qb - _qa * _qc, 0D))"},
-        {"_t1": clamp01("coalesce(try_divide(-_qb - _root, _qa), 0D)"),
-         "_t2": clamp01("coalesce(try_divide(-_qb + _root, _qa), 0D)")},
-        {"_px": "_ax + _t1 * (_bx - _ax)", "_py": "_ay + _t1 * (_by - _ay)",
-         "_qx": "_ax + _t2 * (_bx - _ax)", "_qy": "_ay + _t2 * (_by - _ay)"},
+         "_qc": f"power(_ax, 2) + power(_ay, 2) - {r2}", "_in2": f"power(_bx, 2) + power(_by, 2) < {r2}"},
+        {"_disc": "_qb * _qb - _qa * _qc"},
+        {"_t1": "coalesce(try_divide(-_qb - sqrt(greatest(_disc, 0D)), _qa), 0D)",
+         "_t2": "coalesce(try_divide(-_qb + sqrt(greatest(_disc, 0D)), _qa), 0D)"},
+        {"_px": f"_ax + {clamp01('_t1')} * (_bx - _ax)", "_py": f"_ay + {clamp01('_t1')} * (_by - _ay)",
+         "_qx": f"_ax + {clamp01('_t2')} * (_bx - _ax)", "_qy": f"_ay + {clamp01('_t2')} * (_by - _ay)",
+         "_chord": "_qc >= 0 AND NOT _in2 AND _disc > 0 AND _t1 > 0 AND _t2 < 1"},
     ]
 
-    def sector(ux, uy, vx, vy):
-        return f"{r2} / 2 * atan2({ux} * {vy} - {uy} * {vx}, {ux} * {vx} + {uy} * {vy})"
+    def angle(ux: str, uy: str) -> str:
+        return f"pmod(atan2({uy}, {ux}) - {num(REFERENCE_ANGLE)}, 2 * pi())"
 
-    area = (f"({sector('_ax', '_ay', '_px', '_py')} + (_px * _qy - _py * _qx) / 2 "
-            f"+ {sector('_qx', '_qy', '_bx', '_by')})")
-    return steps, area
+    enters = f"IF(_chord OR (_qc >= 0 AND _in2), {angle('_px', '_py')}, 0D)"
+    leaves = f"IF(_chord OR (_qc < 0 AND NOT _in2), {angle('_qx', '_qy')}, 0D)"
+    return steps, f"((_px * _qy - _py * _qx) / 2 + {r2} / 2 * ({enters} - {leaves}))"

@@ -6,6 +6,7 @@ holes), optionally ``part``, ``seq`` and the edge ends.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from crosstie.functions.measures import SQUARE_METRES_PER_SQUARE_MILE
 from crosstie.functions.nulls import ratio, strict_sum
 from crosstie.geo.match import attach, cell_join, segments_within
-from crosstie.geo.measure import ENDS, circle_edge_steps, length, num, point_segment_sq, ring_term, segments_cross
+from crosstie.geo.measure import ENDS, REFERENCE_ANGLE, circle_edge_steps, length, num, point_segment_sq, ring_term, segments_cross
 from crosstie.geo.shapes import (
-    boxes, cell_of, cover_box, cover_segments, cut_to_length, locations, with_cell,
+    CELL, boxes, cell_of, cell_size, cover_box, cover_segments, cut_to_length, locations, with_cell,
 )
-from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
+from crosstie.operators.joins import HOT_ROWS, key_join
 
 POLYGON_CELL = 2000.0
 TOUCH = 1e-6  # metres within which a point counts as lying on an edge
@@ -28,21 +29,57 @@ SLIVER = 1e-2  # square metres; smaller shares are rounding noise of the closed
 _EDGE = tuple(f"e_{c}" for c in ENDS)
 
 
+# Place of a cell's reference position inside the cell; odd fractions keep it off regular edges.
+_REF_X, _REF_Y = 0.4871, 0.5137
+_EDGE_SALTS = 8
+
+
+def _right_of(x: str, y: str) -> str:
+    """Whether an edge crosses the horizontal ray from (x, y) to the right."""
+    return f"((e_y1 > {y}) != (e_y2 > {y})) AND e_x1 + try_divide(({y} - e_y1) * (e_x2 - e_x1), e_y2 - e_y1) > {x}"
+
+
+def _above(x: str, y: str) -> str:
+    """Whether an edge crosses the vertical ray from (x, y) upwards."""
+    return f"((e_x1 > {x}) != (e_x2 > {x})) AND e_y1 + try_divide(({x} - e_x1) * (e_y2 - e_y1), e_x2 - e_x1) > {y}"
+
+
+def _reference_parity(cells: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
+    """For each (polygon, cell) the number of edges right of the cell's reference position.
+
+    This is the only step that looks beyond a position's own cell; it runs once per cell
+    against the polygon's edges in the same horizontal band. A band may hold most edges
+    of the data, so edges are dealt over salts and the few cells repeated for each; the
+    salt also makes the grouping shuffle again, which lets the skew join split a band.
+    """
+    refs = cells.selectExpr(poly, "cx", "cy", f"(cx + {num(_REF_X)}) * {num(size)} AS rx",
+                            f"(cy + {num(_REF_Y)}) * {num(size)} AS ry", f"explode(sequence(0, {_EDGE_SALTS - 1})) AS part")
+    bands = edges.selectExpr(poly, *[f"{c} AS e_{c}" for c in ENDS],
+                             f"CAST(pmod(xxhash64({', '.join(ENDS)}), {_EDGE_SALTS}) AS INT) AS part",
+                             f"explode(sequence({cell_of('least(y1, y2)', size)}, {cell_of('greatest(y1, y2)', size)})) AS cy")
+    met = cell_join(refs, bands, _right_of("rx", "ry"), "left", (poly, "cy", "part"))
+    return met.groupBy(poly, *CELL, "rx", "ry").agg(F.count("e_x1").alias("n_ref"))
+
+
 def _inside(cand: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
     """Rows of ``cand`` (``x, y``, the polygon key, any others) whose position is in or on the polygon.
 
-    A row meets only those edges of its polygon that lie in its horizontal band; the
-    parity of edges to its right decides. Holes need no special case.
+    Each grid cell has a reference position of known parity. A position is joined to it by
+    a horizontal and a vertical step inside the cell and meets only the edges of its own
+    cell; every edge crossed flips the parity. Holes need no special case, and positions
+    in cells without edges meet none.
     """
-    lo, hi = cell_of(f"least(y1, y2) - {num(TOUCH)}", size), cell_of(f"greatest(y1, y2) + {num(TOUCH)}", size)
-    bands = edges.selectExpr(poly, *[f"{c} AS e_{c}" for c in ENDS], f"explode(sequence({lo}, {hi})) AS band")
-    in_reach = f"y BETWEEN least(e_y1, e_y2) - {num(TOUCH)} AND greatest(e_y1, e_y2) + {num(TOUCH)}"
-    met = cell_join(cand.selectExpr("*", f"{cell_of('y', size)} AS band"), bands, in_reach, "inner", (poly, "band"))
-    at = "e_x1 + try_divide((y - e_y1) * (e_x2 - e_x1), e_y2 - e_y1)"
-    return (met.groupBy(*cand.columns)
-            .agg(F.expr(f"count_if(((e_y1 > y) != (e_y2 > y)) AND x < {at}) AS _c"),
-                 F.expr(f"bool_or({point_segment_sq('x', 'y', _EDGE)} <= {num(TOUCH * TOUCH)}) AS _t"))
-            .where("_c % 2 = 1 OR _t").select(*cand.columns))
+    placed = with_cell(cand, size)
+    keys = [poly, *CELL]
+    refs = _reference_parity(placed.select(*keys).distinct(), edges, poly, size)
+    near = cover_segments(edges.select(poly, *ENDS), size, TOUCH).withColumnsRenamed(dict(zip(ENDS, _EDGE)))
+    met = placed.join(refs, keys).join(near, keys, "left")
+    across = f"(({_right_of('x', 'y')}) != ({_right_of('rx', 'y')}))"
+    up = f"(({_above('rx', 'y')}) != ({_above('rx', 'ry')}))"
+    touches = f"{point_segment_sq('x', 'y', _EDGE)} <= {num(TOUCH * TOUCH)}"
+    return (met.groupBy(*cand.columns, "n_ref")
+            .agg(F.expr(f"count_if({across}) + count_if({up}) AS _c"), F.expr(f"bool_or({touches}) AS _t"))
+            .where("(_c + n_ref) % 2 = 1 OR _t").select(*cand.columns))
 
 
 def locate(locs: DataFrame, edges: DataFrame, poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
@@ -100,21 +137,25 @@ def _oriented(edges: DataFrame, poly: str) -> DataFrame:
 
 
 def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str = "poly_id",
-                  size: float = POLYGON_CELL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(x, y, poly, shared)``: exact area each polygon shares with the circle around a position."""
-    grid = max(size, float(radius))
-    box = cover_box(boxes(edges, [poly]), "xlo", "ylo", "xhi", "yhi", grid, radius)
-    r = num(radius)
-    close = f"x BETWEEN xlo - {r} AND xhi + {r} AND y BETWEEN ylo - {r} AND yhi + {r}"
-    cand = cell_join(with_cell(locs, grid), box, close).select("x", "y", poly)
-    oriented = _oriented(edges, poly).select(poly, "_w", *ENDS)
-    # The next grouping contains the join key, which stops the adaptive skew join from
-    # splitting a polygon that holds most positions; its positions are dealt out here.
-    met = spread_join(cand, oriented, [poly], "inner", hot_rows)
-    steps, area = circle_edge_steps("x", "y", radius)
+                  size: float = POLYGON_CELL) -> DataFrame:
+    """``(x, y, poly, shared)``: exact area each polygon shares with the circle around a position.
+
+    A position meets only the edges that reach into its circle; whether the circle's
+    reference point lies in the polygon settles the rest.
+    """
+    grid = cell_size(radius)
+    r = float(radius)
+    near = cover_segments(_oriented(edges, poly).select(poly, "_w", *ENDS), grid, r)
+    met = cell_join(with_cell(locs.select("x", "y"), grid), near, f"{point_segment_sq('x', 'y')} < {num(r * r)}")
+    steps, area = circle_edge_steps("x", "y", r)
     for step in steps:
         met = met.selectExpr("*", *[f"{e} AS {name}" for name, e in step.items()])
-    shared = met.groupBy("x", "y", poly).agg(F.expr(f"sum(_w * {area}) AS shared"))
+    by_edges = met.selectExpr("x", "y", poly, f"_w * {area} AS shared")
+    rim = locs.selectExpr("x AS px", "y AS py", f"x + {num(r * math.cos(REFERENCE_ANGLE))} AS x",
+                          f"y + {num(r * math.sin(REFERENCE_ANGLE))} AS y")
+    held = rim.join(locate(locations(rim), edges, poly, size), ["x", "y"])
+    full = held.selectExpr("px AS x", "py AS y", poly, f"{num(math.pi * r * r)} AS shared")
+    shared = by_edges.union(full).groupBy("x", "y", poly).agg(F.sum("shared").alias("shared"))
     return shared.where(f"shared > {num(SLIVER)}")
 
 

@@ -90,8 +90,8 @@ def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows (counting stops beyond that)."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether the table has at most ``rows`` rows, by a distributed count."""
+    return df.count() <= rows
 
 
 def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstie.geo.hexgrid import hex_cells, mark_cut_cells
 from crosstie.geo.polygons import polygons_with_points
+from crosstie.sources import features
 
 # Corridor width on each side, strip around the line and cell width, in metres.
 CORRIDOR_DISTANCE = 8047.0
@@ -26,3 +29,8 @@ def analysis_grid(rail: DataFrame, distance: float = CORRIDOR_DISTANCE, width: f
 def corridor_polygons(polygons: DataFrame, edges: DataFrame, assets: DataFrame) -> DataFrame:
     """Areas holding at least one asset of the corridor."""
     return polygons_with_points(polygons, edges, assets)
+
+
+def export_parcels(spark: SparkSession, source: str, target: str, properties: Sequence[str]) -> None:
+    """Stored polygon features to GeoJSON lines."""
+    features.write_geojson(features.read_features(spark, source), target, features.POLYGON, properties)

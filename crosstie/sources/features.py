@@ -82,7 +82,16 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def lines_from_vertices(vertices: DataFrame, line: str = "line_id", seq: str = "seq") -> DataFrame:
-    """Vertices to one array per line, for export. A line is one value, so its size is a row's size."""
+def lines_from_vertices(vertices: DataFrame, line: str = "line_id", seq: str = "seq",
+                        most_points: int = 10_000) -> DataFrame:
+    """Vertices (numbered from 0) to point arrays for export, as ``line, part, points``.
+
+    A line of more than ``most_points`` vertices becomes several parts that share their
+    end points, so no array grows with the length of a line.
+    """
+    part = (F.col(seq) / F.lit(most_points)).cast("bigint")
+    starts_part = (F.col(seq) > 0) & (F.col(seq) % most_points == 0)
+    parts = F.when(starts_part, F.array(part, part - 1)).otherwise(F.array(part))
     pts = F.array_sort(F.collect_list(F.struct(F.col(seq), "x", "y")))
-    return vertices.groupBy(line).agg(F.transform(pts, lambda p: F.struct(p["x"], p["y"])).alias("points"))
+    listed = vertices.withColumn("part", F.explode(parts)).groupBy(line, "part")
+    return listed.agg(F.transform(pts, lambda p: F.struct(p["x"], p["y"])).alias("points")).where(F.size("points") > 1)

@@ -48,3 +48,9 @@ def test_geojson_lines_polygons_and_collections(spark, tmp_path):
 def test_store(spark, tmp_path):
     store.checkpoint({"a": spark.range(3), "b": spark.range(4)}, str(tmp_path))
     assert store.restore(spark, str(tmp_path), "b").agg(F.count("id")).first()[0] == 4
+
+
+def test_long_lines_are_exported_in_parts(spark):
+    vertices = spark.range(11).selectExpr("7 AS line_id", "id AS seq", "CAST(id AS DOUBLE) AS x", "0D AS y")
+    parts = {r.part: [p.x for p in r.points] for r in features.lines_from_vertices(vertices, most_points=5).collect()}
+    assert parts == {0: [0, 1, 2, 3, 4, 5], 1: [5, 6, 7, 8, 9, 10]}
