@@ -126,9 +126,9 @@ def lines_near_lines(lines: DataFrame, segments: DataFrame, others: DataFrame, d
     return key_join(lines, segments_within(segments, [line], others, distance), [line], "left_semi")
 
 
-def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x: str = "x", y: str = "y",
-                     split: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number of point rows within ``distance`` of each point, itself included.
+def neighbours_by_position(points: DataFrame, distance: float, out: str = "n_near", x: str = "x", y: str = "y",
+                           split: int = 8) -> DataFrame:
+    """``(x, y, out)``: number of point rows within ``distance`` of each position, its own included.
 
     Rows are first counted per position and per fine cell (``distance / split`` wide,
     with the exact bounds of its points). Pairs of non-empty cells are then settled as
@@ -159,6 +159,11 @@ def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x:
     theirs = locs.selectExpr("x AS bx", "y AS by", "w", "fx", "fy")
     part = (cell_join(ours, theirs, f"power(x - bx, 2) + power(y - by, 2) <= {d2}", "inner", ("fx", "fy"))
             .groupBy("x", "y").agg(F.sum("w").alias("n_part")))
-    counted = (locs.select("x", "y", "fx", "fy").join(whole, ["fx", "fy"], "left").join(part, ["x", "y"], "left")
-               .selectExpr("x", "y", f"coalesce(n_whole, 0) + coalesce(n_part, 0) AS {out}"))
-    return attach(known, counted, x, y, "inner", hot_rows)
+    return (locs.select("x", "y", "fx", "fy").join(whole, ["fx", "fy"], "left").join(part, ["x", "y"], "left")
+            .selectExpr("x", "y", f"coalesce(n_whole, 0) + coalesce(n_part, 0) AS {out}"))
+
+
+def neighbour_counts(points: DataFrame, distance: float, out: str = "n_near", x: str = "x", y: str = "y",
+                     split: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Number of point rows within ``distance`` of each point, itself included."""
+    return attach(points, neighbours_by_position(points, distance, out, x, y, split), x, y, "inner", hot_rows)

@@ -19,7 +19,7 @@ from crosstie.functions.nulls import not_in_keep_null, paste
 from crosstie.functions.text import title_case
 from crosstie.geo.match import join_within, lines_near_lines, nearest_line, within_lines
 from crosstie.geo.polygons import clip_lines, lines_near_polygons
-from crosstie.geo.project import TM_92W30, unproject
+from crosstie.geo.project import TM_92W30, TransverseMercator, project, unproject
 from crosstie.geo.shapes import dissolve
 from crosstie.operators.joins import anti, key_join, semi
 from crosstie.operators.reshape import row_total, widen_counts
@@ -72,15 +72,22 @@ def surveyed_inventory(inventory: DataFrame, survey: DataFrame) -> DataFrame:
 
 def crossing_base(inventory: DataFrame, incidents: DataFrame, survey: DataFrame, rail: DataFrame,
                   window: Sequence[str], exclusions: DataFrame, skip_corridor: str,
-                  distance: float = PUBLIC_DISTANCE) -> DataFrame:
+                  distance: float = PUBLIC_DISTANCE, grid: TransverseMercator | None = None) -> DataFrame:
     """Public at-grade assets on the studied corridors with history, survey and device class.
 
-    The spatial filter and the nearest-corridor join are one pass, and history is
-    joined last, to the few assets that remain.
+    With ``grid`` the position is projected from the coordinates, the survey's where the
+    inventory has none. Without it the inventory's ``x, y`` are used and the spatial step
+    runs first, so that survey and history are joined to the few assets that remain. The
+    within-distance filter and the nearest-corridor join are one pass.
     """
     public = inventory.where((F.col("pos_xing") == 1) & (F.col("type_xing") == 3))
-    placed = surveyed_inventory(public, survey).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    on_line = nearest_line(placed, rail, distance, ["rail_corridor"])
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    if grid is None:
+        on_line = surveyed_inventory(nearest_line(public, rail, distance, ["rail_corridor"]), survey).where(located)
+    else:
+        x, y = project("lon", "lat", grid)
+        placed = surveyed_inventory(public, survey).where(located).withColumns({"x": x, "y": y})
+        on_line = nearest_line(placed, rail, distance, ["rail_corridor"])
     kept = anti(on_line.where(F.col("rail_corridor") != skip_corridor), exclusions, ["crossing_id"])
     flagged = kept.withColumn("pedestrian", rules.pedestrian_flag("purpose"))
     return key_join(flagged, incident_history(incidents, window), ["crossing_id"])

@@ -11,10 +11,10 @@ from crosstie.functions import rules
 from crosstie.functions.measures import crash_timestamp, hour_24
 from crosstie.functions.nulls import not_in_keep_null, paste, ratio, to_integer, to_number
 from crosstie.functions.text import narrative, prefix
-from crosstie.geo.match import neighbour_counts
+from crosstie.geo.match import attach, neighbours_by_position
 from crosstie.geo.polygons import areal_density, join_polygons
 from crosstie.geo.shapes import locations
-from crosstie.operators.joins import key_join, sized_join, spread_join
+from crosstie.operators.joins import key_join, sized_join
 from crosstie.operators.reshape import lengthen, row_total, widen_counts
 from crosstie.operators.tables import count_by, log_histogram
 from crosstie.operators.windows import average_rank, keep_group_min, number_in_order
@@ -121,10 +121,13 @@ def field_review(sheet: DataFrame) -> DataFrame:
 
 
 def asset_density(assets: DataFrame, edges: DataFrame, counts: DataFrame, radius: float) -> DataFrame:
-    """Neighbouring assets and population density around every asset."""
-    near = neighbour_counts(assets, radius, "n_near")
+    """Neighbouring assets and population density around every asset.
+
+    Both are worked out per position and brought back to the assets in one join.
+    """
+    near = neighbours_by_position(assets, radius, "n_near")
     density = areal_density(locations(assets), edges, counts, radius)
-    return spread_join(near, density, ["x", "y"], "left")
+    return attach(assets, near.join(density, ["x", "y"], "left"))
 
 
 def sparsest_by_count(density: DataFrame) -> DataFrame:
