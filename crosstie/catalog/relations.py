@@ -393,10 +393,10 @@ def pipe_breakdown(t):
 
 
 @query("""SELECT crossing_id, subdiv_name, pass_cnt FROM fx_crossings c WHERE crossing_id IN (SELECT crossing_id FROM fx_survey)
- AND pass_cnt > 0 AND (subdiv_name IS NULL OR subdiv_name NOT IN ('PIXLEY IND-LD', 'Lake Ind Ld'))
+ AND pass_cnt > 0 AND (subdiv_name IS NULL OR subdiv_name NOT IN ('QUARRY IND-LD', 'Mill Ind Ld'))
  AND NOT EXISTS (SELECT 1 FROM fx_sheet s WHERE s.notes = 'Exclude' AND s.crossing_id = c.crossing_id)""")
 def pipe_surveyed(t):
-    out = asset_plans.surveyed_subset(t.crossings, t.survey, ("PIXLEY IND-LD", "Lake Ind Ld"),
+    out = asset_plans.surveyed_subset(t.crossings, t.survey, ("QUARRY IND-LD", "Mill Ind Ld"),
                                       t.sheet.where(F.col("notes") == "Exclude"))
     return out.select("crossing_id", "subdiv_name", "pass_cnt")
 

@@ -33,7 +33,7 @@ SELECT p_partkey AS crossing_id, p_name AS street,
   CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 9 = 0 THEN 2 ELSE 1 END AS purpose,
   CAST(1 + p_size % 3 AS INT) AS pos_xing, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 3 END AS type_xing,
   CASE WHEN p_partkey % 41 = 0 THEN 16 WHEN p_partkey % 43 = 0 THEN NULL ELSE 14 END AS reason_id,
-  CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 4 = 0 THEN 'PIXLEY IND-LD' ELSE 'west BELT' END AS subdiv_name,
+  CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 4 = 0 THEN 'QUARRY IND-LD' ELSE 'north BELT' END AS subdiv_name,
   CAST(1 + p_size % 2 AS INT) AS main_trk, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(p_size % 3 AS INT) END AS siding_trk,
   CAST(p_size AS INT) AS pass_cnt,
   CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE CAST(-94.0 + ((p_partkey * 37) % 1000) * 0.004 AS DOUBLE) END AS lon,

@@ -44,8 +44,11 @@ def hour_24(hour: str | Column, ampm: str | Column) -> Column:
 
 
 def crash_timestamp(year2, month, day, hour24: Column, minute) -> Column:
-    """Timestamp from text parts (two-digit year of this century); missing if not a real time."""
-    return F.try_make_timestamp(
+    """Local time from text parts (two-digit year of this century); missing if not a real time.
+
+    The result has no time zone, so it does not depend on the session's.
+    """
+    return F.try_make_timestamp_ntz(
         to_integer(year2) + 2000, to_integer(month), to_integer(day),
         hour24, to_integer(minute), F.lit(0).cast("decimal(16,6)"),
     )

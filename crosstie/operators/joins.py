@@ -113,20 +113,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return key_join(dealt, repeated, [*keys, _SALT], how).drop(_SALT)
 
 
-def lookup(df: DataFrame, key: str, table: dict, out: str) -> DataFrame:
-    """Left join to a constant code table given as a dict (size fixed by the program text)."""
-    rows = list(table.items())
-    codes = df.sparkSession.createDataFrame(rows, df.select(F.col(key), F.lit(None).cast("string").alias(out)).schema)
-    return key_join(df, F.broadcast(codes), [key], "left")
+def _constant(df: DataFrame, key: str, table: dict, value_type: str) -> Column:
+    """Value of ``key`` in a constant table as a map literal; missing where not listed."""
+    key_type = df.schema[key].dataType
+    pairs = [c for k, v in table.items() for c in (F.lit(k).cast(key_type), F.lit(v).cast(value_type))]
+    return F.try_element_at(F.create_map(*pairs), F.col(key))
+
+
+def lookup(df: DataFrame, key: str, table: dict, out: str, value_type: str = "string") -> DataFrame:
+    """Code to label through a constant table (its size is fixed by the program text)."""
+    return df.withColumn(out, _constant(df, key, table, value_type))
 
 
 def override(df: DataFrame, key: str, fixes: dict, out: str) -> DataFrame:
     """Point overrides: where ``key`` is listed, ``out`` takes the listed value."""
-    rows = list(fixes.items())
-    schema = df.select(F.col(key), F.col(out).alias("_fix")).schema
-    table = df.sparkSession.createDataFrame(rows, schema)
-    return key_join(df, F.broadcast(table), [key], "left").withColumn(
-        out, F.coalesce(F.col("_fix"), F.col(out))).drop("_fix")
+    fixed = _constant(df, key, fixes, df.schema[out].dataType.simpleString())
+    return df.withColumn(out, F.coalesce(fixed, F.col(out)))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
