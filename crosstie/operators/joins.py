@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take before the key is dealt over several tasks.
 HOT_ROWS = 1_000_000
-# Rows up to which a counted table of a key and a few attributes is broadcast.
-BROADCAST_ROWS = 200_000
+# Bounds of the broadcast list of hot keys and of the salts of one key.
+MOST_HOT = 1000
+MOST_SALTS = 1000
 _SALT = "_salt"
 
 
@@ -59,57 +60,61 @@ def anti(left: DataFrame, right: DataFrame, on: Sequence) -> DataFrame:
     return key_join(left, right, on, "left_anti")
 
 
-def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS):
-    """Deal the rows of hot ``left`` keys over several salts and repeat the matching right rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows, at most ``MOST_HOT`` of them, largest first, with a number of salts.
 
-    Returns both sides with an extra join key. A key is hot when it holds more than
-    ``hot_rows`` left rows, so the list of hot keys has at most ``rows / hot_rows``
-    entries; that bound is what makes broadcasting it safe at any data size. The
-    counting pass reads only the key columns and combines before its shuffle.
+    The constant bound makes the list safe to broadcast at any size. A key that misses the
+    list has fewer rows than each of ``MOST_HOT`` others, so under a thousandth of the table.
     """
-    keys = list(keys)
-    hot = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"), *keys).limit(MOST_HOT)
         .select(*[F.col(k).alias(f"_h_{k}") for k in keys],
-                F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
+                F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(MOST_SALTS)).cast("int").alias("_salts"))
     )
 
+
+def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
+           row_key: Sequence[str] = ()):
+    """Deal the rows of hot ``left`` keys over several salts and repeat the matching right rows.
+
+    Returns both sides with an extra join key. ``row_key`` names columns that tell rows of
+    one key apart; the salt is their hash. Without it the row's place in its partition is
+    used, which is repeatable for tables read from files; name a row key where ``left`` comes
+    out of a shuffle. The counting pass reads only the key columns and combines before its
+    shuffle.
+    """
+    keys = list(keys)
+    hot = hot_keys(left, keys, hot_rows)
+
     def with_salts(df: DataFrame) -> DataFrame:
         cond = _null_safe([(k, f"_h_{k}") for k in keys])
         return df.join(F.broadcast(hot), cond, "left").drop(*[f"_h_{k}" for k in keys])
 
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    dealt = with_salts(left).withColumn(
+    if row_key:
+        row, source = F.xxhash64(*[F.col(f"`{c}`") for c in row_key]), left
+    else:
+        row, source = F.col("_place"), left.withColumn("_place", F.monotonically_increasing_id())
+    dealt = with_salts(source).withColumn(
         _SALT, F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(row, F.col("_salts")).cast("int"))
-    ).drop("_salts")
+    ).drop("_salts", "_place")
     repeated = with_salts(right).withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     ).drop("_salts")
     return dealt, repeated
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows, by a distributed count."""
-    return df.count() <= rows
-
-
-def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-               hot_rows: int = HOT_ROWS, small_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large, uneven left side to a stored table of unknown size.
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                hot_rows: int = HOT_ROWS, row_key: Sequence[str] = ()) -> DataFrame:
+    """``key_join`` on equally named keys for a left side whose keys may be very uneven.
 
-    The right side's row count is checked first: up to ``small_rows`` it is broadcast and
-    the left side is not shuffled at all; beyond that hot left keys are dealt out.
+    Only joins that keep no unmatched right row are possible: the right rows of a hot key
+    are repeated, and each repeat would be kept by itself.
     """
-    if is_small(right, small_rows):
-        return key_join(left, F.broadcast(right), keys, how)
-    return spread_join(left, right, keys, how, hot_rows)
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``key_join`` on equally named keys for a left side whose keys may be very uneven."""
-    dealt, repeated = spread(left, right, keys, hot_rows)
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"spread_join cannot keep unmatched right rows (how={how!r})")
+    dealt, repeated = spread(left, right, keys, hot_rows, row_key)
     return key_join(dealt, repeated, [*keys, _SALT], how).drop(_SALT)
 
 

@@ -14,7 +14,7 @@ from crosstie.functions.text import narrative, prefix
 from crosstie.geo.match import attach, neighbours_by_position
 from crosstie.geo.polygons import areal_density, join_polygons
 from crosstie.geo.shapes import locations
-from crosstie.operators.joins import key_join, sized_join
+from crosstie.operators.joins import key_join, spread_join
 from crosstie.operators.reshape import lengthen, row_total, widen_counts
 from crosstie.operators.tables import count_by, log_histogram
 from crosstie.operators.windows import average_rank, keep_group_min, number_in_order
@@ -28,7 +28,7 @@ def crash_summary(incidents: DataFrame, assets: DataFrame) -> DataFrame:
     Incidents per asset can be very uneven: a small asset table is broadcast, else the
     join deals busy assets out.
     """
-    joined = sized_join(incidents, assets.select("crossing_id", "corridor"), ["crossing_id"], "inner")
+    joined = spread_join(incidents, assets.select("crossing_id", "corridor"), ["crossing_id"], "inner")
     return joined.select(
         "crossing_id", "corridor",
         crash_timestamp("iyr", "imo", "iday", hour_24("hr", "ampm"), "mi").alias("crash_time"),
@@ -111,7 +111,7 @@ def passive_crash_subset(incidents: DataFrame, assets: DataFrame, since: int) ->
     """Incidents since a two-digit year at assets without gates."""
     ungated = assets.where(not_in_keep_null("warn_dev", ("Gates", "GatesWithMedian")))
     recent = incidents.where(to_integer("iyr") >= since)
-    return sized_join(recent, ungated.select("crossing_id"), ["crossing_id"], "left_semi")
+    return spread_join(recent, ungated.select("crossing_id"), ["crossing_id"], "left_semi")
 
 
 def field_review(sheet: DataFrame) -> DataFrame:

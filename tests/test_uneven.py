@@ -1,5 +1,7 @@
 """Results do not change when a third or more of the rows share one key, position or group."""
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosstie.geo import match, polygons, shapes
@@ -20,8 +22,22 @@ def test_spread_join_equals_plain_join(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = joins.key_join(left, right, ["k"], how)
         assert as_set(joins.spread_join(left, right, ["k"], how, hot_rows=100)) == as_set(plain)
-        assert as_set(joins.sized_join(left, right, ["k"], how, hot_rows=100, small_rows=1)) == as_set(plain)
-        assert as_set(joins.sized_join(left, right, ["k"], how)) == as_set(plain)
+        assert as_set(joins.spread_join(left, right, ["k"], how, hot_rows=100, row_key=["id"])) == as_set(plain)
+        assert as_set(joins.spread_join(left, right, ["k"], how)) == as_set(plain)
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            joins.spread_join(left, right, ["k"], how, hot_rows=100)
+
+
+def test_equal_rows_of_a_hot_key_are_dealt_out(spark):
+    left = spark.range(3000).select(F.lit(7).alias("k"))
+    dealt, _ = joins.spread(left, spark.createDataFrame([(7, "v")], "k int, v string"), ["k"], 100)
+    assert dealt.select("_salt").distinct().count() == 30
+
+
+def test_hot_list_has_a_constant_bound(spark):
+    keys = spark.range(6000).select((F.col("id") % 1500).alias("k"))
+    assert joins.hot_keys(keys, ["k"], 1).count() == joins.MOST_HOT
 
 
 def test_hot_key_is_dealt_over_several_salts(spark):
@@ -34,17 +50,19 @@ def test_hot_key_is_dealt_over_several_salts(spark):
 def test_numbering_is_the_same_when_groups_are_sliced(spark):
     df = uneven(spark).withColumn("pos", (F.col("id") * 7919) % 101)
     order = [F.col("pos"), F.col("id")]
-    plain = windows.number_in_order(df, ["k"], order, "n")
-    sliced = windows.number_in_order(df, ["k"], order, "n", hot_rows=150)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint"))
+    sliced = windows.number_in_order(df, ["k"], order, "n")
     assert as_set(sliced.select("id", "n")) == as_set(plain.select("id", "n"))
-    whole = windows.number_in_order(df, [], order, "n", hot_rows=200)
+    assert dict(sliced.dtypes)["n"] == "bigint"
+    whole = windows.number_in_order(df, [], order, "n")
     assert sorted(r.n for r in whole.collect()) == list(range(1, 3001))
 
 
 def test_ranks_are_the_same_when_groups_are_sliced(spark):
     df = uneven(spark).withColumn("v", (F.col("id") * 31) % 400).withColumn("g", F.lit("all"))
-    plain = windows.average_rank(df, ["g"], "v", "r")
-    assert as_set(windows.average_rank(df, ["g"], "v", "r", hot_rows=50).select("id", "r")) == as_set(plain.select("id", "r"))
+    v = Window.partitionBy("g", "v")
+    plain = df.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy("v")) + (F.count(F.lit(1)).over(v) - 1) / F.lit(2.0))
+    assert as_set(windows.average_rank(df, ["g"], "v", "r").select("id", "r")) == as_set(plain.select("id", "r"))
 
 
 def crowded(spark):
