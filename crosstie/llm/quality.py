@@ -139,3 +139,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     judged = spread_join(measures, verdicts, ["host"], "left", HOT_ROWS, ["doc_id", "t1"])
     return judged.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged.
+
+    Rows of equal id, host and text share their verdict.
+    """
+    kept = (quality_rules(docs, doc_id, host, text).where("kept")
+            .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("t1").alias("_t1")))
+    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = (rows[doc_id].eqNullSafe(kept["_id"]) & rows[host].cast("string").eqNullSafe(kept["_host"]) & (rows["_t"] == kept["_t1"]))
+    return rows.join(kept, same, "left_semi").drop("_t")

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosstie.llm import byte_bpe, html_text, order_minhash, packing, quality, secret_scan, token_files, warc_zip
+from crosstie.llm import (
+    byte_bpe,
+    html_text,
+    ngram_join,
+    order_minhash,
+    packing,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    token_files,
+    warc_zip,
+)
 from crosstie.llm.common import importable
 
 
@@ -15,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -48,9 +63,14 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_html_text, op3_byte_bpe, op4_quality_rules, op5_secret_scan, op6_best_fit_packing, op7_token_orc, op8_order_minhash, op9_warc_zip)}
+        op1_ngram_join, op2_html_text, op3_byte_bpe, op4_quality_rules, op5_secret_scan, op6_best_fit_packing, op7_token_orc, op8_order_minhash, op9_warc_zip,
+        op10_suffix_dedup)}
 
 # The measures are written with the same rules: words by the white-space class, windows of
 # five words, lines with a word; host rates with a beta prior by moments.
