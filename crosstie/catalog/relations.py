@@ -10,6 +10,7 @@ from crosstie.catalog.sqltext import (
     ASSETS, CORRIDOR_CASE, CORRIDORS, GROUP, HISTORY, IN_SCOPE, SEVERITY, WINDOW_YEARS, in_list,
 )
 from crosstie.functions import rules
+from crosstie.functions.nulls import strict_sum
 from crosstie.operators import joins, reshape, tables, windows
 from crosstie.plans import assets as asset_plans
 from crosstie.plans import closure, reports, risk
@@ -138,14 +139,14 @@ def agg_hist_window(t):
 OD_SIDE_SQL = """side AS (SELECT *, CASE WHEN o_id IS NULL THEN o_name ELSE d_name END AS gate,
  CASE WHEN o_id IS NULL THEN d_id ELSE o_id END AS link_id, CASE WHEN o_id IS NULL THEN o_total ELSE d_total END AS gate_total
  FROM fx_od WHERE day_type = 'all' AND day_part = 'all day'),
-share AS (SELECT gate, link_id, SUM(od_vol) AS volume, arg_min(gate_total, ingest_seq) AS gate_total FROM side GROUP BY 1, 2),
+share AS (SELECT gate, link_id, CASE WHEN COUNT(od_vol) = COUNT(*) THEN SUM(od_vol) END AS volume, arg_min(gate_total, ingest_seq) AS gate_total FROM side GROUP BY 1, 2),
 pct AS (SELECT gate, link_id, round_even(volume / gate_total * 100, 0) AS trip_percent FROM share)"""
 
 
 @query(f"WITH {OD_SIDE_SQL} SELECT * FROM share")
 def agg_consolidate(t):
     return closure.whole_period(closure.gate_side(t.od)).groupBy("gate", "link_id").agg(
-        F.sum("od_vol").alias("volume"), F.min_by("gate_total", "ingest_seq").alias("gate_total"))
+        strict_sum("od_vol").alias("volume"), F.min_by("gate_total", "ingest_seq").alias("gate_total"))
 
 
 def _strict(c: str) -> str:
@@ -200,11 +201,11 @@ def agg_treatment_tally_t1(t):
     return risk.treatment_tally(t.sheet, first_tier=True)
 
 
-@query("SELECT 'all' AS tier, corridor, closures, afws, lighting, other, public_to_private, security_gates, grade_seps FROM ("
-       + _tally("all_desc", False) + ") a UNION ALL SELECT 't1', corridor, closures, afws, lighting, other, public_to_private, security_gates, grade_seps FROM ("
+@query("SELECT 'all' AS tier, corridor, closures, afws, lighting, other, public_to_private, security_gates, grade_seps, NULL AS gates FROM ("
+       + _tally("all_desc", False) + ") a UNION ALL SELECT 't1', corridor, closures, afws, lighting, other, public_to_private, security_gates, grade_seps, gates FROM ("
        + _tally("tier1_desc", True) + ") b")
 def pipe_tally(t):
-    first = risk.treatment_tally(t.sheet, first_tier=True).drop("gates").withColumn("tier", F.lit("t1"))
+    first = risk.treatment_tally(t.sheet, first_tier=True).withColumn("tier", F.lit("t1"))
     return tables.union_by_name(risk.treatment_tally(t.sheet).withColumn("tier", F.lit("all")), first)
 
 
@@ -308,22 +309,23 @@ def _pivot_sql(fill: bool) -> str:
     def cell(y):
         c = f"COUNT(*) FILTER (WHERE iyr = '{y}')"
         return f'{c if fill else f"NULLIF({c}, 0)"} AS "{y}"'
-    return f"SELECT {VEHICLE} AS vehicle, pos_code, {', '.join(cell(y) for y in _YEARS)} FROM fx_incidents WHERE narr1 IS NULL AND killed = '1' GROUP BY 1, 2"
+    rest = "COUNT(*) FILTER (WHERE iyr IS NULL OR iyr NOT IN ('" + "', '".join(_YEARS) + "'))"
+    return (f"SELECT {VEHICLE} AS vehicle, pos_code, {', '.join(cell(y) for y in _YEARS)}, {rest if fill else f'NULLIF({rest}, 0)'} AS rest "
+            "FROM fx_incidents GROUP BY 1, 2")
 
 
-def _deadly(t):
-    return t.incidents.where(F.col("narr1").isNull() & (F.col("killed") == "1")).withColumn(
-        "vehicle", rules.decode("veh_code", rules.VEHICLE_CODES, "Other"))
+def _vehicles(t):
+    return t.incidents.withColumn("vehicle", rules.decode("veh_code", rules.VEHICLE_CODES, "Other"))
 
 
 @query(_pivot_sql(True))
 def rsh_wide(t):
-    return reshape.widen_counts(_deadly(t), ["vehicle", "pos_code"], "iyr", _YEARS)
+    return reshape.widen_counts(_vehicles(t), ["vehicle", "pos_code"], "iyr", _YEARS, rest="rest")
 
 
 @query(_pivot_sql(False))
 def rsh_wide_nofill(t):
-    return reshape.widen_counts(_deadly(t), ["vehicle", "pos_code"], "iyr", _YEARS, fill=False)
+    return reshape.widen_counts(_vehicles(t), ["vehicle", "pos_code"], "iyr", _YEARS, fill=False, rest="rest")
 
 
 ROUTES_SQL = """wide AS (SELECT crossing_id, trips, MAX(distance) FILTER (WHERE scenario = 'base') AS distance_base,
@@ -436,13 +438,15 @@ def pipe_gate_share(t):
 
 @query(f"""WITH {ASSETS}, c AS (SELECT {VEHICLE} AS vehicle, a.corridor FROM fx_incidents i JOIN assets a ON i.crossing_id = a.crossing_id)
 SELECT vehicle, NULLIF(COUNT(*) FILTER (WHERE corridor = 'River'), 0) AS "River", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Eagle'), 0) AS "Eagle",
- NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL), 0) AS "NA" FROM c GROUP BY 1""")
+ NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL), 0) AS "NA",
+ NULLIF(COUNT(*) FILTER (WHERE corridor NOT IN ('River', 'Eagle')), 0) AS rest FROM c GROUP BY 1""")
 def pipe_crash_vehicles(t):
     return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "vehicle", ["River", "Eagle", None])
 
 
 @query(f"""WITH c AS (SELECT {MOTORIST} AS motorist, a.corridor FROM fx_incidents i JOIN fx_crossings a ON i.crossing_id = a.crossing_id)
-SELECT motorist, NULLIF(COUNT(*) FILTER (WHERE corridor = 'River'), 0) AS "River", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Eagle'), 0) AS "Eagle" FROM c GROUP BY 1""")
+SELECT motorist, NULLIF(COUNT(*) FILTER (WHERE corridor = 'River'), 0) AS "River", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Eagle'), 0) AS "Eagle",
+ NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL OR corridor NOT IN ('River', 'Eagle')), 0) AS rest FROM c GROUP BY 1""")
 def pipe_crash_actions(t):
     return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "motorist", ["River", "Eagle"])
 

@@ -139,10 +139,10 @@ def geo_pip_join(t):
     return polygons.join_polygons(t.crossings.select("crossing_id", "x", "y"), t.edges).select("crossing_id", "poly_id")
 
 
-@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'River' AND pos_xing = 1 AND reason_id <> 16),
+@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'River'),
 held AS (""" + within("g") + ") SELECT poly_id, name FROM fx_blocks WHERE poly_id IN (SELECT poly_id FROM held)")
 def geo_poly_has_point(t):
-    chosen = t.crossings.where((F.col("corridor") == "River") & (F.col("pos_xing") == 1) & (F.col("reason_id") != 16))
+    chosen = t.crossings.where(F.col("corridor") == "River")
     return polygons.polygons_with_points(t.blocks, t.edges, chosen).select("poly_id", "name")
 
 

@@ -80,7 +80,7 @@ SELECT c_custkey AS crossing_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST
     "fx_od": """
 SELECT event_id AS ingest_seq, CASE WHEN event_id % 2 = 0 THEN NULL ELSE user_id END AS o_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'link' END AS o_name,
   CASE WHEN event_id % 2 = 0 THEN user_id END AS d_id, CASE WHEN event_id % 2 = 0 THEN 'link' ELSE event_type END AS d_name,
-  CAST(FLOOR(value) AS DOUBLE) AS od_vol, CAST(10000 + length(event_type) AS DOUBLE) AS o_total, CAST(20000 + length(event_type) AS DOUBLE) AS d_total,
+  CASE WHEN event_id % 97 = 5 THEN NULL ELSE CAST(FLOOR(value) AS DOUBLE) END AS od_vol, CAST(10000 + length(event_type) AS DOUBLE) AS o_total, CAST(20000 + length(event_type) AS DOUBLE) AS d_total,
   CASE WHEN event_id % 3 = 0 THEN 'weekday' ELSE 'all' END AS day_type,
   CASE WHEN event_id % 7 = 0 THEN 'peak' ELSE 'all day' END AS day_part
 FROM {events}""",

@@ -17,12 +17,21 @@ def _label(v) -> str:
     return "NA" if v is None else str(v)
 
 
-def widen_counts(df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence, fill: bool = True) -> DataFrame:
-    """Row counts per id and name, one column per declared name; absent pairs are 0 or missing."""
-    def n(v) -> Column:
-        c = F.count_if(F.col(names_from).eqNullSafe(F.lit(v)))
-        return (c if fill else F.nullif(c, F.lit(0).cast("bigint"))).alias(_label(v))
-    return df.groupBy(*ids).agg(*[n(v) for v in names])
+def widen_counts(df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence, fill: bool = True,
+                 rest: str | None = None) -> DataFrame:
+    """Row counts per id and name, one column per declared name; absent pairs are 0 or missing.
+
+    ``rest`` names a column for the rows of all other names, so that none goes uncounted.
+    """
+    def n(test: Column, label: str) -> Column:
+        c = F.count_if(test)
+        return (c if fill else F.nullif(c, F.lit(0).cast("bigint"))).alias(label)
+
+    declared = [F.col(names_from).eqNullSafe(F.lit(v)) for v in names]
+    cells = [n(test, _label(v)) for test, v in zip(declared, names, strict=True)]
+    if rest:
+        cells.append(n(~reduce(lambda a, b: a | b, declared), rest))
+    return df.groupBy(*ids).agg(*cells)
 
 
 def widen(df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence, values: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstie.functions.measures import half_even, metres_to_miles, seconds_to_hours
-from crosstie.functions.nulls import ratio
+from crosstie.functions.nulls import ratio, strict_sum
 from crosstie.operators.joins import key_join
 from crosstie.operators.reshape import spread_total, widen
 
@@ -63,9 +63,9 @@ def whole_period(od: DataFrame, day_type: str = "all", day_part: str = "all day"
 
 
 def trip_percent(od: DataFrame) -> DataFrame:
-    """Share of a gate's trips per link, in whole percent; duplicate rows are consolidated."""
+    """Share of a gate's trips per link, in whole percent; duplicate rows are consolidated, one missing volume makes it missing."""
     merged = whole_period(gate_side(od)).groupBy("gate", "link_id").agg(
-        F.sum("od_vol").alias("volume"), F.min_by("gate_total", "ingest_seq").alias("gate_total"))
+        strict_sum("od_vol").alias("volume"), F.min_by("gate_total", "ingest_seq").alias("gate_total"))
     return merged.select("gate", "link_id", half_even(ratio("volume", "gate_total") * 100).alias("trip_percent"))
 
 

@@ -40,8 +40,8 @@ def crash_summary(incidents: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def crashes_by(crashes: DataFrame, what: str, corridors: Sequence[str]) -> DataFrame:
-    """Crash counts by one attribute and corridor; combinations that do not occur stay missing."""
-    return widen_counts(crashes, [what], "corridor", corridors, fill=False)
+    """Crash counts by one attribute and corridor, other corridors as ``rest``; combinations that do not occur stay missing."""
+    return widen_counts(crashes, [what], "corridor", corridors, fill=False, rest="rest")
 
 
 def predicted_crashes(assets: DataFrame, model: DataFrame) -> DataFrame:
