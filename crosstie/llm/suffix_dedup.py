@@ -10,21 +10,24 @@ a time (a bucket: same anchor, same distance to it). They are sorted by their fi
 ``PERIOD`` bytes; longer ties are resolved by the ranks of a difference-cover sample that
 is sorted once per block. Neighbours that share ``LENGTH`` bytes are repeated.
 
-A block is bounded in size. An anchor with more classes than a block may hold (a common
-passage in front of different texts) is taken apart by the windows themselves: their
-128-bit hashes are counted with a combine before the shuffle.
+A block is bounded in size. The contexts of an anchor with more classes than a block may
+hold (a common passage in front of different texts) are dealt over several blocks. Each
+sorts its own suffixes; of windows repeated there one goes on, of the others all do, and
+windows that meet again across blocks are found by sorting their 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crosstie.llm.common import HOT_ROWS, grouped, sorted_groups
 from crosstie.operators.joins import spread_join
@@ -195,8 +198,10 @@ def _words(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     return data[places[:, None] + np.arange(size)].view(">u8").astype(np.uint64)
 
 
-def repeated_windows(parts: list[bytes], shifts: np.ndarray, ns: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Which windows of a block's contexts are repeated: flags for all windows, context by context.
+def repeated_windows(parts: list[bytes], shifts: np.ndarray, ns: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a block's contexts are repeated, and which of these come first of their kind.
+
+    Both are flags for all windows, context by context.
 
     Contexts are laid out with their anchors at multiples of the period, so the suffixes of
     a bucket have one residue and the same step to the next sampled place.
@@ -230,69 +235,104 @@ def repeated_windows(parts: list[bytes], shifts: np.ndarray, ns: np.ndarray, buc
     flags = np.zeros(len(of), bool)
     flags[order[1:]] |= same
     flags[order[:-1]] |= same
-    return flags
+    later = np.zeros(len(of), bool)
+    later[order[1:]] = same
+    return flags, flags & ~later
 
 
-def sorted_blocks(parts: DataFrame) -> DataFrame:
-    """Repeated windows (``doc_id``, ``t1``, ``start``, ``n``) of all contexts, block by block."""
-    kind = parts.schema["doc_id"].dataType.simpleString()
+class Block:
+    """The contexts of whole buckets with the repeated windows among them."""
 
-    def block(groups: list[list[dict]]) -> pa.RecordBatch:
-        rows = [r for g in groups for r in g]
+    def __init__(self, groups: list[list[dict]]):
+        self.rows = [r for g in groups for r in g]
         bucket = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        ns = np.array([r["n"] for r in rows])
-        flags = repeated_windows([r["data"] for r in rows], np.array([r["shift"] for r in rows]), ns, bucket)
-        of = np.repeat(np.arange(len(rows)), ns)
-        start = np.array([r["start"] for r in rows])[of] + np.arange(len(of)) - np.repeat(np.cumsum(ns) - ns, ns)
-        # Flagged windows of one context that follow each other are one run.
-        hits = np.flatnonzero(flags)
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(hits) > 1) | (np.diff(of[hits]) > 0)])) if len(hits) else hits
-        lengths = np.diff(np.concatenate([new, [len(hits)]]))
-        owner = of[hits[new]].tolist()
-        doc_type = parts_type
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i]["doc_id"] for i in owner], doc_type), pa.array([rows[i]["t1"] for i in owner], pa.int64()),
-             pa.array(start[hits[new]], pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "t1", "start", "n"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    parts_type = to_arrow_type(parts.schema["doc_id"].dataType)
+        ns = np.array([r["n"] for r in self.rows])
+        self.flags, self.first = repeated_windows([r["data"] for r in self.rows], np.array([r["shift"] for r in self.rows]), ns, bucket)
+        self.of = np.repeat(np.arange(len(self.rows)), ns)
+        self.step = np.arange(len(self.of)) - np.repeat(np.cumsum(ns) - ns, ns)
+        self.start = np.array([r["start"] for r in self.rows])[self.of] + self.step
+
+    def owners(self, windows: np.ndarray, doc_type: pa.DataType) -> list[pa.Array]:
+        rows = [self.rows[i] for i in self.of[windows].tolist()]
+        return [pa.array([r["doc_id"] for r in rows], doc_type), pa.array([r["t1"] for r in rows], pa.int64()),
+                pa.array(self.start[windows], pa.int64())]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """First window and length of each run of repeated windows of one context."""
+        hits = np.flatnonzero(self.flags)
+        if not len(hits):
+            return hits, hits
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(hits) > 1) | (np.diff(self.of[hits]) > 0)]))
+        return hits[new], np.diff(np.concatenate([new, [len(hits)]]))
+
+
+def _doc_type(df: DataFrame) -> tuple[str, pa.DataType]:
+    kind = df.schema["doc_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def sorted_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Repeated windows (``doc_id``, ``t1``, ``start``, ``n``) of all contexts, block by block."""
+    kind, doc_type = _doc_type(parts)
+
+    def result(groups: list[list[dict]]) -> pa.RecordBatch:
+        done = Block(groups)
+        first, n = done.found()
+        return pa.RecordBatch.from_arrays([*done.owners(first, doc_type), pa.array(n, pa.int64())], ["doc_id", "t1", "start", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for _, rows in sorted_groups(batches, ["h"]):
             waiting.append(rows)
             size += len(rows)
-            if size >= BLOCK:
-                yield block(waiting)
+            if size >= block:
+                yield result(waiting)
                 waiting, size = [], 0
         if waiting:
-            yield block(waiting)
+            yield result(waiting)
 
     return grouped(parts, ["h"]).mapInArrow(work, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
 
 
-def counted_windows(parts: DataFrame) -> DataFrame:
-    """The same as ``sorted_blocks`` for anchors with more contexts than a block: windows counted by their hash."""
-    kind = parts.schema["doc_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, rows = [], []
-            for i, (start, n, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "n", "data")), strict=True)):
-                of += [i] * n
-                rows += [(start + k, *halves(data[k:k + LENGTH])) for k in range(n)]
-            take = pa.array(of, pa.int64())
-            columns = zip(*rows, strict=True) if rows else ([],) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("t1").take(take),
-                                              *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "t1", "start", "w1", "w2"])
-
-    windows = parts.mapInArrow(work, f"doc_id {kind}, t1 bigint, start bigint, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    found = spread_join(windows, twice, ["w1", "w2"], "left_semi", HOT_ROWS, ["doc_id", "t1", "start"])
-    return found.select("doc_id", "t1", "start", F.lit(1).cast("bigint").alias("n"))
+def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same for anchors with more contexts than a block; ``parts`` is a stored table.
 
+    Contexts are dealt over tasks of a block each. A task returns its runs of repeated
+    windows, and, with their hashes, the windows that may have partners in other blocks.
+    """
+    kind, doc_type = _doc_type(parts)
+    names = ["doc_id", "t1", "start", "n", "w1", "w2", "known"]
 
-def repeated(rows: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["h"])
+        if not rows:
+            return
+        done = Block([list(g) for _, g in groupby(rows, key=lambda r: r["h"])])
+        first, n = done.found()
+        none = pa.nulls(len(first), pa.int64())
+        yield pa.RecordBatch.from_arrays([*done.owners(first, doc_type), pa.array(n, pa.int64()), none, none,
+                                          pa.nulls(len(first), pa.bool_())], names)
+        on = np.flatnonzero(~done.flags | done.first)
+        pairs = [halves(done.rows[i]["data"][k:k + LENGTH]) for i, k in zip(done.of[on].tolist(), done.step[on].tolist(), strict=True)]
+        w1, w2 = zip(*pairs, strict=True) if pairs else ((), ())
+        yield pa.RecordBatch.from_arrays([*done.owners(on, doc_type), pa.array(np.ones(len(on), np.int64)), pa.array(w1, pa.int64()),
+                                          pa.array(w2, pa.int64()), pa.array(done.flags[on])], names)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in sorted_groups(batches, ["w1", "w2"]):
+            new = [r for r in rows if not r["known"]] if len(rows) > 1 else []
+            if new:
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in names[:4]} for r in new], pa.schema(
+                    [("doc_id", doc_type), *[(k, pa.int64()) for k in names[1:4]]]))
+
+    tasks = max(1, -(-parts.count() // block))
+    local = stored(parts.repartition(tasks).mapInArrow(
+        work, f"doc_id {kind}, t1 bigint, start bigint, n bigint, w1 bigint, w2 bigint, known boolean"), "crowds")
+    met = grouped(local.where("w1 IS NOT NULL"), ["w1", "w2"]).mapInArrow(across, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
+    return local.where("w1 IS NULL").select("doc_id", "t1", "start", "n").unionByName(met)
+
+
+def repeated(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Runs of repeated windows (``doc_id``, ``t1``, ``start``, ``n``) of all texts."""
     every = runs(rows)
     twice = (every.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("c1") != F.max("c1")).alias("several"))
@@ -304,12 +344,12 @@ def repeated(rows: DataFrame) -> DataFrame:
     whole = spread_join(shared, classes.where("m > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi", HOT_ROWS,
                         ["doc_id", "t1", "start"]).select("doc_id", "t1", "start", "n")
     open_classes = classes.where("several").select("h", "one.*")
-    crowd = open_classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("h", F.lit(True).alias("crowded"))
+    crowd = open_classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).select("h", F.lit(True).alias("crowded"))
     wanted = spread_join(open_classes, crowd, ["h"], "left", HOT_ROWS, ["doc_id", "t1", "start"])
     crowded = wanted.where("crowded").drop("crowded")
     others = wanted.where("crowded IS NULL").drop("crowded")
-    return (whole.unionByName(sorted_blocks(contexts(rows, others)))
-            .unionByName(counted_windows(stored(contexts(rows, crowded), "crowded"))))
+    return (whole.unionByName(sorted_blocks(contexts(rows, others), block))
+            .unionByName(crowded_blocks(stored(contexts(rows, crowded), "crowded"), block)))
 
 
 def _covered(size: int, found: list[dict]) -> np.ndarray:
@@ -329,13 +369,13 @@ def _kept(data: bytes, found: list[dict] | None) -> tuple[bytes, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), spans
 
 
-def _with_runs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _with_runs(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
     rows = keyed(docs, doc_id, text)
-    lists = repeated(rows).groupBy("doc_id", "t1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    lists = repeated(rows, block).groupBy("doc_id", "t1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
     return _with_text(rows, stored(lists, "found"), "left")
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: bytes, removed bytes, removed runs and the digest of the bytes that stay.
 
     A missing text is empty; texts under ``LENGTH`` bytes stay as they are; a text that
@@ -354,7 +394,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                  pa.array([len(d) - len(k) for d, (k, _) in zip(data, kept, strict=True)], pa.int64()),
                  pa.array([s for _, s in kept], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept])], names)
 
-    return _with_runs(docs, doc_id, text).select("doc_id", "data", "found").mapInArrow(
+    return _with_runs(docs, doc_id, text, block).select("doc_id", "data", "found").mapInArrow(
         work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
