@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crosstie.llm import (
     byte_bpe,
+    centroids,
+    collocations,
+    decontaminate,
     html_text,
     ngram_join,
     order_minhash,
@@ -67,10 +70,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_join, op2_html_text, op3_byte_bpe, op4_quality_rules, op5_secret_scan, op6_best_fit_packing, op7_token_orc, op8_order_minhash, op9_warc_zip,
-        op10_suffix_dedup)}
+        op10_suffix_dedup, op11_centroids, op12_collocations, op13_decontamination)}
 
 # The measures are written with the same rules: words by the white-space class, windows of
 # five words, lines with a word; host rates with a beta prior by moments.
@@ -101,7 +116,59 @@ QUALITY_FEATURES = r"""
   prior AS (SELECT m, 1 / least(greatest(rho, 1e-6), 1 - 1e-6) - 1 AS strength FROM fit),
   verdicts AS (SELECT source, (bad + m * strength) / (n + strength) > 0.5 AND bad::DOUBLE / n > 0.5 AS host_rejected FROM hosts, prior)"""
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _centroid_sql() -> str:
+    """Three rounds of Lloyd's method and a last assignment, one CTE a step. Centroids are lists, distances sums over zipped lists."""
+    steps = ["""kept AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             """c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS cluster, v AS c FROM kept
+    ORDER BY sha256('1:' || vec_id::VARCHAR), v LIMIT 16)"""]
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for i in range(4):
+        steps.append(f"""d{i} AS (SELECT row, vec_id, v, min(struct_pack(distance := {far}, cluster := cluster)) AS best FROM kept, c{i} GROUP BY row, vec_id, v)""")
+        if i < 3:
+            steps.append(f"""s{i} AS (SELECT cluster, dim, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best.cluster AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM d{i}) GROUP BY 1, 2)""")
+            steps.append(f"""c{i + 1} AS (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY dim) AS c FROM s{i} GROUP BY 1) m USING (cluster))""")
+    return "WITH " + ",\n  ".join(steps) + """
+  SELECT vec_id, best.cluster::INTEGER AS cluster, best.distance AS distance, (sum(best.distance) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+         (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+  FROM d3 JOIN c3 ON c3.cluster = best.cluster"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroids": _centroid_sql(),
+    "op12_collocations": rf"""
+  WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+       lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+       totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY 1),
+       starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4, 5]) AS m)),
+       counts AS (SELECT lang, list_slice(w, i, i + m - 1) AS words, count(*) AS f FROM starts GROUP BY 1, 2),
+       long AS (SELECT *, array_to_string(words, ' ') AS phrase FROM counts WHERE len(words) > 1 AND f >= 100),
+       cuts AS (SELECT g.*, unnest(range(1, len(words))) AS k FROM long g),
+       rated AS (SELECT g.lang, g.phrase, g.f, t.n, g.k, x.f AS l, y.f AS r, (1000::HUGEINT * g.f * t.n) // (x.f::HUGEINT * y.f) AS score
+                 FROM cuts g JOIN totals t USING (lang) JOIN counts x ON x.lang = g.lang AND x.words = list_slice(g.words, 1, g.k)
+                 JOIN counts y ON y.lang = g.lang AND y.words = list_slice(g.words, g.k + 1, len(g.words))),
+       worst AS (SELECT lang, phrase, f, n, min(struct_pack(score := score, k := k, l := l, r := r)) AS w FROM rated GROUP BY 1, 2, 3, 4),
+       kept AS (SELECT * FROM worst p WHERE NOT EXISTS (SELECT 1 FROM long q WHERE q.lang = p.lang AND q.f >= p.f AND q.phrase <> p.phrase
+                AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY w.score DESC, f DESC, phrase) AS rank FROM kept)
+  SELECT lang, rank, phrase, f AS a, w.l AS l, w.r AS r, n::BIGINT AS n, w.score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    "op13_decontamination": rf"""
+  WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+       items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+       places AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+       windows AS (SELECT DISTINCT item, size, list_slice(w, i, i + size - 1) AS words FROM places),
+       sizes AS (SELECT DISTINCT size FROM windows),
+       grams AS (SELECT rid, size, i, list_slice(w, i, i + size - 1) AS words
+                 FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes)),
+       found AS (SELECT rid, size, i, item FROM grams JOIN windows USING (size, words)),
+       hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS pos FROM found) GROUP BY 1),
+       named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM found) GROUP BY 1)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+         sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)""",
     "op4_quality_rules": "WITH" + QUALITY_FEATURES.format(documents="documents") + """
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
          NOT base_failed AND NOT host_rejected AS kept
