@@ -16,8 +16,9 @@ of fixed size: what passes it by chance is removed afterwards by an exact join.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import HOT_ROWS
+from crosstie.llm.common import HOT_ROWS, BitSet, bit_set, mixed
 from crosstie.operators.joins import spread_join
 from crosstie.session import stored
 
@@ -35,20 +36,16 @@ WANTED = 2000
 NO_LANGUAGE = "und"
 # Growth of the frontier: a round expands words of up to so many times the count of the round before.
 GROWTH = 32
-# Bits of a set of phrases: 64 for each within these bounds (the most: 32 MB), in buckets of Spark's bitmap functions.
-LEAST_BITS, MOST_BITS = 1 << 18, 1 << 28
-BUCKET = 1 << 15
-# Different words a task remembers, words of a stored row, and phrases counted in one go.
-MOST_KNOWN = 1_000_000
-ROW_WORDS = 1 << 16
-AT_ONCE = 1 << 22
+# Different words a task remembers, bytes of text that are split at a time, and words whose phrases are counted in one go.
+MOST_KNOWN = 300_000
+ROW_BYTES = 1 << 19
+AT_ONCE = 1 << 20
 _SPLIT = bytes(0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def split_words(texts: list[bytes]) -> list[bytes]:
-    """The words of the texts in order; an end of line stands between pieces, empty strings are to be skipped."""
-    return b" \n ".join(texts).translate(_SPLIT).replace(b"\n", b" \n ").split(b" ")
+def split_words(text: bytes) -> list[bytes]:
+    """The words of a translated text in order; an end of line stands between pieces, empty strings are to be skipped."""
+    return text.replace(b"\n", b" \n ").split(b" ")
 
 
 def name_of(lang: str, word: bytes) -> int:
@@ -56,24 +53,30 @@ def name_of(lang: str, word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word) or 1) - (1 << 63) or 1
 
 
-def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts (column 1) by language (column 0)."""
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Translated texts (column 1) by language (column 0), some ``ROW_BYTES`` at a time; only ends of pieces are cut at."""
     for batch in batches:
-        found: dict[str, list[bytes]] = {}
+        waiting: dict[str, list[bytes]] = {}
+        sizes: Counter = Counter()
         for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if t:
-                found.setdefault(lang, []).append(t.encode("utf-8", "surrogatepass"))
-        yield from found.items()
+            rest = (t or "").encode("utf-8", "surrogatepass").translate(_SPLIT)
+            while rest:
+                cut = rest.find(b"\n", ROW_BYTES) if len(rest) > ROW_BYTES else -1
+                part, rest = (rest, b"") if cut < 0 else (rest[:cut], rest[cut:])
+                waiting.setdefault(lang, []).append(part)
+                sizes[lang] += len(part)
+                if sizes[lang] >= ROW_BYTES:
+                    yield lang, b"\n".join(waiting.pop(lang))
+                    del sizes[lang]
+        for lang, parts in waiting.items():
+            yield lang, b"\n".join(parts)
 
 
 class Numbers:
     """Numbers of the different words of one language in a task; 0 is no word, 1 the end of a piece."""
 
     def __init__(self):
-        fresh = count()
-        self.of: dict[bytes, int] = {}
-        for w in (b"", b"\n"):
-            self.of[w] = next(fresh)
+        self.of: dict[bytes, int] = {b"": 0, b"\n": 1}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         known = self.of
@@ -123,84 +126,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "lang string, word binary, name bigint, f bigint")
 
 
-def mixed(key: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """A phrase's key from that of its prefix (zeros: none) and the next name."""
-    h = (key ^ names) * _K1
-    h = (h ^ (h >> np.uint64(31))) * _K2
-    return h ^ (h >> np.uint64(29))
-
-
-class BitSet:
-    """A set of phrase keys of fixed size; may hold others by chance."""
-
-    def __init__(self, made: tuple[int, dict[int, bytes]]):
-        bits, buckets = made
-        self.mask = np.uint64(bits - 1)
-        self.bits = np.zeros(bits // 8, np.uint8)
-        size = BUCKET // 8
-        for b, data in buckets.items():
-            self.bits[b * size:(b + 1) * size] = np.frombuffer(data, np.uint8)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def bit_set(phrases: DataFrame) -> tuple[int, dict[int, bytes]]:
-    """The bit set of ``phrases`` (array of names): its size and its buckets, at most ``MOST_BITS`` bits in all."""
-    bits_ = min(max(1 << (64 * phrases.count()).bit_length(), LEAST_BITS), MOST_BITS)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(bits_, bool)
-        for batch in batches:
-            column = batch.column(0)
-            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-            names = column.flatten().to_numpy().view(np.uint64)
-            starts = np.cumsum(sizes) - sizes
-            key = np.zeros(len(sizes), np.uint64)
-            for i in range(int(sizes.max(initial=0))):
-                on = np.flatnonzero(sizes > i)
-                key[on] = mixed(key[on], names[starts[on] + i])
-            bits[(key & np.uint64(bits_ - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits, bitorder="little").reshape(-1, BUCKET // 8)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[b].tobytes() for b in some.tolist()], pa.binary())],
-                                         ["bucket", "bits"])
-
-    rows = phrases.mapInArrow(work, "bucket int, bits binary").groupBy("bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-    return bits_, {r.bucket: bytes(r.bits) for r in rows.collect()}
-
-
 def encoded(texts: DataFrame, frequent) -> DataFrame:
-    """``names``: the texts as 64-bit names, zero for words outside ``frequent`` and between pieces; no row cuts a text."""
+    """``names``: the texts as 64-bit names, zero for words outside ``frequent`` and between pieces; no row cuts a piece."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = BitSet(frequent.value)
         known: dict[str, Numbers] = {}
         named: dict[str, np.ndarray] = {}
 
-        def rows(lang: str, found: list[bytes]) -> bytes:
+        for lang, found in by_language(batches):
             own = known.setdefault(lang, Numbers())
             before = named.get(lang, np.zeros(2, np.int64))
             numbers = own.numbers(split_words(found))
             if len(own.of) > len(before):
-                new = np.array([name_of(lang, w) for w in list(own.of)[len(before):]], np.int64)
+                new = np.array([name_of(lang, w) for w in islice(own.of, len(before), None)], np.int64)
                 new[~keep.has(mixed(np.zeros(len(new), np.uint64), new.view(np.uint64)))] = 0
                 named[lang] = before = np.concatenate([before, new])
             names = before[numbers]
             gap = names == 0
-            return names[~(gap & np.concatenate([[True], gap[:-1]]))].tobytes()
-
-        for lang, found in by_language(batches):
-            waiting, size = [], 0
-            for t in found:
-                waiting.append(t)
-                size += len(t)
-                if size > 8 * ROW_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([rows(lang, waiting)], pa.binary())], ["names"])
-                    waiting, size = [], 0
-            if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array([rows(lang, waiting)], pa.binary())], ["names"])
+            names = names[~(gap & np.concatenate([[True], gap[:-1]]))]
+            yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()], pa.binary())], ["names"])
             if sum(len(k.of) for k in known.values()) > MOST_KNOWN:
                 known.clear()
                 named.clear()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import HOT_ROWS, grouped, sorted_groups, text_key, texts_of
+from crosstie.llm.common import HOT_ROWS, grouped, sorted_groups, text_key, texts_of, unused
 from crosstie.operators.joins import spread_join
 from crosstie.session import stored
 
@@ -226,6 +226,20 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     no links. Rows without id take part; a class of such rows only has no id. An empty table
     gives an empty result; other columns are ignored.
     """
+    known = text_classes(docs, doc_id, text)
+    ids = known.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = spread_join(known, ids, ["label"], "left", HOT_ROWS, ["t1", "t2"]).select(
+        "t1", "t2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text))
+    return spread_join(keyed, classes, ["t1", "t2"], "left", HOT_ROWS, ["doc_id"])
+
+
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every different text once: hashes ``t1``, ``t2``, least id ``rep``, ``n_copies``, ``n_links`` and its class ``label``.
+
+    A label is the least text (hashes) of the class, so classes of texts without id, or of
+    different texts with one id, stay apart.
+    """
     rows = sketched(docs, doc_id, text)
     texts = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"),
                                                 F.first("sketch").alias("sketch")), "texts")
@@ -240,25 +254,23 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     labels = components(edges).select("node.t1", "node.t2", "label")
     known = (texts.select("t1", "t2", "rep", "n_copies").join(degrees, ["t1", "t2"], "left").join(labels, ["t1", "t2"], "left")
              .withColumn("label", F.coalesce("label", F.struct("t1", "t2"))))
-    known = stored(known, "known")
-    ids = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = spread_join(known, ids, ["label"], "left", HOT_ROWS, ["t1", "t2"]).select(
-        "t1", "t2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text))
-    return spread_join(keyed, classes, ["t1", "t2"], "left", HOT_ROWS, ["doc_id"])
+    return stored(known, "known")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each class one row of the least id stays, all columns unchanged.
+    """``docs`` without near-duplicates: of each class one row stays, all columns unchanged, whatever their names.
 
-    Of repeated rows of that id one is kept; classes without any id keep one row.
+    It is the row of the least id of the class; a class without any id keeps its least text.
+    Of rows with that id and text one stays. Missing and empty texts are copies of one another;
+    texts are compared whole; an empty table gives an empty result.
     """
     names = docs.columns
-    classes = jaccard_classes(docs, doc_id, text).select(F.col("doc_id").alias("_id"), "t1", "t2", "class_id")
-    kept = (classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("class_id")
-            .agg(F.min(F.struct("t1", "t2")).alias("_own")).select("class_id", "_own.t1", "_own.t2"))
-    k1, k2 = text_key(text)
-    rows = docs.withColumns({"_t1": k1, "_t2": k2})
-    same = rows[doc_id].eqNullSafe(kept["class_id"]) & (rows["_t1"] == kept["t1"]) & (rows["_t2"] == kept["t2"])
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("own")
+    kept = text_classes(docs, doc_id, text).groupBy("label").agg(first).select("own.rep", "own.t1", "own.t2")
+    t1, t2, rep, k1, k2 = unused(docs, "_t1", "_t2", "_rep", "_k1", "_k2")
+    kept = kept.toDF(rep, k1, k2)
+    own = text_key(text)
+    rows = docs.withColumns({t1: own[0], t2: own[1]})
+    same = rows[doc_id].eqNullSafe(kept[rep]) & (rows[t1] == kept[k1]) & (rows[t2] == kept[k2])
     found = rows.join(kept, same, "left_semi")
-    return found.dropDuplicates([doc_id, "_t1", "_t2"]).select(*[F.col(f"`{c}`") for c in names])
+    return found.dropDuplicates([doc_id, t1, t2]).select(*[F.col(f"`{c}`") for c in names])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import HOT_ROWS, table_of, texts_of
+from crosstie.llm.common import HOT_ROWS, texts_of, unused
 from crosstie.operators.joins import spread_join
 from crosstie.session import stored
 
@@ -142,12 +142,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged.
+    """The rows of ``docs`` that the rules keep, all columns unchanged, whatever their names.
 
-    Rows of equal id, host and text share their verdict.
+    Rows of equal id, host and text share their verdict, so repeated rows stay or go together.
+    Missing and empty texts have too few words and go; missing ids and hosts are like others;
+    texts are read whole; an empty table gives an empty result.
     """
-    kept = (quality_rules(docs, doc_id, host, text).where("kept")
-            .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("t1").alias("_t1")))
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = (rows[doc_id].eqNullSafe(kept["_id"]) & rows[host].cast("string").eqNullSafe(kept["_host"]) & (rows["_t"] == kept["_t1"]))
-    return rows.join(kept, same, "left_semi").drop("_t")
+    kept = quality_rules(docs, doc_id, host, text).where("kept").select("doc_id", "host", "t1")
+    own, *right = unused(docs, "_t", "_id", "_host", "_t1")
+    kept = kept.toDF(*right)
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = (rows[doc_id].eqNullSafe(kept[right[0]]) & rows[host].cast("string").eqNullSafe(kept[right[1]]) & (rows[own] == kept[right[2]]))
+    return rows.join(kept, same, "left_semi").drop(own)

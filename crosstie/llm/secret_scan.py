@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import text_key
+from crosstie.llm.common import text_key, unused
 
 # Documents per block of the index, on average: bounds the postings that meet in one row.
 BLOCK_DOCS = 4096
@@ -195,7 +195,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def masked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; all other columns stay as they are.
 
-    Overlapping spans are replaced as one.
+    Overlapping spans are replaced as one. A missing text stays missing, an empty one empty;
+    texts are read whole; rows without id and repeated rows are masked each; an empty table
+    gives an empty result; extra columns may have any names.
     """
     t1, t2 = text_key(text)
     spans = secret_spans(docs.select(doc_id, text), None, doc_id, text).where(F.size("found") > 0)
@@ -211,8 +213,10 @@ def masked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mask: st
         rest = F.substr("text", acc["at"] + 1, F.length("text"))
         return F.concat(F.array_join(acc["parts"], ""), rest)
 
-    clean = spans.select(F.col("doc_id").alias("_id"), *text_key("text"), F.aggregate("found", start, step, end).alias("_clean"))
-    clean = clean.groupBy("_id", "t1", "t2").agg(F.first("_clean").alias("_clean"))
-    keyed = docs.withColumns({"_t1": t1, "_t2": t2})
-    joined = keyed.join(clean, keyed[doc_id].eqNullSafe(clean["_id"]) & (keyed["_t1"] == clean["t1"]) & (keyed["_t2"] == clean["t2"]), "left")
-    return joined.select(*[F.coalesce("_clean", F.col(f"`{c}`")).alias(c) if c == text else keyed[f"`{c}`"] for c in docs.columns])
+    o1, o2, *right = unused(docs, "_t1", "_t2", "_id", "_k1", "_k2", "_clean")
+    clean = spans.select("doc_id", *text_key("text"), F.aggregate("found", start, step, end).alias("clean"))
+    clean = clean.groupBy("doc_id", "t1", "t2").agg(F.first("clean")).toDF(*right)
+    keyed = docs.withColumns({o1: t1, o2: t2})
+    id_, k1, k2, new = (clean[c] for c in right)
+    joined = keyed.join(clean, keyed[doc_id].eqNullSafe(id_) & (keyed[o1] == k1) & (keyed[o2] == k2), "left")
+    return joined.select(*[F.coalesce(new, keyed[f"`{c}`"]).alias(c) if c == text else keyed[f"`{c}`"] for c in docs.columns])

@@ -25,13 +25,14 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from crosstie.llm.common import HOT_ROWS, grouped, sorted_groups
+from crosstie.llm.common import HOT_ROWS, BitSet, bit_set, grouped, mixed, sorted_groups, unused
 from crosstie.operators.joins import spread_join
-from crosstie.session import stored
+from crosstie.session import discard, stored
 
 LENGTH = 200
 ANCHOR = 40
@@ -143,16 +144,43 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("t1"), whole.cast("binary").alias("data"))
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """All runs of all texts: ``doc_id``, ``t1``, ``start``, ``n``, ``shift`` (first window to anchor), anchor and context hashes."""
+def _key(*columns: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mixed(key, c.view(np.uint64))
+    return key
+
+
+def anchors(rows: DataFrame) -> DataFrame:
+    """``h`` of the anchors with two runs or more, copies of a text included. Only hashes are shuffled, combined in the task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, cuts in segments(_raw(batch.column(0))):
+                h, n = np.unique(runs_of(np.frombuffer(data, np.uint8), cuts)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
+
+    found = rows.select("data").mapInArrow(work, "h bigint, n tinyint").groupBy("h").agg(F.sum("n").alias("n"))
+    return found.where("n > 1").select("h")
+
+
+def runs(rows: DataFrame, wanted=None) -> DataFrame:
+    """Runs of all texts: ``doc_id``, ``t1``, ``start``, ``n``, ``shift`` (first window to anchor), anchor and context hashes.
+
+    With ``wanted`` (a broadcast bit set of anchors) only those of its anchors, and a few others.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "t1", "start", "n", "shift", "h", "c1", "c2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = BitSet(wanted.value) if wanted else None
         for batch in batches:
             for of, offsets, data, cuts in segments(_raw(batch.column(2))):
                 begins = np.concatenate([[0], cuts[:-1]])
                 text, start, n, at, h = runs_of(np.frombuffer(data, np.uint8), cuts)
+                if keep:
+                    on = keep.has(_key(h))
+                    text, start, n, at, h = text[on], start[on], n[on], at[on], h[on]
                 c = [halves(data[s:s + k + LENGTH - 1]) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
                 c1, c2 = zip(*c, strict=True) if c else ((), ())
                 take = pa.array(np.array(of, np.int64)[text])
@@ -164,11 +192,24 @@ def runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, t1 bigint, start bigint, n bigint, shift bigint, h bigint, c1 bigint, c2 bigint")
 
 
+def texts_with(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose text hash is among ``keys`` (column ``t1``), and a few others: spares the others' texts a shuffle."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bit_set(keys.select(F.array("t1"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = BitSet(wanted.value)
+        for batch in batches:
+            yield batch.filter(pa.array(keep.has(_key(batch.column(1).to_numpy()))))
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted runs, cut out of their texts."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "t1", "start", "n", "shift", "h", "data"]
     lists = wanted.groupBy("doc_id", "t1").agg(F.collect_set(F.struct("start", "n", "shift", "h")).alias("wanted"))
+    rows = texts_with(rows, wanted.select("t1").distinct())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +236,7 @@ def _with_text(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 def _words(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` bytes from each place as big-endian words, one row each."""
-    return data[places[:, None] + np.arange(size)].view(">u8").astype(np.uint64)
+    return sliding_window_view(data, size)[places].view(">u8").astype(np.uint64)
 
 
 def repeated_windows(parts: list[bytes], shifts: np.ndarray, ns: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +270,7 @@ def repeated_windows(parts: list[bytes], shifts: np.ndarray, ns: np.ndarray, buc
     to_cover = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
     head = _words(data, places, PERIOD)
     order = np.lexsort((rank[places + to_cover[places % PERIOD]], *head.T[::-1], distance, bucket[of]))
-    windows = data[places[order][:, None] + np.arange(LENGTH)]
+    windows = np.ascontiguousarray(sliding_window_view(data, LENGTH)[places[order]]).view(np.uint64)
     same = ((windows[1:] == windows[:-1]).all(axis=1) & (distance[order][1:] == distance[order][:-1])
             & (bucket[of][order][1:] == bucket[of][order][:-1]))
     flags = np.zeros(len(of), bool)
@@ -333,23 +374,27 @@ def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def repeated(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Runs of repeated windows (``doc_id``, ``t1``, ``start``, ``n``) of all texts."""
-    every = runs(rows)
-    twice = (every.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("c1") != F.max("c1")).alias("several"))
-             .where("m > 1").drop("m"))
-    shared = stored(spread_join(every, twice, ["h"], "inner", HOT_ROWS, ["doc_id", "t1", "start"]), "shared")
+    """Stored runs of repeated windows (``doc_id``, ``t1``, ``start``, ``n``) of all texts.
+
+    The first pass over the texts counts anchors; the second one returns the runs of those
+    that occur twice, told by a bit set of bounded size. An anchor that passes it by chance
+    has one run, so it forms no class and is never sorted.
+    """
+    twice = stored(anchors(rows), "anchors")
+    shared = stored(runs(rows, rows.sparkSession.sparkContext.broadcast(bit_set(twice.select(F.array("h"))))), "shared")
     classes = stored(shared.groupBy("h", "c1", "c2").agg(
-        F.count(F.lit(1)).alias("m"), F.first("several").alias("several"),
-        F.min(F.struct("doc_id", "t1", "start", "n", "shift")).alias("one")), "classes")
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "t1", "start", "n", "shift")).alias("one")), "classes")
     whole = spread_join(shared, classes.where("m > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi", HOT_ROWS,
                         ["doc_id", "t1", "start"]).select("doc_id", "t1", "start", "n")
-    open_classes = classes.where("several").select("h", "one.*")
-    crowd = open_classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).select("h", F.lit(True).alias("crowded"))
-    wanted = spread_join(open_classes, crowd, ["h"], "left", HOT_ROWS, ["doc_id", "t1", "start"])
-    crowded = wanted.where("crowded").drop("crowded")
-    others = wanted.where("crowded IS NULL").drop("crowded")
-    return (whole.unionByName(sorted_blocks(contexts(rows, others), block))
-            .unionByName(crowded_blocks(stored(contexts(rows, crowded), "crowded"), block)))
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", (F.col("k") > block).alias("crowded"))
+    wanted = stored(spread_join(classes.select("h", "one.*"), sizes, ["h"], "inner", HOT_ROWS, ["doc_id", "t1", "start"]), "wanted")
+    cut = stored(contexts(rows, wanted), "contexts")
+    crowd = wanted.where("crowded").select("h").distinct()
+    others = spread_join(cut, crowd, ["h"], "left_anti", HOT_ROWS, ["doc_id", "t1", "start"])
+    crowded = stored(spread_join(cut, crowd, ["h"], "left_semi", HOT_ROWS, ["doc_id", "t1", "start"]), "crowded")
+    found = stored(whole.unionByName(sorted_blocks(others, block)).unionByName(crowded_blocks(crowded, block)), "repeated")
+    discard(twice, shared, classes, wanted, cut, crowded)
+    return found
 
 
 def _covered(size: int, found: list[dict]) -> np.ndarray:
@@ -401,14 +446,17 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: i
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated strings taken out of ``text``; all rows and other columns stay.
 
-    Bytes of a character that was cut in two are dropped with it. A missing text stays missing.
+    Bytes of a character that was cut in two are dropped with it. A missing text stays missing,
+    an empty one empty; a text that occurs twice, also in a repeated row, goes in each. Missing
+    ids are an id like others, an empty table gives an empty result, extra columns may have any
+    names.
     """
     names = docs.columns
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_t": F.xxhash64(whole)})
-    lists = repeated(keyed(docs, doc_id, text)).groupBy("doc_id", "t1").agg(F.collect_set(F.struct("start", "n")).alias("_found"))
-    lists = stored(lists, "found").withColumnsRenamed({"doc_id": "_id", "t1": "_t1"})
-    joined = rows.join(lists, rows[doc_id].eqNullSafe(lists["_id"]) & (rows["_t"] == lists["_t1"]), "left")
+    own, id_, key, spans = unused(docs, "_t", "_id", "_t1", "_found")
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    lists = repeated(keyed(docs, doc_id, text)).groupBy("doc_id", "t1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    lists = stored(lists, "found").toDF(id_, key, spans)
+    joined = rows.join(lists, rows[doc_id].eqNullSafe(lists[id_]) & (rows[own] == lists[key]), "left")
     at = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,4 +467,4 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns[at] = pa.array(kept, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*[rows[f"`{c}`"] for c in names], "_found").mapInArrow(work, docs.schema)
+    return joined.select(*[rows[f"`{c}`"] for c in names], spans).mapInArrow(work, docs.schema)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import os
 import random
 import re
 import zipfile
@@ -426,6 +427,13 @@ def test_cover_has_every_difference():
     assert len(suffix_dedup.COVER) < 12
 
 
+def test_scratch_is_deleted(spark, odd):
+    path = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(path))
+    suffix_dedup.report(odd).collect()
+    assert {n.split("-")[0] for n in set(os.listdir(path)) - before} <= {"repeated", "found"}
+
+
 def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
     rng = random.Random(2)
@@ -468,3 +476,30 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, "").collect()
         assert stage(spark, empty, "").count() == 0
+
+
+CLASHES = ["_t", "_t1", "_T2", "_id", "_clean", "_found", "_host", "_rep", "_k1", "_k2", "t1", "label", "found", "key"]
+
+
+def test_stages_keep_all_columns_whatever_their_names(spark, odd):
+    df = odd
+    for i, c in enumerate(CLASHES):
+        df = df.withColumn(c, F.lit(f"own {i}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns, name
+        plain = stage(spark, odd, "")
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {i}" for r in rows for i, c in enumerate(CLASHES)), name
+        key = lambda r: repr((r.doc_id, r.text, r.n_chars))
+        assert sorted(map(key, rows)) == sorted(map(key, plain.collect())), name
+
+
+def test_no_row_is_lost_for_its_id(spark):
+    """Unrelated texts without id, or with one id, are classes of their own."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[4]), (None, texts[0]), (9, texts[1])]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, texts[0]), (9, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4])]))
+    one = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(one) == len(rows)
