@@ -335,8 +335,8 @@ def sorted_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped(parts, ["h"]).mapInArrow(work, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
 
 
-def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The same for anchors with more contexts than a block; ``parts`` is a stored table.
+def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The same for anchors with more contexts than a block; ``parts`` is a stored table. Also returns its own scratch table.
 
     Contexts are dealt over tasks of a block each. A task returns its runs of repeated
     windows, and, with their hashes, the windows that may have partners in other blocks.
@@ -370,7 +370,7 @@ def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     local = stored(parts.repartition(tasks).mapInArrow(
         work, f"doc_id {kind}, t1 bigint, start bigint, n bigint, w1 bigint, w2 bigint, known boolean"), "crowds")
     met = grouped(local.where("w1 IS NOT NULL"), ["w1", "w2"]).mapInArrow(across, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
-    return local.where("w1 IS NULL").select("doc_id", "t1", "start", "n").unionByName(met)
+    return local.where("w1 IS NULL").select("doc_id", "t1", "start", "n").unionByName(met), local
 
 
 def repeated(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -392,8 +392,9 @@ def repeated(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     crowd = wanted.where("crowded").select("h").distinct()
     others = spread_join(cut, crowd, ["h"], "left_anti", HOT_ROWS, ["doc_id", "t1", "start"])
     crowded = stored(spread_join(cut, crowd, ["h"], "left_semi", HOT_ROWS, ["doc_id", "t1", "start"]), "crowded")
-    found = stored(whole.unionByName(sorted_blocks(others, block)).unionByName(crowded_blocks(crowded, block)), "repeated")
-    discard(twice, shared, classes, wanted, cut, crowded)
+    across, crowds = crowded_blocks(crowded, block)
+    found = stored(whole.unionByName(sorted_blocks(others, block)).unionByName(across), "repeated")
+    discard(twice, shared, classes, wanted, cut, crowded, crowds)
     return found
 
 
