@@ -58,8 +58,11 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]
     for batch in batches:
         waiting: dict[str, list[bytes]] = {}
         sizes: Counter = Counter()
-        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rest = (t or "").encode("utf-8", "surrogatepass").translate(_SPLIT)
+        # Bytes as they are, some rows at a time: no second copy of a batch as Python strings.
+        texts = batch.column(1).cast(pa.binary())
+        some = (r for i in range(0, batch.num_rows, 256) for r in texts.slice(i, 256).to_pylist())
+        for lang, t in zip(batch.column(0).to_pylist(), some, strict=True):
+            rest = (t or b"").translate(_SPLIT)
             while rest:
                 cut = rest.find(b"\n", ROW_BYTES) if len(rest) > ROW_BYTES else -1
                 part, rest = (rest, b"") if cut < 0 else (rest[:cut], rest[cut:])

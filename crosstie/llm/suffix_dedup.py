@@ -12,8 +12,9 @@ is sorted once per block. Neighbours that share ``LENGTH`` bytes are repeated.
 
 A block is bounded in size. The contexts of an anchor with more classes than a block may
 hold (a common passage in front of different texts) are dealt over several blocks. Each
-sorts its own suffixes; of windows repeated there one goes on, of the others all do, and
-windows that meet again across blocks are found by sorting their 128-bit hashes.
+sorts its own suffixes; of windows repeated there one goes on, of the others all do, in
+pieces of neighbouring windows. Pieces whose common core occurs once end there; the windows of
+the others meet again across blocks by their 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LENGTH = 200
 ANCHOR = 40
 PERIOD = 32
 BLOCK = 1024
+# Windows, by their distance from the anchor, that are sent to other blocks together.
+PIECE = 16
 # Bytes of a text that are looked at in one go.
 SEGMENT = 1 << 20
 _RANDOM = np.random.default_rng(7)
@@ -339,10 +342,13 @@ def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Dat
     """The same for anchors with more contexts than a block; ``parts`` is a stored table. Also returns its own scratch table.
 
     Contexts are dealt over tasks of a block each. A task returns its runs of repeated
-    windows, and, with their hashes, the windows that may have partners in other blocks.
+    windows, and those that may have partners in other blocks: neighbours together as a piece
+    (``data``, ``on``: 1 for a window that goes on, 2 for one known to be repeated), with the
+    hash of its core, the bytes that all windows at such distances from the anchor hold. Equal
+    windows have equal cores, so only pieces whose core occurs twice are taken apart.
     """
     kind, doc_type = _doc_type(parts)
-    names = ["doc_id", "t1", "start", "n", "w1", "w2", "known"]
+    names = ["doc_id", "t1", "start", "n", "w1", "w2", "data", "on"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["h"])
@@ -351,25 +357,52 @@ def crowded_blocks(parts: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Dat
         done = Block([list(g) for _, g in groupby(rows, key=lambda r: r["h"])])
         first, n = done.found()
         none = pa.nulls(len(first), pa.int64())
-        yield pa.RecordBatch.from_arrays([*done.owners(first, doc_type), pa.array(n, pa.int64()), none, none,
-                                          pa.nulls(len(first), pa.bool_())], names)
+        empty = pa.nulls(len(first), pa.binary())
+        yield pa.RecordBatch.from_arrays([*done.owners(first, doc_type), pa.array(n, pa.int64()), none, none, empty, empty], names)
         on = np.flatnonzero(~done.flags | done.first)
-        pairs = [halves(done.rows[i]["data"][k:k + LENGTH]) for i, k in zip(done.of[on].tolist(), done.step[on].tolist(), strict=True)]
-        w1, w2 = zip(*pairs, strict=True) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([*done.owners(on, doc_type), pa.array(np.ones(len(on), np.int64)), pa.array(w1, pa.int64()),
-                                          pa.array(w2, pa.int64()), pa.array(done.flags[on])], names)
+        shifts = np.array([r["shift"] for r in done.rows])
+        piece = (shifts[done.of[on]] - done.step[on]) // PIECE
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(done.of[on]) > 0) | (np.diff(piece) != 0)])[:len(on)])
+        columns: list[list] = [[], [], [], [], []]
+        for a, z in zip(new.tolist(), [*new[1:].tolist(), len(on)], strict=True):
+            data, steps, p = done.rows[done.of[on[a]]]["data"], done.step[on[a:z]], int(piece[a])
+            anchor = int(shifts[done.of[on[a]]])
+            low, high = int(steps[0]), int(steps[-1])
+            marks = np.zeros(high - low + 1, np.uint8)
+            marks[steps - low] = 1 + done.flags[on[a:z]]
+            core = data[anchor - p * PIECE:anchor + LENGTH - (p + 1) * PIECE + 1]
+            for c, v in zip(columns, [high - low + 1, *halves(core + b"%d" % p), data[low:high + LENGTH], marks.tobytes()], strict=True):
+                c.append(v)
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+        yield pa.RecordBatch.from_arrays([*done.owners(on[new], doc_type), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = [i for i, m in enumerate(r["on"]) if m]
+                pairs = [halves(r["data"][i:i + LENGTH]) for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["doc_id"]] * len(at), doc_type), pa.array([r["t1"]] * len(at), pa.int64()),
+                     pa.array([r["start"] + i for i in at], pa.int64()), pa.array([a for a, _ in pairs], pa.int64()),
+                     pa.array([b for _, b in pairs], pa.int64()), pa.array([r["on"][i] == 2 for i in at], pa.bool_())],
+                    ["doc_id", "t1", "start", "w1", "w2", "known"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in sorted_groups(batches, ["w1", "w2"]):
             new = [r for r in rows if not r["known"]] if len(rows) > 1 else []
             if new:
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in names[:4]} for r in new], pa.schema(
+                yield pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "t1": r["t1"], "start": r["start"], "n": 1} for r in new], pa.schema(
                     [("doc_id", doc_type), *[(k, pa.int64()) for k in names[1:4]]]))
 
     tasks = max(1, -(-parts.count() // block))
     local = stored(parts.repartition(tasks).mapInArrow(
-        work, f"doc_id {kind}, t1 bigint, start bigint, n bigint, w1 bigint, w2 bigint, known boolean"), "crowds")
-    met = grouped(local.where("w1 IS NOT NULL"), ["w1", "w2"]).mapInArrow(across, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
+        work, f"doc_id {kind}, t1 bigint, start bigint, n bigint, w1 bigint, w2 bigint, data binary, on binary"), "crowds")
+    pieces = local.where("w1 IS NOT NULL")
+    twice = pieces.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2")
+    shared = spread_join(pieces, twice, ["w1", "w2"], "left_semi", HOT_ROWS, ["doc_id", "t1", "start"])
+    apart = shared.select("doc_id", "t1", "start", "data", "on").mapInArrow(
+        windows, f"doc_id {kind}, t1 bigint, start bigint, w1 bigint, w2 bigint, known boolean")
+    met = grouped(apart, ["w1", "w2"]).mapInArrow(across, f"doc_id {kind}, t1 bigint, start bigint, n bigint")
     return local.where("w1 IS NULL").select("doc_id", "t1", "start", "n").unionByName(met), local
 
 
