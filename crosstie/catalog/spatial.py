@@ -11,7 +11,7 @@ from crosstie.catalog.relations import AXES, ORDER_FIXES, ORDER_SQL
 from crosstie.catalog.rows import assets
 from crosstie.catalog.sqltext import (
     ASSETS, CORRIDOR_CASE, CORRIDORS, GROUP, HISTORY, OUT_CLASSES, PEDESTRIAN, RAIL, SEG, SKIP_CORRIDOR, WINDOW_YEARS,
-    crosses, device, in_list, point_segment_sq, segment_segment_sq, within,
+    device, in_list, point_segment_sq, segment_segment_sq, within,
 )
 from crosstie.geo import hexgrid, match, polygons, project, shapes
 from crosstie.geo.measure import length
@@ -146,11 +146,11 @@ def geo_poly_has_point(t):
     return polygons.polygons_with_points(t.blocks, t.edges, chosen).select("poly_id", "name")
 
 
-@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Chief' AND pos_xing = 1 AND gate_conf = '3'),
+@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Chief'),
 held AS (""" + within("g") + f"""), near AS (SELECT DISTINCT s.poly_id FROM g JOIN fx_edges s ON {point_segment_sq('g.x', 'g.y')} <= 1609.0 * 1609.0)
 SELECT poly_id, name FROM fx_blocks WHERE poly_id IN (SELECT poly_id FROM held) OR poly_id IN (SELECT poly_id FROM near)""")
 def geo_poly_near_point(t):
-    chosen = t.crossings.where((F.col("corridor") == "Chief") & (F.col("pos_xing") == 1) & (F.col("gate_conf") == "3"))
+    chosen = t.crossings.where(F.col("corridor") == "Chief")
     return polygons.polygons_near_points(t.blocks, t.edges, chosen, RADIUS).select("poly_id", "name")
 
 
@@ -159,7 +159,7 @@ _VERTEX_IN = """vin AS (SELECT v.line_id, e.poly_id FROM fx_vertices v JOIN fx_e
 
 
 @query(f"""WITH {SEG}, {_VERTEX_IN} SELECT line_id, poly_id FROM vin UNION
- SELECT s.line_id, e.poly_id FROM seg s JOIN fx_edges e ON {crosses('s.', 'e.')}""")
+ SELECT s.line_id, e.poly_id FROM seg s JOIN fx_edges e ON {segment_segment_sq('s.', 'e.')} <= 1e-12""")
 def geo_line_poly(t):
     return polygons.lines_meeting_polygons(t.segments, t.edges).select("line_id", "poly_id")
 
@@ -173,18 +173,43 @@ def geo_line_near_poly(t):
     return polygons.lines_near_polygons(t.segments, unknown, 9000.0)
 
 
-CLIP_SQL = f"""{SEG},
-cut AS (SELECT DISTINCT s.line_id, s.seq, e.poly_id, ((e.x1 - s.x1) * (e.y2 - e.y1) - (e.y1 - s.y1) * (e.x2 - e.x1))
-  / ((s.x2 - s.x1) * (e.y2 - e.y1) - (s.y2 - s.y1) * (e.x2 - e.x1)) AS t FROM seg s JOIN fx_edges e ON {crosses('s.', 'e.')}),
+def _clip_sql(segments: str = SEG) -> str:
+    """Cut at crossings, touched points and the ends of edges that the segment runs along; keep what is in or on the polygon."""
+    dx, dy = "(s.x2 - s.x1)", "(s.y2 - s.y1)"
+    off = [f"ABS({dx} * (e.{y} - s.y1) - {dy} * (e.{x} - s.x1)) <= 1e-6 * sqrt({dx} ** 2 + {dy} ** 2)" for x, y in (("x1", "y1"), ("x2", "y2"))]
+    at = [f"((e.{x} - s.x1) * {dx} + (e.{y} - s.y1) * {dy}) / ({dx} ** 2 + {dy} ** 2)" for x, y in (("x1", "y1"), ("x2", "y2"))]
+    return f"""{segments},
+met AS (SELECT s.line_id, s.seq, e.poly_id, CASE WHEN {off[0]} AND {off[1]} THEN [{at[0]}, {at[1]}]
+  ELSE [((e.x1 - s.x1) * (e.y2 - e.y1) - (e.y1 - s.y1) * (e.x2 - e.x1)) / ({dx} * (e.y2 - e.y1) - {dy} * (e.x2 - e.x1))] END AS ts
+  FROM seg s JOIN fx_edges e ON {segment_segment_sq('s.', 'e.')} <= 1e-12),
+cut AS (SELECT DISTINCT line_id, seq, poly_id, LEAST(GREATEST(t, 0), 1) AS t FROM (SELECT line_id, seq, poly_id, UNNEST(ts) AS t FROM met)),
 box AS (SELECT poly_id, MIN(x1) AS xlo, MAX(x1) AS xhi, MIN(y1) AS ylo, MAX(y1) AS yhi FROM fx_edges GROUP BY 1),
 stops AS (SELECT line_id, seq, poly_id, t FROM cut UNION
   SELECT s.line_id, s.seq, b.poly_id, u.t FROM seg s JOIN box b ON GREATEST(s.x1, s.x2) >= b.xlo AND LEAST(s.x1, s.x2) <= b.xhi
    AND GREATEST(s.y1, s.y2) >= b.ylo AND LEAST(s.y1, s.y2) <= b.yhi CROSS JOIN (VALUES (CAST(0 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS u(t)),
 spans AS (SELECT *, LEAD(t) OVER (PARTITION BY line_id, seq, poly_id ORDER BY t) AS t2 FROM stops),
-mids AS (SELECT p.line_id, p.seq, p.poly_id, p.t, p.t2, s.x1 + (s.x2 - s.x1) * (p.t + p.t2) / 2 AS x, s.y1 + (s.y2 - s.y1) * (p.t + p.t2) / 2 AS y,
-  sqrt((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2) * (p.t2 - p.t) AS len FROM spans p JOIN seg s ON s.line_id = p.line_id AND s.seq = p.seq WHERE p.t2 > p.t),
-kept AS (SELECT m.line_id, m.seq, m.poly_id, m.t, m.t2, m.len FROM mids m JOIN fx_edges e ON e.poly_id = m.poly_id AND ((e.y1 > m.y) <> (e.y2 > m.y))
-  AND m.x < e.x1 + (m.y - e.y1) * (e.x2 - e.x1) / NULLIF(e.y2 - e.y1, 0) GROUP BY ALL HAVING COUNT(*) % 2 = 1)"""
+mids AS (SELECT p.line_id, p.seq, p.poly_id, p.t, p.t2, s.x1 + {dx} * (p.t + p.t2) / 2 AS x, s.y1 + {dy} * (p.t + p.t2) / 2 AS y,
+  sqrt({dx} ** 2 + {dy} ** 2) * (p.t2 - p.t) AS len FROM spans p JOIN seg s ON s.line_id = p.line_id AND s.seq = p.seq WHERE p.t2 > p.t),
+kept AS (SELECT m.line_id, m.seq, m.poly_id, m.t, m.t2, m.len FROM mids m JOIN fx_edges e ON e.poly_id = m.poly_id GROUP BY ALL
+  HAVING COUNT(*) FILTER (WHERE ((e.y1 > m.y) <> (e.y2 > m.y)) AND m.x < e.x1 + (m.y - e.y1) * (e.x2 - e.x1) / NULLIF(e.y2 - e.y1, 0)) % 2 = 1
+   OR MIN({point_segment_sq('m.x', 'm.y', 'e.')}) <= 1e-12)"""
+
+
+CLIP_SQL = _clip_sql()
+SIDINGS = "seg AS (SELECT * FROM fx_sidings)"
+
+
+@query(f"WITH {_clip_sql(SIDINGS)} SELECT line_id, poly_id, ROUND(SUM(len), 3) AS length FROM kept GROUP BY 1, 2 HAVING SUM(len) > 1e-3")
+def geo_clip_along(t):
+    """Lines along polygon sides and over their corners."""
+    clipped = polygons.clipped_lengths(polygons.clip_lines(t.sidings, t.edges), ["line_id", "poly_id"])
+    return rounded(clipped.where("length > 1e-3"), 3, "length")
+
+
+@query(f"WITH {SIDINGS} SELECT DISTINCT s.line_id, e.poly_id FROM seg s JOIN fx_edges e ON {segment_segment_sq('s.', 'e.')} <= 1e-12")
+def geo_line_poly_along(t):
+    """Every siding meets the boundary of the polygons it meets at all."""
+    return polygons.lines_meeting_polygons(t.sidings, t.edges).select("line_id", "poly_id")
 
 
 @query(f"WITH {CLIP_SQL} SELECT line_id, poly_id, ROUND(SUM(len), 3) AS length FROM kept GROUP BY 1, 2")
@@ -206,9 +231,13 @@ co AS (SELECT *, (bx - ax) ** 2 + (b_y - ay) ** 2 AS qa, ax * (bx - ax) + ay * (
 ro AS (SELECT *, sqrt(GREATEST(qb * qb - qa * qc, 0)) AS root FROM co),
 ts AS (SELECT *, LEAST(GREATEST((-qb - root) / qa, 0), 1) AS t1, LEAST(GREATEST((-qb + root) / qa, 0), 1) AS t2 FROM ro),
 pq AS (SELECT *, ax + t1 * (bx - ax) AS px, ay + t1 * (b_y - ay) AS py, ax + t2 * (bx - ax) AS qx, ay + t2 * (b_y - ay) AS qy FROM ts),
-shares AS (SELECT crossing_id, poly_id, SUM(w * ({r} * {r} / 2 * atan2(ax * py - ay * px, ax * px + ay * py) + (px * qy - py * qx) / 2
-  + {r} * {r} / 2 * atan2(qx * b_y - qy * bx, qx * bx + qy * b_y))) AS shared FROM pq GROUP BY 1, 2 HAVING shared > 1e-2),
-density AS (SELECT s.crossing_id, CASE WHEN COUNT(b.estimate) = COUNT(*) THEN SUM(s.shared * b.estimate / f.area) END / (SUM(s.shared) / 2.59e6) AS density
+contacts AS (SELECT p.crossing_id, e.poly_id FROM fx_crossings p JOIN box b ON p.x BETWEEN b.xlo - {r} AND b.xhi + {r} AND p.y BETWEEN b.ylo - {r} AND b.yhi + {r}
+  JOIN fx_edges e ON e.poly_id = b.poly_id GROUP BY 1, 2 HAVING MIN({point_segment_sq('p.x', 'p.y', 'e.')}) <= {r} * {r}
+  OR COUNT(*) FILTER (WHERE ((e.y1 > p.y) <> (e.y2 > p.y)) AND p.x < e.x1 + (p.y - e.y1) * (e.x2 - e.x1) / NULLIF(e.y2 - e.y1, 0)) % 2 = 1),
+overlap AS (SELECT crossing_id, poly_id, SUM(w * ({r} * {r} / 2 * atan2(ax * py - ay * px, ax * px + ay * py) + (px * qy - py * qx) / 2
+  + {r} * {r} / 2 * atan2(qx * b_y - qy * bx, qx * bx + qy * b_y))) AS area FROM pq GROUP BY 1, 2),
+shares AS (SELECT crossing_id, poly_id, GREATEST(area, 0) AS shared FROM overlap JOIN contacts USING (crossing_id, poly_id)),
+density AS (SELECT s.crossing_id, CASE WHEN COUNT(b.estimate) = COUNT(*) THEN SUM(s.shared * b.estimate / f.area) END / NULLIF(SUM(s.shared) / 2.59e6, 0) AS density
  FROM shares s JOIN full_area f USING (poly_id) JOIN fx_blocks b USING (poly_id) GROUP BY 1)"""
 
 
@@ -234,7 +263,7 @@ def pipe_density(t):
 
 
 @query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT n.crossing_id, n.n_near, ROUND(d.density / 7, 5) AS density FROM near n LEFT JOIN density d USING (crossing_id)),
-m AS (SELECT n_near, MIN(density) AS density FROM a GROUP BY 1)
+m AS (SELECT n_near, MIN(density) AS density FROM a GROUP BY 1 HAVING COUNT(density) = COUNT(*) AND NOT BOOL_OR(isnan(density)))
 SELECT a.n_near, a.density, a.crossing_id, c.street FROM a JOIN m ON a.n_near = m.n_near AND a.density = m.density JOIN fx_crossings c ON c.crossing_id = a.crossing_id""")
 def pipe_density_sparsest(t):
     return reports.sparsest_by_count(_density(t)).select("n_near", "density", "crossing_id", "street")

@@ -9,13 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstie.functions.measures import SQUARE_METRES_PER_SQUARE_MILE
 from crosstie.functions.nulls import ratio, strict_sum
 from crosstie.geo.match import attach, cell_join, segments_within
-from crosstie.geo.measure import ENDS, REFERENCE_ANGLE, circle_edge_steps, length, num, point_segment_sq, ring_term, segments_cross
+from crosstie.geo.measure import (
+    ENDS, REFERENCE_ANGLE, circle_edge_steps, clamp01, length, num, point_segment_sq, ring_term, segment_segment_sq, side,
+)
 from crosstie.geo.shapes import (
     CELL, boxes, cell_of, cell_size, cover_box, cover_segments, cut_to_length, locations, with_cell,
 )
@@ -23,7 +25,6 @@ from crosstie.operators.joins import HOT_ROWS, key_join
 
 POLYGON_CELL = 2000.0
 TOUCH = 1e-6  # metres within which a point counts as lying on an edge
-SLIVER = 1e-2  # square metres; smaller shares are rounding noise of the closed form
 
 
 _EDGE = tuple(f"e_{c}" for c in ENDS)
@@ -31,7 +32,6 @@ _EDGE = tuple(f"e_{c}" for c in ENDS)
 
 # Place of a cell's reference position inside the cell; odd fractions keep it off regular edges.
 _REF_X, _REF_Y = 0.4871, 0.5137
-_EDGE_SALTS = 8
 
 
 def _right_of(x: str, y: str) -> str:
@@ -47,18 +47,24 @@ def _above(x: str, y: str) -> str:
 def _reference_parity(cells: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
     """For each (polygon, cell) the number of edges right of the cell's reference position.
 
-    This is the only step that looks beyond a position's own cell; it runs once per cell
-    against the polygon's edges in the same horizontal band. A band may hold most edges
-    of the data, so edges are dealt over salts and the few cells repeated for each; the
-    salt also makes the grouping shuffle again, which lets the skew join split a band.
+    A sweep along the rows of cells. An edge crosses the reference line of a row once at
+    most; the crossings are counted by column, and the count right of a cell is the running
+    total of the columns behind it plus the crossings in its own column beyond its reference
+    position. So an edge gives one row per row of cells it crosses, whatever the number of
+    cells, and what is put in order has a polygon's columns at most.
     """
-    refs = cells.selectExpr(poly, "cx", "cy", f"(cx + {num(_REF_X)}) * {num(size)} AS rx",
-                            f"(cy + {num(_REF_Y)}) * {num(size)} AS ry", f"explode(sequence(0, {_EDGE_SALTS - 1})) AS part")
-    bands = edges.selectExpr(poly, *[f"{c} AS e_{c}" for c in ENDS],
-                             f"CAST(pmod(xxhash64({', '.join(ENDS)}), {_EDGE_SALTS}) AS INT) AS part",
-                             f"explode(sequence({cell_of('least(y1, y2)', size)}, {cell_of('greatest(y1, y2)', size)})) AS cy")
-    met = cell_join(refs, bands, _right_of("rx", "ry"), "left", (poly, "cy", "part"))
-    return met.groupBy(poly, *CELL, "rx", "ry").agg(F.count("e_x1").alias("n_ref"))
+    ry = f"(cy + {num(_REF_Y)}) * {num(size)}"
+    crossed = (edges.selectExpr(poly, *[f"{c} AS e_{c}" for c in ENDS],
+                                f"explode(sequence({cell_of('least(y1, y2)', size)}, {cell_of('greatest(y1, y2)', size)})) AS cy")
+               .selectExpr("*", f"{ry} AS ry").where("(e_y1 > ry) != (e_y2 > ry)")
+               .selectExpr(poly, "cy", "e_x1 + try_divide((ry - e_y1) * (e_x2 - e_x1), e_y2 - e_y1) AS px")
+               .selectExpr(poly, f"{cell_of('px', size)} AS cx", "cy", f"px > (floor(px / {num(size)}) + {num(_REF_X)}) * {num(size)} AS beyond")
+               .groupBy(poly, *CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if("beyond").alias("n_own")))
+    columns = crossed.selectExpr("*", "false AS wanted").union(cells.selectExpr(poly, *CELL, "0L AS n", "0L AS n_own", "true AS wanted"))
+    columns = columns.groupBy(poly, *CELL).agg(F.sum("n").alias("n"), F.sum("n_own").alias("n_own"), F.bool_or("wanted").alias("wanted"))
+    behind = Window.partitionBy(poly, "cy").orderBy(F.desc("cx")).rowsBetween(Window.unboundedPreceding, -1)
+    swept = columns.withColumn("n_ref", F.col("n_own") + F.coalesce(F.sum("n").over(behind), F.lit(0))).where("wanted")
+    return swept.selectExpr(poly, *CELL, f"(cx + {num(_REF_X)}) * {num(size)} AS rx", f"{ry} AS ry", "n_ref")
 
 
 def _inside(cand: DataFrame, edges: DataFrame, poly: str, size: float) -> DataFrame:
@@ -140,13 +146,14 @@ def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str =
                   size: float = POLYGON_CELL) -> DataFrame:
     """``(x, y, poly, shared)``: exact area each polygon shares with the circle around a position.
 
-    A position meets only the edges that reach into its circle; whether the circle's
-    reference point lies in the polygon settles the rest.
+    A position meets only the edges that reach its circle; whether the circle's reference
+    point lies in the polygon settles the rest. Either makes contact, whatever the area: a
+    polygon that only just reaches the circle is listed, with a share of zero or next to it.
     """
     grid = cell_size(radius)
     r = float(radius)
     near = cover_segments(_oriented(edges, poly).select(poly, "_w", *ENDS), grid, r)
-    met = cell_join(with_cell(locs.select("x", "y"), grid), near, f"{point_segment_sq('x', 'y')} < {num(r * r)}")
+    met = cell_join(with_cell(locs.select("x", "y"), grid), near, f"{point_segment_sq('x', 'y')} <= {num(r * r)}")
     steps, area = circle_edge_steps("x", "y", r)
     for step in steps:
         met = met.selectExpr("*", *[f"{e} AS {name}" for name, e in step.items()])
@@ -155,8 +162,7 @@ def circle_shares(locs: DataFrame, edges: DataFrame, radius: float, poly: str =
                           f"y + {num(r * math.sin(REFERENCE_ANGLE))} AS y")
     held = rim.join(locate(locations(rim), edges, poly, size), ["x", "y"])
     full = held.selectExpr("px AS x", "py AS y", poly, f"{num(math.pi * r * r)} AS shared")
-    shared = by_edges.union(full).groupBy("x", "y", poly).agg(F.sum("shared").alias("shared"))
-    return shared.where(f"shared > {num(SLIVER)}")
+    return by_edges.union(full).groupBy("x", "y", poly).agg(F.greatest(F.sum("shared"), F.lit(0.0)).alias("shared"))
 
 
 def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius: float, estimate: str = "estimate",
@@ -174,7 +180,7 @@ def areal_density(locs: DataFrame, edges: DataFrame, counts: DataFrame, radius:
 
 
 def _covered_edges(edges: DataFrame, poly: str, size: float) -> DataFrame:
-    covered = cover_segments(edges.select(poly, *ENDS), size)
+    covered = cover_segments(edges.select(poly, *ENDS), size, TOUCH)
     return covered.withColumnsRenamed({c: f"e_{c}" for c in ENDS})
 
 
@@ -182,15 +188,18 @@ def _vertices(segments: DataFrame, line: str) -> DataFrame:
     return segments.selectExpr(line, "inline(array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y2 AS y)))")
 
 
+_MEETS = f"{segment_segment_sq(ENDS, _EDGE)} <= {num(TOUCH * TOUCH)}"
+
+
 def lines_meeting_polygons(segments: DataFrame, edges: DataFrame, line: str = "line_id", poly: str = "poly_id",
                            size: float = POLYGON_CELL) -> DataFrame:
-    """``(line, poly)`` pairs that intersect.
+    """``(line, poly)`` pairs that intersect; a touched corner or a stretch along the boundary counts.
 
-    A pair meets when a segment crosses an edge, or when a vertex lies inside: a line
-    that crosses no edge is inside or outside as a whole.
+    A pair meets when a segment meets an edge, or when a vertex lies inside: a line that
+    meets no edge is inside or outside as a whole.
     """
     segs = segments.select(line, *ENDS)
-    by_edge = cell_join(cover_segments(segs, size), _covered_edges(edges, poly, size), segments_cross(ENDS, _EDGE))
+    by_edge = cell_join(cover_segments(segs, size), _covered_edges(edges, poly, size), _MEETS)
     starts = _vertices(segs, line)
     by_vertex = starts.join(locate(locations(starts), edges, poly, size), ["x", "y"])
     return by_edge.select(line, poly).union(by_vertex.select(line, poly)).distinct()
@@ -209,17 +218,21 @@ def clip_lines(segments: DataFrame, edges: DataFrame, keys: Sequence[str] = ("li
                poly: str = "poly_id", size: float = POLYGON_CELL) -> DataFrame:
     """Parts of the segments inside each polygon, as ``keys, piece, poly, x1..y2``.
 
-    Segments are cut to cell length first, so one piece meets few edges and its
-    crossings with one polygon fit in one array. A crossing piece is cut there and the
-    parts whose midpoint is inside are kept; a piece that crosses no edge of a polygon
-    is kept or dropped as a whole.
+    Polygons hold their boundary. Segments are cut to cell length first, so one piece meets
+    few edges and its cuts by one polygon fit in one array. A piece that meets edges is cut
+    where it crosses or touches them, and at both ends of an edge it runs along; of its parts
+    those whose midpoint is in or on the polygon are kept. A piece that meets no edge of a
+    polygon is kept or dropped as a whole.
     """
     pieces = cut_to_length(segments.select(*keys, *ENDS), size)
     ids = [*keys, "piece"]
     dx, dy, ex, ey = "(x2 - x1)", "(y2 - y1)", "(e_x2 - e_x1)", "(e_y2 - e_y1)"
     t = f"try_divide((e_x1 - x1) * {ey} - (e_y1 - y1) * {ex}, {dx} * {ey} - {dy} * {ex})"
-    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), segments_cross(ENDS, _EDGE))
-            .groupBy(*ids, poly, *ENDS).agg(F.expr(f"collect_set({t}) AS ts")))
+    ends = [f"try_divide(({x} - x1) * {dx} + ({y} - y1) * {dy}, power({dx}, 2) + power({dy}, 2))" for x, y in (_EDGE[:2], _EDGE[2:])]
+    along = " AND ".join(f"abs({side(ENDS, x, y)}) <= {num(TOUCH)} * {length()}" for x, y in (_EDGE[:2], _EDGE[2:]))
+    stops = f"IF({along}, array({', '.join(clamp01(e) for e in ends)}), array({clamp01(t)}))"
+    cuts = (cell_join(cover_segments(pieces, size), _covered_edges(edges, poly, size), _MEETS)
+            .groupBy(*ids, poly, *ENDS).agg(F.expr(f"array_compact(array_distinct(flatten(collect_set({stops})))) AS ts")))
     spans = (cuts.withColumn("ts", F.expr("array_sort(array_union(ts, array(0D, 1D)))"))
              .selectExpr(*ids, poly, *ENDS, "inline(arrays_zip(slice(ts, 1, size(ts) - 1), slice(ts, 2, size(ts) - 1))) AS (a, b)")
              .where("b > a")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,100 @@ def test_array_geometry_to_tables(spark):
 def test_dissolve_ignores_direction(spark):
     segs = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 1.0), (2, 0, 1.0, 1.0, 0.0, 0.0), (2, 1, 1.0, 1.0, 2.0, 0.0)], SEG)
     assert shapes.dissolve(segs).count() == 2
+
+
+# Boundary contact against exact fractions
+
+def plain_clip(seg, rings):
+    """Length of a segment in a closed polygon (boundary included), and whether they meet, in exact arithmetic."""
+    a, b = [tuple(map(Fraction, p)) for p in seg]
+    edges = [(tuple(map(Fraction, p)), tuple(map(Fraction, q))) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])]
+    d = (b[0] - a[0], b[1] - a[1])
+    cross = lambda u, v: u[0] * v[1] - u[1] * v[0]
+    less = lambda p, q: (p[0] - q[0], p[1] - q[1])
+    dd = d[0] ** 2 + d[1] ** 2
+    stops = {Fraction(0), Fraction(1)}
+    for p, q in edges:
+        e = less(q, p)
+        if cross(d, e):
+            t, u = cross(less(p, a), e) / cross(d, e), cross(less(p, a), d) / cross(d, e)
+            if 0 <= t <= 1 and 0 <= u <= 1:
+                stops.add(t)
+        elif cross(d, less(p, a)) == 0:
+            for r in (p, q):
+                t = (less(r, a)[0] * d[0] + less(r, a)[1] * d[1]) / dd
+                if 0 <= t <= 1:
+                    stops.add(t)
+
+    def held(x, y):
+        odd = False
+        for (px, py), (qx, qy) in edges:
+            if (qx - px) * (y - py) == (qy - py) * (x - px) and min(px, qx) <= x <= max(px, qx) and min(py, qy) <= y <= max(py, qy):
+                return True
+            if (py > y) != (qy > y) and px + (y - py) * (qx - px) / (qy - py) > x:
+                odd = not odd
+        return odd
+
+    at = lambda t: (a[0] + t * d[0], a[1] + t * d[1])
+    order = sorted(stops)
+    kept = sum(t2 - t1 for t1, t2 in zip(order, order[1:]) if held(*at((t1 + t2) / 2)))
+    return float(kept) * math.sqrt(dd), any(held(*at(t)) for t in order)
+
+
+SQUARE = [(0, 0), (1000, 0), (1000, 1000), (0, 1000)]
+SQUARE_HOLE = [(300, 300), (300, 700), (700, 700), (700, 300)]
+ALONG = [((0, 300), (0, 800)), ((0, -500), (0, 500)), ((-500, 0), (1500, 0)), ((1000, 1000), (1500, 1500)), ((-500, 500), (500, -500)), ((500, -500), (-500, 1500)),
+         ((-100, 1000), (500, 1000)), ((0, 0), (1000, 1000)), ((300, 0), (300, 1000)), ((300, 400), (300, 600)), ((350, 300), (650, 300)), ((400, 400), (600, 600)),
+         ((300, 500), (700, 500)), ((200, 800), (800, 200)), ((200, 400), (400, 200)), ((1000, 200), (2000, 200)), ((-300, 1200), (-1, 1200)), ((1000, -10), (1000, 1010)),
+         ((-10, -10), (0, 0)), ((-10, 5), (0, 5)), ((0, 1000), (1000, 1000)), ((2000, 0), (3000, 0)), ((700, 700), (1000, 1000)), ((0, 0), (0, 1000))]
+
+
+@pytest.mark.parametrize("shift", [0, 1500, 2000])
+def test_boundary_contact_is_exact(spark, shift):
+    """Both directions of rings and lines, with and without hole, on and off the grid of cells."""
+    move = lambda p: (p[0] + shift, p[1] + shift)
+    shapes_ = [([SQUARE], 1), ([SQUARE[::-1]], 2), ([SQUARE, SQUARE_HOLE], 3), ([SQUARE[::-1], SQUARE_HOLE[::-1]], 4)]
+    rng = random.Random(shift)
+    some = lambda: (rng.randrange(-2, 13) * 100, rng.randrange(-2, 13) * 100)
+    lines = [*ALONG, *[(b, a) for a, b in ALONG], *[(p, q) for p, q in ((some(), some()) for _ in range(60)) if p != q]]
+    edges = [r for rings, n in shapes_ for k, ring in enumerate(rings) for r in ring_rows(n, k, list(map(move, ring)))]
+    segs = spark.createDataFrame([(i, 0, *map(float, move(a)), *map(float, move(b))) for i, (a, b) in enumerate(lines)], SEG)
+    table = spark.createDataFrame(edges, EDGE)
+    found = {(r.line_id, r.poly_id): r.length for r in polygons.clipped_lengths(polygons.clip_lines(segs, table), ["line_id", "poly_id"]).collect()}
+    met = {tuple(r) for r in polygons.lines_meeting_polygons(segs, table).collect()}
+    for i, line in enumerate(lines):
+        for rings, n in shapes_:
+            inside, meets = plain_clip([move(p) for p in line], [list(map(move, r)) for r in rings])
+            assert found.get((i, n), 0) == pytest.approx(inside, abs=1e-6), (line, n)
+            assert ((i, n) in met) == meets, (line, n)
+
+
+def test_contact_is_not_a_matter_of_area(spark, donut):
+    """A polygon that only just reaches the circle counts, so its missing estimate makes the density missing."""
+    far = [(11608.9999, 0), (20000, 0), (20000, 10000), (11608.9999, 10000)]
+    edges = donut.union(spark.createDataFrame(ring_rows(2, 0, far) + ring_rows(3, 0, [(x + 20, y) for x, y in far]), EDGE))
+    at = shapes.locations(points(spark, [(10000, 5000)]))
+    shares = {r.poly_id: r.shared for r in polygons.circle_shares(at, edges, 1609.0).collect()}
+    assert set(shares) == {1, 2} and 0 <= shares[2] < 0.1
+    for missing, expected in ((2, None), (3, pytest.approx(960 / (96e6 / 2.59e6), rel=1e-4))):
+        counts = spark.createDataFrame([(i, None if i == missing else 960.0) for i in (1, 2, 3)], "poly_id int, estimate double")
+        assert polygons.areal_density(at, edges, counts, 1609.0).first().density == expected
+
+
+def test_containment_grows_with_points_and_edges(spark):
+    """Ten times the points and edges of a polygon: ten times the joined pairs, told by the counted rows of the sweep."""
+    def made(n):
+        ring = [(9000 * (1 + 0.3 * (k % 2)) * math.cos(2 * math.pi * k / n), 9000 * (1 + 0.3 * (k % 2)) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        rng = random.Random(n)
+        pts = [(rng.uniform(-12000, 12000), rng.uniform(-12000, 12000)) for _ in range(n)]
+        return ring, pts
+
+    for n in (40, 400):
+        ring, pts = made(n)
+        edges = spark.createDataFrame(ring_rows(1, 0, ring), EDGE)
+        inside = {r.id for r in polygons.join_polygons(points(spark, pts), edges).collect()}
+        odd = lambda x, y: sum((a[1] > y) != (b[1] > y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x
+                               for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1  # noqa: B023
+        assert inside == {i for i, (x, y) in enumerate(pts) if odd(x, y)}
+    plan = polygons._reference_parity(edges.selectExpr("poly_id", "1L AS cx", "2L AS cy"), edges, "poly_id", 2000.0)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
