@@ -176,10 +176,10 @@ def agg_corridor_rollup(t):
 
 
 @query(CORRIDOR_SQL + ", l AS (UNPIVOT m ON " + ", ".join(risk.SUMMARY_METRICS) + " INTO NAME metric VALUE v) "
-       """SELECT metric, ROUND(MAX(v) FILTER (WHERE corridor = 'River'), 5) AS "River",
- ROUND(MAX(v) FILTER (WHERE corridor = 'Eagle'), 5) AS "Eagle" FROM l GROUP BY 1""")
+       """SELECT metric, ROUND(MAX(v) FILTER (WHERE corridor = 'Valley'), 5) AS "Valley",
+ ROUND(MAX(v) FILTER (WHERE corridor = 'Ridge'), 5) AS "Ridge" FROM l GROUP BY 1""")
 def pipe_corridor(t):
-    return _rounded(risk.corridor_summary_table(t.sheet, ["River", "Eagle"]), "metric")
+    return _rounded(risk.corridor_summary_table(t.sheet, ["Valley", "Ridge"]), "metric")
 
 
 def _tally(c: str, first_tier: bool) -> str:
@@ -230,18 +230,18 @@ def agg_log_histogram(t):
 
 # Windows -------------------------------------------------------------------
 
-AXES = {"River": "x", "Eagle": "y"}
-ORDER_FIXES = {("River", 13): 12, ("River", 14): 13, ("River", 12): 14}
-ORDER_SQL = """o AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY corridor ORDER BY CASE corridor WHEN 'River' THEN x ELSE y END, crossing_id) AS INT) AS ord0
- FROM assets WHERE corridor IN ('River', 'Eagle')),
-w AS (SELECT *, CASE WHEN corridor = 'River' AND ord0 = 13 THEN 12 WHEN corridor = 'River' AND ord0 = 14 THEN 13
- WHEN corridor = 'River' AND ord0 = 12 THEN 14 ELSE ord0 END AS "order" FROM o)"""
+AXES = {"Valley": "x", "Ridge": "y"}
+ORDER_FIXES = {("Valley", 5): 6, ("Valley", 6): 5, ("Ridge", 20): 18}
+ORDER_SQL = """o AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY corridor ORDER BY CASE corridor WHEN 'Valley' THEN x ELSE y END, crossing_id) AS INT) AS ord0
+ FROM assets WHERE corridor IN ('Valley', 'Ridge')),
+w AS (SELECT *, CASE WHEN corridor = 'Valley' AND ord0 = 5 THEN 6 WHEN corridor = 'Valley' AND ord0 = 6 THEN 5
+ WHEN corridor = 'Ridge' AND ord0 = 20 THEN 18 ELSE ord0 END AS "order" FROM o)"""
 
 
 @query(f"WITH {ASSETS}, {ORDER_SQL} SELECT corridor, crossing_id, ord0 AS \"order\" FROM w")
 def win_corridor_order(t):
     listed = t.crossings.where(F.col("corridor").isin(*AXES)).withColumn(
-        "pos", F.when(F.col("corridor") == "River", F.col("x")).otherwise(F.col("y")))
+        "pos", F.when(F.col("corridor") == "Valley", F.col("x")).otherwise(F.col("y")))
     return windows.number_in_order(listed.select("corridor", "crossing_id", "pos"), ["corridor"],
                                    [F.col("pos"), F.col("crossing_id")], "order").drop("pos")
 
@@ -360,12 +360,12 @@ def rsh_row_total(t):
 
 @query("""WITH s AS (SELECT corridor, CAST(COUNT(*) AS DOUBLE) AS n, SUM(pass_cnt) * 1.0 AS trains, CAST(MAX(pass_cnt) AS DOUBLE) AS busiest FROM fx_crossings GROUP BY 1),
 u AS (SELECT corridor, 'n' AS metric, n AS v FROM s UNION ALL SELECT corridor, 'trains', CAST(trains AS DOUBLE) FROM s UNION ALL SELECT corridor, 'busiest', busiest FROM s)
-SELECT metric, MAX(v) FILTER (WHERE corridor = 'River') AS "River", MAX(v) FILTER (WHERE corridor = 'Eagle') AS "Eagle",
- MAX(v) FILTER (WHERE corridor = 'Chief') AS "Chief", MAX(v) FILTER (WHERE corridor IS NULL) AS "NA" FROM u GROUP BY 1""")
+SELECT metric, MAX(v) FILTER (WHERE corridor = 'Valley') AS "Valley", MAX(v) FILTER (WHERE corridor = 'Ridge') AS "Ridge",
+ MAX(v) FILTER (WHERE corridor = 'Harbor') AS "Harbor", MAX(v) FILTER (WHERE corridor IS NULL) AS "NA" FROM u GROUP BY 1""")
 def rsh_transpose(t):
     per = t.crossings.groupBy("corridor").agg(F.count(F.lit(1)).alias("n"), F.sum("pass_cnt").alias("trains"),
                                               F.max("pass_cnt").alias("busiest"))
-    return reshape.transpose(per, "corridor", ["River", "Eagle", "Chief", None], ["n", "trains", "busiest"])
+    return reshape.transpose(per, "corridor", ["Valley", "Ridge", "Harbor", None], ["n", "trains", "busiest"])
 
 
 # Tabular plans -------------------------------------------------------------
@@ -374,10 +374,10 @@ _TITLE = ("array_to_string(list_transform(regexp_extract_all(subdiv_name, '([a-z
           "lambda p: upper(p[1]) || lower(p[2:])), '')")
 
 
-@query(f"""WITH {HISTORY}, b AS (SELECT c.crossing_id, c.subdiv_name, s.grade1, s.grade2, COALESCE(h.inc_fat_win, 0) AS inc_fat_win,
+@query(f"""WITH {HISTORY}, b AS (SELECT c.crossing_id, c.milepost, c.railroad, c.max_speed, c.hwy_speed, c.subdiv_name, s.grade1, s.grade2, COALESCE(h.inc_fat_win, 0) AS inc_fat_win,
   COALESCE(h.inc_inj_win, 0) AS inc_inj_win, COALESCE(h.inc_tot_win, 0) AS inc_tot_win FROM fx_crossings c
   LEFT JOIN fx_survey s ON c.crossing_id = s.crossing_id LEFT JOIN history h ON h.crossing_id = c.crossing_id WHERE c.reason_id <> 16)
-SELECT crossing_id, {_TITLE} AS subdiv_name, inc_fat_win, inc_inj_win, inc_tot_win - inc_fat_win - inc_inj_win AS inc_pdo_win, inc_tot_win,
+SELECT crossing_id, milepost, railroad, max_speed, hwy_speed, {_TITLE} AS subdiv_name, inc_fat_win, inc_inj_win, inc_tot_win - inc_fat_win - inc_inj_win AS inc_pdo_win, inc_tot_win,
  grade1 + grade2 AS grade_change FROM b""")
 def pipe_master(t):
     history = asset_plans.incident_history(t.incidents, WINDOW_YEARS)
@@ -422,10 +422,10 @@ def pipe_delay(t):
     return closure.closure_delay(stats, t.adt).withColumn("avg_chg_duration", F.round("avg_chg_duration", 5))
 
 
-@query("""SELECT crossing_id, CAST(SUM(trips) FILTER (WHERE scenario = 'base') AS BIGINT) AS base, CAST(SUM(trips) FILTER (WHERE scenario = 'closure') AS BIGINT) AS closure,
- CAST(SUM(trips) FILTER (WHERE scenario = 'closure') - SUM(trips) FILTER (WHERE scenario = 'base') AS BIGINT) AS delta FROM fx_routes GROUP BY 1""")
+@query("""SELECT crossing_id, link_id, CAST(SUM(trips) FILTER (WHERE scenario = 'base') AS BIGINT) AS base, CAST(SUM(trips) FILTER (WHERE scenario = 'closure') AS BIGINT) AS closure,
+ CAST(SUM(trips) FILTER (WHERE scenario = 'closure') - SUM(trips) FILTER (WHERE scenario = 'base') AS BIGINT) AS delta FROM fx_overlines GROUP BY 1, 2""")
 def pipe_scenario(t):
-    return closure.scenario_volumes(t.routes)
+    return closure.scenario_volumes(t.overlines)
 
 
 @query(f"""WITH {SPREAD_SQL}, l AS (SELECT crossing_id * 2 AS link_id, final_adt FROM fx_adt)
@@ -437,22 +437,22 @@ def pipe_gate_share(t):
 
 
 @query(f"""WITH {ASSETS}, c AS (SELECT {VEHICLE} AS vehicle, a.corridor FROM fx_incidents i JOIN assets a ON i.crossing_id = a.crossing_id)
-SELECT vehicle, NULLIF(COUNT(*) FILTER (WHERE corridor = 'River'), 0) AS "River", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Eagle'), 0) AS "Eagle",
+SELECT vehicle, NULLIF(COUNT(*) FILTER (WHERE corridor = 'Valley'), 0) AS "Valley", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Ridge'), 0) AS "Ridge",
  NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL), 0) AS "NA",
- NULLIF(COUNT(*) FILTER (WHERE corridor NOT IN ('River', 'Eagle')), 0) AS rest FROM c GROUP BY 1""")
+ NULLIF(COUNT(*) FILTER (WHERE corridor NOT IN ('Valley', 'Ridge')), 0) AS rest FROM c GROUP BY 1""")
 def pipe_crash_vehicles(t):
-    return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "vehicle", ["River", "Eagle", None])
+    return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "vehicle", ["Valley", "Ridge", None])
 
 
 @query(f"""WITH c AS (SELECT {MOTORIST} AS motorist, a.corridor FROM fx_incidents i JOIN fx_crossings a ON i.crossing_id = a.crossing_id)
-SELECT motorist, NULLIF(COUNT(*) FILTER (WHERE corridor = 'River'), 0) AS "River", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Eagle'), 0) AS "Eagle",
- NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL OR corridor NOT IN ('River', 'Eagle')), 0) AS rest FROM c GROUP BY 1""")
+SELECT motorist, NULLIF(COUNT(*) FILTER (WHERE corridor = 'Valley'), 0) AS "Valley", NULLIF(COUNT(*) FILTER (WHERE corridor = 'Ridge'), 0) AS "Ridge",
+ NULLIF(COUNT(*) FILTER (WHERE corridor IS NULL OR corridor NOT IN ('Valley', 'Ridge')), 0) AS rest FROM c GROUP BY 1""")
 def pipe_crash_actions(t):
-    return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "motorist", ["River", "Eagle"])
+    return reports.crashes_by(reports.crash_summary(t.incidents, t.crossings), "motorist", ["Valley", "Ridge"])
 
 
 @query(f"""SELECT i.crossing_id, a.corridor, {CRASH_TIME} AS crash_time, {VEHICLE} AS vehicle, {POSITION} AS position, {MOTORIST} AS motorist,
- {SEVERITY} AS severity, concat_ws(' ', narr1, narr2) AS narrative FROM fx_incidents i JOIN fx_crossings a ON i.crossing_id = a.crossing_id""")
+ {SEVERITY} AS severity, concat_ws(' ', narr1, narr2, narr3, narr4, narr5) AS narrative FROM fx_incidents i JOIN fx_crossings a ON i.crossing_id = a.crossing_id""")
 def pipe_crash(t):
     return reports.crash_summary(t.incidents, t.crossings)
 
@@ -496,10 +496,18 @@ def pipe_itinerary(t):
     return reports.passive_itinerary(listed).select("crossing_id", "warn_dev", "name")
 
 
-@query(f"""WITH {ASSETS} SELECT i.crossing_id, i.iyr, i.veh_code, COUNT(*) AS n FROM fx_incidents i
- WHERE CAST(i.iyr AS INT) >= 96 AND i.crossing_id IN (SELECT crossing_id FROM assets WHERE warn_dev NOT IN ('Gates', 'GatesWithMedian')) GROUP BY 1, 2, 3""")
+_LISTED = "listed AS (SELECT * FROM fx_sheet WHERE railroad IS NOT NULL AND (notes IS NULL OR notes <> 'Exclude'))"
+
+
+@query(f"""WITH {_LISTED} SELECT i.crossing_id, i.iyr, i.veh_code, COUNT(*) AS n FROM fx_incidents i WHERE CAST(i.iyr AS INT) >= 96 AND i.crossing_id IN
+ (SELECT crossing_id FROM listed WHERE corridor = 'Valley' AND (warn_dev IS NULL OR warn_dev NOT IN ('Gates', 'GatesWithMedian'))) GROUP BY 1, 2, 3""")
 def pipe_passive_crash(t):
-    return tables.count_by(reports.passive_crash_subset(t.incidents, assets(t), 96), "crossing_id", "iyr", "veh_code")
+    return tables.count_by(reports.passive_crash_subset(t.incidents, t.sheet, 96, "Valley"), "crossing_id", "iyr", "veh_code")
+
+
+@query(f"""WITH {_LISTED} SELECT corridor, railroad, COUNT(*) AS n FROM listed GROUP BY 1, 2""")
+def pipe_sheet_railroads(t):
+    return reports.railroads_by_corridor(t.sheet)
 
 
 @query("""SELECT s.crossing_id, c.street, c.lon AS x, c.lat AS y, 0 AS review_status FROM fx_sheet s JOIN fx_crossings c ON s.crossing_id = c.crossing_id

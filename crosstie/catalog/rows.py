@@ -187,9 +187,9 @@ def _effect(c: str, word: str) -> str:
 
 
 RISK_SQL = f"""WITH {ASSETS},
-r0 AS (SELECT a.crossing_id, a.warn_dev, a.main_trk + a.siding_trk AS tot_tracks, s.* EXCLUDE (crossing_id), {EXISTING} AS existing
- FROM assets a LEFT JOIN fx_sheet s ON a.crossing_id = s.crossing_id
- WHERE s.notes IS NULL OR NOT regexp_matches(s.notes, 'Pedestrian|Exclude')),
+r0 AS (SELECT a.crossing_id, a.industry_trk + a.main_trk + a.siding_trk + a.transit_trk + a.yard_trk AS tot_tracks, s.* EXCLUDE (crossing_id),
+  {EXISTING.replace('warn_dev', 's.warn_dev')} AS existing
+ FROM assets a LEFT JOIN (SELECT * FROM fx_sheet WHERE corridor IS NOT NULL AND notes IS NULL) s ON a.crossing_id = s.crossing_id),
 r1 AS (SELECT *, {_proposed('all_desc')} AS new_all, {_proposed('tier1_desc')} AS new_t1 FROM r0),
 r2 AS (SELECT *, existing || '_to_' || COALESCE(new_all, 'NA') AS change_all, existing || '_to_' || COALESCE(new_t1, 'NA') AS change_t1 FROM r1),
 r3 AS (SELECT *, {_category('all')} AS cat_all, {_category('t1')} AS cat_t1 FROM r2),

@@ -10,7 +10,7 @@ from crosstie.catalog.registry import query
 from crosstie.catalog.relations import AXES, ORDER_FIXES, ORDER_SQL
 from crosstie.catalog.rows import assets
 from crosstie.catalog.sqltext import (
-    ASSETS, CORRIDOR_CASE, CORRIDORS, GROUP, HISTORY, OUT_CLASSES, PEDESTRIAN, RAIL, SEG, SKIP_CORRIDOR, WINDOW_YEARS,
+    ASSETS, CORRIDOR_CASE, CORRIDORS, GROUP, HISTORY, OUT_CLASSES, PASSENGER, PEDESTRIAN, RAIL, SEG, SKIP_CORRIDOR, WINDOW_YEARS,
     device, in_list, point_segment_sq, segment_segment_sq, within,
 )
 from crosstie.geo import hexgrid, match, polygons, project, shapes
@@ -24,7 +24,7 @@ RADIUS = 1609.0
 
 
 def rail(t):
-    return asset_plans.labelled_rail(t.segments, t.lines, CORRIDORS, OUT_CLASSES)
+    return asset_plans.labelled_rail(t.segments, t.lines, CORRIDORS, OUT_CLASSES, PASSENGER)
 
 
 def rounded(df, digits=4, *cols):
@@ -139,18 +139,18 @@ def geo_pip_join(t):
     return polygons.join_polygons(t.crossings.select("crossing_id", "x", "y"), t.edges).select("crossing_id", "poly_id")
 
 
-@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'River'),
+@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Valley'),
 held AS (""" + within("g") + ") SELECT poly_id, name FROM fx_blocks WHERE poly_id IN (SELECT poly_id FROM held)")
 def geo_poly_has_point(t):
-    chosen = t.crossings.where(F.col("corridor") == "River")
+    chosen = t.crossings.where(F.col("corridor") == "Valley")
     return polygons.polygons_with_points(t.blocks, t.edges, chosen).select("poly_id", "name")
 
 
-@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Chief'),
+@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Harbor'),
 held AS (""" + within("g") + f"""), near AS (SELECT DISTINCT s.poly_id FROM g JOIN fx_edges s ON {point_segment_sq('g.x', 'g.y')} <= 1609.0 * 1609.0)
 SELECT poly_id, name FROM fx_blocks WHERE poly_id IN (SELECT poly_id FROM held) OR poly_id IN (SELECT poly_id FROM near)""")
 def geo_poly_near_point(t):
-    chosen = t.crossings.where(F.col("corridor") == "Chief")
+    chosen = t.crossings.where(F.col("corridor") == "Harbor")
     return polygons.polygons_near_points(t.blocks, t.edges, chosen, RADIUS).select("poly_id", "name")
 
 
@@ -253,7 +253,7 @@ _NEAR_COUNT = """near AS (SELECT a.crossing_id, COUNT(*) AS n_near FROM fx_cross
 
 
 def _density(t):
-    out = reports.asset_density(t.crossings.select("crossing_id", "street", "x", "y"), t.edges, t.blocks, RADIUS)
+    out = reports.asset_density(t.crossings.select("crossing_id", "street", "railroad", "x", "y"), t.edges, t.blocks, RADIUS)
     return out.withColumn("density", F.round(F.col("density") / 7, 5))
 
 
@@ -269,6 +269,15 @@ def pipe_density_sparsest(t):
     return reports.sparsest_by_count(_density(t)).select("n_near", "density", "crossing_id", "street")
 
 
+@query(f"""WITH {_share_sql()}, {_NEAR_COUNT}, a AS (SELECT c.railroad, n.n_near, n.crossing_id, ROUND(d.density / 7, 5) AS density
+  FROM near n JOIN fx_crossings c USING (crossing_id) LEFT JOIN density d USING (crossing_id))
+SELECT * FROM (SELECT *, MIN(density) OVER w AS low, COUNT(density) OVER w = COUNT(*) OVER w AS known FROM a WINDOW w AS (PARTITION BY railroad, n_near))
+ WHERE known AND density = low""".replace("SELECT * FROM (SELECT *,", "SELECT railroad, n_near, crossing_id, density FROM (SELECT *,"))
+def pipe_density_sparsest_railroad(t):
+    """Sparsest assets of every railroad and neighbour count."""
+    return reports.sparsest_by_count(_density(t), ["railroad"]).select("railroad", "n_near", "crossing_id", "density")
+
+
 @query("WITH held AS (" + within("fx_crossings") + ") SELECT h.crossing_id, b.name FROM held h JOIN fx_blocks b USING (poly_id)")
 def pipe_jurisdiction(t):
     out = reports.jurisdictions(t.crossings.select("crossing_id", "x", "y"), t.edges, t.blocks.select("poly_id", "name"))
@@ -374,7 +383,7 @@ def pipe_base_breakdown(t):
 
 
 @query(f"""WITH {RAIL}, located AS (SELECT * FROM fx_crossings WHERE pos_xing IN (2, 3) AND lat IS NOT NULL AND lon IS NOT NULL), {_nearest_sql('located', 100.0)}
-SELECT l.crossing_id, CASE WHEN l.pos_xing = 2 THEN 'RR Under' ELSE 'RR Over' END AS position, n.rail_corridor FROM located l JOIN near n ON n.crossing_id = l.crossing_id WHERE n.rail_corridor <> 'Chief'""")
+SELECT l.crossing_id, CASE WHEN l.pos_xing = 2 THEN 'RR Under' ELSE 'RR Over' END AS position, n.rail_corridor FROM located l JOIN near n ON n.crossing_id = l.crossing_id WHERE n.rail_corridor <> 'Harbor'""")
 def pipe_gradesep(t):
     out = asset_plans.grade_separations(t.crossings.drop("corridor"), rail(t), SKIP_CORRIDOR)
     return out.select("crossing_id", "position", "rail_corridor")
@@ -382,7 +391,7 @@ def pipe_gradesep(t):
 
 @query(f"""WITH {RAIL}, cand AS (SELECT p.crossing_id, {PEDESTRIAN.replace('purpose', 'p.purpose')} AS pedestrian, s.line_id, s.rail_corridor, {point_segment_sq('p.x', 'p.y')} AS sq
  FROM fx_crossings p CROSS JOIN rail s WHERE p.type_xing = 2 AND p.lat IS NOT NULL AND p.lon IS NOT NULL)
-SELECT DISTINCT crossing_id, line_id, rail_corridor, pedestrian FROM cand WHERE sq <= 400 AND rail_corridor <> 'Chief'""")
+SELECT DISTINCT crossing_id, line_id, rail_corridor, pedestrian FROM cand WHERE sq <= 400 AND rail_corridor <> 'Harbor'""")
 def pipe_private(t):
     out = asset_plans.private_crossings(t.crossings.drop("corridor"), rail(t), SKIP_CORRIDOR)
     return out.select("crossing_id", "line_id", "rail_corridor", "pedestrian")
@@ -394,9 +403,9 @@ def pipe_worksheet(t):
 
 
 @query(f"""WITH {CLIP_SQL} SELECT k.line_id, l.net, {CORRIDOR_CASE} AS rail_corridor, k.poly_id, ROUND(SUM(k.len), 3) AS length FROM kept k JOIN fx_lines l ON l.line_id = k.line_id
- WHERE l.net IS NULL OR l.net NOT IN {in_list(OUT_CLASSES)} GROUP BY 1, 2, 3, 4""")
+ WHERE (l.net IS NULL OR l.net NOT IN {in_list(OUT_CLASSES)}) AND l.passenger = '{PASSENGER}' GROUP BY 1, 2, 3, 4""")
 def pipe_rail(t):
-    clipped = asset_plans.rail_network(t.segments, t.lines, t.edges, CORRIDORS)
+    clipped = asset_plans.rail_network(t.segments, t.lines, t.edges, CORRIDORS, PASSENGER)
     return rounded(polygons.clipped_lengths(clipped, ["line_id", "net", "rail_corridor", "poly_id"]), 3, "length")
 
 
@@ -408,21 +417,21 @@ def pipe_rail_context(t):
     return rounded(merged.agg(F.count(F.lit(1)).alias("n_segments"), F.expr(f"sum({length()}) AS length")), 3, "length")
 
 
-@query(f"""WITH {RAIL}, main AS (SELECT * FROM rail WHERE rail_corridor = 'River'),
+@query(f"""WITH {RAIL}, main AS (SELECT * FROM rail WHERE rail_corridor = 'Valley'),
 near_lines AS (SELECT DISTINCT o.line_id FROM seg o JOIN main m ON {segment_segment_sq('o.', 'm.')} <= 2640.0 * 2640.0),
 near_points AS (SELECT DISTINCT p.crossing_id FROM fx_crossings p JOIN main s ON {point_segment_sq('p.x', 'p.y')} <= 2640.0 * 2640.0)
 SELECT 'line' AS kind, line_id AS id FROM near_lines UNION ALL SELECT 'asset', crossing_id FROM near_points""")
 def pipe_context(t):
-    main = rail(t).where(F.col("rail_corridor") == "River")
+    main = rail(t).where(F.col("rail_corridor") == "Valley")
     lines, points = asset_plans.proximity_context(main, t.segments, t.lines, t.crossings.select("crossing_id", "x", "y"))
     return lines.select(F.lit("line").alias("kind"), F.col("line_id").alias("id")).union(
         points.select(F.lit("asset").alias("kind"), F.col("crossing_id").alias("id")))
 
 
-@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Eagle'), held AS (""" + within("g")
+@query("""WITH g AS (SELECT * FROM fx_crossings WHERE corridor = 'Ridge'), held AS (""" + within("g")
        + ") SELECT poly_id, name FROM fx_blocks WHERE poly_id IN (SELECT poly_id FROM held)")
 def pipe_counties(t):
-    chosen = t.crossings.where(F.col("corridor") == "Eagle")
+    chosen = t.crossings.where(F.col("corridor") == "Ridge")
     return grids.corridor_polygons(t.blocks, t.edges, chosen).select("poly_id", "name")
 
 

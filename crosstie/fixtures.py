@@ -24,7 +24,7 @@ RING_EDGES = [
 VIEWS = {
     "fx_crossings": """
 SELECT p_partkey AS crossing_id, p_name AS street,
-  CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 < 2 THEN 'River' WHEN p_partkey % 5 < 4 THEN 'Eagle' ELSE 'Chief' END AS corridor,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 < 2 THEN 'Valley' WHEN p_partkey % 5 < 4 THEN 'Ridge' ELSE 'Harbor' END AS corridor,
   CASE WHEN p_partkey % 17 = 0 THEN '3' ELSE '1' END AS gate_conf,
   CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'NR' WHEN p_partkey % 2 = 0 THEN '2' ELSE '0' END AS gates,
   CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 6 AS STRING) END AS channel,
@@ -35,6 +35,8 @@ SELECT p_partkey AS crossing_id, p_name AS street,
   CASE WHEN p_partkey % 41 = 0 THEN 16 WHEN p_partkey % 43 = 0 THEN NULL ELSE 14 END AS reason_id,
   CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 4 = 0 THEN 'QUARRY IND-LD' ELSE 'north BELT' END AS subdiv_name,
   CAST(1 + p_size % 2 AS INT) AS main_trk, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(p_size % 3 AS INT) END AS siding_trk,
+  CAST(p_partkey % 3 AS INT) AS industry_trk, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE 0 END AS transit_trk, CASE WHEN p_partkey % 8 = 1 THEN 1 ELSE 0 END AS yard_trk,
+  CAST(p_partkey AS DOUBLE) / 8 AS milepost, p_brand AS railroad, CAST(20 + p_size AS INT) AS max_speed, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(25 + p_partkey % 4 * 10 AS INT) END AS hwy_speed,
   CAST(p_size AS INT) AS pass_cnt,
   CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE CAST(-94.0 + ((p_partkey * 37) % 1000) * 0.004 AS DOUBLE) END AS lon,
   CAST(37.0 + ((p_partkey * 91) % 1000) * 0.003 AS DOUBLE) AS lat,
@@ -52,7 +54,8 @@ SELECT l_partkey AS crossing_id, lpad(CAST(year(l_shipdate) % 100 AS STRING), 2,
   CAST(month(l_shipdate) AS STRING) AS imo, CAST(day(l_shipdate) AS STRING) AS iday,
   CAST(1 + l_suppkey % 12 AS STRING) AS hr, CASE WHEN l_returnflag = 'R' THEN 'PM' ELSE 'AM' END AS ampm,
   CAST(l_linenumber * 7 AS STRING) AS mi,
-  CASE WHEN l_linestatus = 'O' THEN 'VEHICLE ON NARROW ROAD' END AS narr1, CASE WHEN l_returnflag <> 'N' THEN 'STRUCK' END AS narr2
+  CASE WHEN l_linestatus = 'O' THEN 'VEHICLE ON NARROW ROAD' END AS narr1, CASE WHEN l_returnflag <> 'N' THEN 'STRUCK' END AS narr2,
+  CASE WHEN l_linenumber < 3 THEN 'AT GATE' END AS narr3, CASE WHEN l_linenumber > 5 THEN 'NAMED WITNESS' END AS narr4, CASE WHEN l_suppkey % 5 = 0 THEN 'FOG' END AS narr5
 FROM {lineitem}""",
     "fx_survey": """
 SELECT s_suppkey * 3 AS crossing_id, s_name AS road, s_acctbal AS aadt, CAST(s_suppkey % 7 AS DOUBLE) AS grade1,
@@ -61,9 +64,10 @@ UNION ALL
 SELECT s_suppkey * 6, s_name, s_acctbal, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(38.5 AS DOUBLE), CAST(-92.0 AS DOUBLE) FROM {supplier}""",
     "fx_sheet": """
 SELECT p_partkey AS crossing_id,
-  CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 < 3 THEN 'River' ELSE 'Eagle' END AS corridor,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 < 3 THEN 'Valley' ELSE 'Ridge' END AS corridor,
   CASE WHEN p_partkey % 10 = 0 THEN 'Pedestrian' WHEN p_partkey % 10 = 1 THEN 'Exclude' WHEN p_partkey % 10 = 2 THEN 'checked' END AS notes,
   CASE WHEN p_partkey % 14 = 0 THEN NULL ELSE p_brand END AS railroad,
+  CASE p_partkey % 7 WHEN 0 THEN 'Gates' WHEN 1 THEN 'FlashingOnly' WHEN 2 THEN 'Crossbucks' WHEN 3 THEN 'GatesWithMedian' WHEN 4 THEN 'StopSign' WHEN 5 THEN 'FourQuad' END AS warn_dev,
   CASE p_type WHEN 'STANDARD' THEN 'Closure' WHEN 'SMALL' THEN 'Gates; AFWS' WHEN 'LARGE' THEN 'Grade Separation'
     WHEN 'PROMO' THEN 'Lighting; AFWS; Security Gates' WHEN 'ECONOMY' THEN 'None' ELSE 'Public-to-Private' END AS all_desc,
   CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'Closure' ELSE 'Gates; Lighting' END AS tier1_desc,
@@ -75,6 +79,9 @@ FROM {part}""",
 SELECT o_custkey AS crossing_id, CASE o_orderstatus WHEN 'F' THEN 'base' ELSE 'closure' END AS scenario,
   o_custkey % 9 + CASE WHEN o_custkey % 11 = 0 AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS trips, CAST(SUM(CAST(o_orderkey AS BIGINT)) AS DOUBLE) AS distance, CAST(COUNT(*) * 60 AS DOUBLE) AS duration
 FROM {orders} WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2, 3""",
+    "fx_overlines": """
+SELECT o_custkey AS crossing_id, CASE o_orderstatus WHEN 'F' THEN 'base' ELSE 'closure' END AS scenario, o_orderkey % 5 AS link_id,
+  CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_orderkey % 100 END AS trips FROM {orders} WHERE o_orderstatus IN ('F', 'O')""",
     "fx_adt": """
 SELECT c_custkey AS crossing_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST((c_custkey * 17) % 3000 AS DOUBLE) END AS final_adt FROM {customer}""",
     "fx_od": """
@@ -100,7 +107,8 @@ SELECT CAST((c_custkey - c_custkey % 60) / 60 AS BIGINT) AS line_id, c_custkey %
   CAST(CAST((c_custkey - c_custkey % 60) / 60 AS BIGINT) * 4000 + (((c_custkey % 60) * 37) % 11) * 100 AS DOUBLE) AS y FROM {customer}""",
     "fx_lines": """
 SELECT line_id, CASE WHEN line_id % 6 = 0 THEN NULL WHEN line_id % 6 = 1 THEN 'O' ELSE 'M' END AS net,
-  CASE WHEN line_id % 8 = 7 THEN NULL ELSE CAST(line_id % 5 AS INT) END AS subdiv
+  CASE WHEN line_id % 8 = 7 THEN NULL ELSE CAST(line_id % 5 AS INT) END AS subdiv,
+  CASE WHEN line_id % 7 = 3 THEN 'C' WHEN line_id % 11 = 5 THEN NULL ELSE 'A' END AS passenger
 FROM (SELECT DISTINCT CAST((c_custkey - c_custkey % 60) / 60 AS BIGINT) AS line_id FROM {customer}) l""",
     "fx_edges": """
 SELECT poly_id, ring, seq, CAST(x0 + dx1 AS DOUBLE) AS x1, CAST(y0 + dy1 AS DOUBLE) AS y1, CAST(x0 + dx2 AS DOUBLE) AS x2, CAST(y0 + dy2 AS DOUBLE) AS y2

@@ -148,27 +148,32 @@ def corridor_breakdown(base: DataFrame, corridor: str = "rail_corridor") -> Data
         F.count_if(F.col("inc_inj_win") > 0).alias("n_injury"), F.count_if(damage_only > 0).alias("n_pdo"))
 
 
-def master_base(base: DataFrame) -> DataFrame:
-    """Export table: title-cased subdivision, zero-filled history, damage-only count, grade change."""
+def master_base(base: DataFrame, own: Sequence[str] = ("milepost", "railroad", "max_speed", "hwy_speed")) -> DataFrame:
+    """Export table: own columns of the asset, title-cased subdivision, zero-filled history, damage-only count, grade change."""
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("inc_fat_win", "inc_inj_win", "inc_tot_win")}
     return base.withColumns(zero).select(
-        "crossing_id", title_case("subdiv_name").alias("subdiv_name"), "inc_fat_win", "inc_inj_win",
+        "crossing_id", *own, title_case("subdiv_name").alias("subdiv_name"), "inc_fat_win", "inc_inj_win",
         (F.col("inc_tot_win") - F.col("inc_fat_win") - F.col("inc_inj_win")).alias("inc_pdo_win"),
         "inc_tot_win", (F.col("grade1") + F.col("grade2")).alias("grade_change"))
 
 
 def labelled_rail(segments: DataFrame, lines: DataFrame, corridors: dict[int, str],
-                  skip_classes: Sequence[str] = OUT_OF_SERVICE_CLASSES) -> DataFrame:
-    """Segments of lines in service with their corridor, through a constant subdivision table."""
+                  skip_classes: Sequence[str] = OUT_OF_SERVICE_CLASSES, passenger: str | None = None) -> DataFrame:
+    """Segments of lines in service with their corridor, through a constant subdivision table.
+
+    ``passenger`` keeps the lines with this passenger operator only; a missing one is another.
+    """
+    if passenger is not None:
+        lines = lines.where(F.col("passenger") == passenger)
     open_lines = lines.where(not_in_keep_null("net", skip_classes)).withColumn(
         "rail_corridor", rules.decode(F.col("subdiv"), corridors))
     return key_join(segments, open_lines.select("line_id", "net", "rail_corridor"), ["line_id"], "inner")
 
 
 def rail_network(segments: DataFrame, lines: DataFrame, edges: DataFrame, corridors: dict[int, str],
-                 poly: str = "poly_id") -> DataFrame:
-    """Lines in service clipped to the area, with their corridor."""
-    rail = labelled_rail(segments, lines, corridors)
+                 passenger: str | None = None, poly: str = "poly_id") -> DataFrame:
+    """Lines in service (of one passenger operator, if named) clipped to the area, with their corridor."""
+    rail = labelled_rail(segments, lines, corridors, passenger=passenger)
     clipped = clip_lines(rail, edges, ["line_id", "seq"], poly)
     return key_join(clipped, lines.select("line_id", "net", rules.decode(F.col("subdiv"), corridors).alias("rail_corridor")),
                     ["line_id"], "inner")

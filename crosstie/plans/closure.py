@@ -39,11 +39,14 @@ def closure_delay(stats: DataFrame, adt: DataFrame) -> DataFrame:
     return joined.withColumn("veh_hrs", half_even(hours, 2)).where(F.col("crossing_id").isNotNull())
 
 
-def scenario_volumes(overlines: DataFrame, crossing_id=None) -> DataFrame:
-    """Trips per asset under both scenarios and their difference (all assets unless one is named)."""
+def scenario_volumes(overlines: DataFrame, keys: Sequence[str] = ("crossing_id", "link_id"), crossing_id=None) -> DataFrame:
+    """Trips per asset and link under both scenarios and their difference (all assets unless one is named).
+
+    A link that is missing in a scenario has no volume there and no difference.
+    """
     if crossing_id is not None:
         overlines = overlines.where(F.col("crossing_id") == crossing_id)
-    wide = widen(overlines, ["crossing_id"], "scenario", SCENARIOS, ["trips"], agg=F.sum)
+    wide = widen(overlines, list(keys), "scenario", SCENARIOS, ["trips"], agg=F.sum)
     return wide.withColumn("delta", F.col("closure") - F.col("base"))
 
 

@@ -20,9 +20,10 @@ from crosstie.operators.tables import count_by, log_histogram
 from crosstie.operators.windows import average_rank, keep_group_min, number_in_order
 
 REC_COLUMNS = ("rec_1", "rec_2", "rec_3")
+NARRATIVE_PARTS = ("narr1", "narr2", "narr3", "narr4", "narr5")
 
 
-def crash_summary(incidents: DataFrame, assets: DataFrame) -> DataFrame:
+def crash_summary(incidents: DataFrame, assets: DataFrame, parts: Sequence[str] = NARRATIVE_PARTS, literal: bool = False) -> DataFrame:
     """Decoded incidents of the studied assets with corridor, time and narrative.
 
     Incidents per asset can be very uneven: a small asset table is broadcast, else the
@@ -36,7 +37,7 @@ def crash_summary(incidents: DataFrame, assets: DataFrame) -> DataFrame:
         rules.decode("pos_code", rules.POSITION_CODES).alias("position"),
         rules.decode("mot_code", rules.MOTORIST_CODES).alias("motorist"),
         rules.severity("killed", "injured").alias("severity"),
-        narrative("narr1", "narr2").alias("narrative"))
+        narrative(*parts, literal=literal).alias("narrative"))
 
 
 def crashes_by(crashes: DataFrame, what: str, corridors: Sequence[str]) -> DataFrame:
@@ -107,9 +108,22 @@ def passive_itinerary(assets: DataFrame) -> DataFrame:
     return passive.withColumn("name", paste("order", F.lit(": "), "street", F.lit(" ("), "crossing_id", F.lit(")")))
 
 
-def passive_crash_subset(incidents: DataFrame, assets: DataFrame, since: int) -> DataFrame:
-    """Incidents since a two-digit year at assets without gates."""
-    ungated = assets.where(not_in_keep_null("warn_dev", ("Gates", "GatesWithMedian")))
+def listed_sheet(sheet: DataFrame) -> DataFrame:
+    """Rows of the master sheet with a railroad that are not excluded."""
+    return sheet.where(F.col("railroad").isNotNull() & not_in_keep_null("notes", ("Exclude",)))
+
+
+def railroads_by_corridor(sheet: DataFrame) -> DataFrame:
+    """Listed assets per corridor and railroad."""
+    return count_by(listed_sheet(sheet), "corridor", "railroad")
+
+
+def passive_crash_subset(incidents: DataFrame, sheet: DataFrame, since: int, corridor: str | None = None) -> DataFrame:
+    """Incidents since a two-digit year at listed assets (of one corridor, if named) without gates by the sheet."""
+    listed = listed_sheet(sheet)
+    if corridor is not None:
+        listed = listed.where(F.col("corridor") == corridor)
+    ungated = listed.where(not_in_keep_null("warn_dev", ("Gates", "GatesWithMedian")))
     recent = incidents.where(to_integer("iyr") >= since)
     return spread_join(recent, ungated.select("crossing_id"), ["crossing_id"], "left_semi")
 
@@ -130,9 +144,9 @@ def asset_density(assets: DataFrame, edges: DataFrame, counts: DataFrame, radius
     return attach(assets, near.join(density, ["x", "y"], "left"))
 
 
-def sparsest_by_count(density: DataFrame) -> DataFrame:
-    """For every neighbour count the assets of lowest density."""
-    return keep_group_min(density, ["n_near"], "density")
+def sparsest_by_count(density: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """For every neighbour count (of each group ``within``) the assets of lowest density; none where a density is missing."""
+    return keep_group_min(density, [*within, "n_near"], "density")
 
 
 def jurisdictions(assets: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,12 @@ SUMMARY_METRICS = (
     "percent_exp_ind_red_all", "percent_exp_ind_red_t1", "delta_exp_ind_all", "delta_exp_ind_t1")
 
 
+# Words of a treatment text that reduce the risk by themselves, and by how much; track counts of an asset.
+EFFECTS = {"signs": ("AFWS", 0.05), "light": ("Lighting", 0.05)}
+TRACKS = ("industry_trk", "main_trk", "siding_trk", "transit_trk", "yard_trk")
+OUT_OF_SCOPE = "Pedestrian|Exclude"
+
+
 def _treatment(df: DataFrame, text: str, tag: str, first_tier: bool, fixes: dict) -> DataFrame:
     fixed = rules.decode(F.col("crossing_id"), fixes) if fixes else None
     df = df.withColumn(f"new_{tag}", rules.proposed_class(text, "existing"))
@@ -27,31 +35,36 @@ def _treatment(df: DataFrame, text: str, tag: str, first_tier: bool, fixes: dict
     df = df.withColumn(f"cat_{tag}", rules.change_category("existing", f"new_{tag}", fixed))
     base = rules.base_reduction(f"cat_{tag}", "daily_trains", "tot_tracks",
                                 F.col(f"change_{tag}") if first_tier else None)
-    df = df.withColumns({
-        f"base_red_{tag}": base,
-        f"signs_red_{tag}": if_else(F.col(text).rlike("AFWS"), F.lit(0.05), F.lit(0.0)),
-        f"light_red_{tag}": if_else(F.col(text).rlike("Lighting"), F.lit(0.05), F.lit(0.0))})
+    parts = {f"{name}_red_{tag}": if_else(F.col(text).rlike(word), F.lit(share), F.lit(0.0)) for name, (word, share) in EFFECTS.items()}
+    df = df.withColumns({f"base_red_{tag}": base} | parts)
     return df.withColumns({
-        f"final_red_{tag}": combine_effects(f"base_red_{tag}", f"signs_red_{tag}", f"light_red_{tag}"),
+        f"final_red_{tag}": combine_effects(f"base_red_{tag}", *parts),
         f"unclassified_{tag}": F.col(f"base_red_{tag}") == rules.UNCLASSIFIED_RISK})
 
 
-def risk_reduction(base: DataFrame, sheet: DataFrame, fixes: dict | None = None) -> DataFrame:
+def scoped_sheet(sheet: DataFrame) -> DataFrame:
+    """Rows of the master sheet with a corridor and without notes."""
+    return sheet.where(F.col("corridor").isNotNull() & F.col("notes").isNull())
+
+
+def risk_reduction(base: DataFrame, sheet: DataFrame, fixes: dict | None = None, tracks: Sequence[str] = TRACKS) -> DataFrame:
     """Risk reduction of all-tier and first-tier treatments for every asset not marked out.
 
-    ``base`` has ``crossing_id, warn_dev, main_trk, siding_trk``; ``fixes`` sets the change
-    category of single assets.
+    ``base`` has ``crossing_id`` and the track counts, whose sum is missing when one of them
+    is. Device, trains and treatments come from the sheet, from its rows in scope: an asset
+    without one stays with missing treatments. ``fixes`` sets the change category of single
+    assets.
     """
-    tracks = base.select("crossing_id", "warn_dev", (F.col("main_trk") + F.col("siding_trk")).alias("tot_tracks"))
-    df = key_join(tracks, sheet, ["crossing_id"]).where(missing_or_not_matching("notes", "Pedestrian|Exclude"))
-    df = df.withColumn("existing", rules.existing_class("warn_dev"))
+    total = reduce(add, [F.col(c) for c in tracks])
+    df = key_join(base.select("crossing_id", total.alias("tot_tracks")), scoped_sheet(sheet), ["crossing_id"])
+    df = df.where(missing_or_not_matching("notes", OUT_OF_SCOPE)).withColumn("existing", rules.existing_class("warn_dev"))
     df = _treatment(df, "all_desc", "all", False, fixes or {})
     return _treatment(df, "tier1_desc", "t1", True, fixes or {})
 
 
 def exposed_sheet(sheet: DataFrame) -> DataFrame:
     """Sheet rows in scope with exposure before and after each treatment set."""
-    kept = sheet.where(missing_or_not_matching("notes", "Pedestrian|Exclude") & F.col("corridor").isNotNull())
+    kept = sheet.where(missing_or_not_matching("notes", OUT_OF_SCOPE) & F.col("corridor").isNotNull())
     kept = kept.withColumn("exp_ind", F.col("total_trains") * F.col("adt"))
     return kept.withColumns({"exp_t1": rules.exposure_after("tier1_desc", "exp_ind"),
                              "exp_all": rules.exposure_after("all_desc", "exp_ind")})
@@ -87,7 +100,7 @@ def treatment_tally(sheet: DataFrame, first_tier: bool = False) -> DataFrame:
     the corridor's count missing.
     """
     text = "tier1_desc" if first_tier else "all_desc"
-    kept = sheet.where(missing_or_not_matching("notes", "Pedestrian|Exclude") & F.col("corridor").isNotNull())
+    kept = sheet.where(missing_or_not_matching("notes", OUT_OF_SCOPE) & F.col("corridor").isNotNull())
     if first_tier:
         kept = kept.where(F.col(text).isNotNull())
     flags = rules.treatment_flags(text, with_gates=first_tier)
