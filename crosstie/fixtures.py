@@ -21,6 +21,9 @@ RING_EDGES = [
     (1, 2, 6000, 6500, 6000, 4500), (1, 3, 6000, 4500, 4000, 4500),
 ]
 
+# Lines from a cell's corner: along a shared side, along and across the hole, onto a corner (dx1, dy1, dx2, dy2).
+SIDINGS = [(0, 2000, 0, 12000), (3000, 4500, 7000, 4500), (3000, 5500, 7000, 5500), (-500, 0, 0, 0)]
+
 VIEWS = {
     "fx_crossings": """
 SELECT p_partkey AS crossing_id, p_name AS street,
@@ -115,13 +118,11 @@ SELECT poly_id, ring, seq, CAST(x0 + dx1 AS DOUBLE) AS x1, CAST(y0 + dy1 AS DOUB
 FROM (SELECT s_suppkey AS poly_id, CAST((s_suppkey % 10) * 10000 + 3.5 AS DOUBLE) AS x0,
         CAST((s_suppkey - s_suppkey % 10) * 1000 + (s_suppkey % 10) * 1500 - 7500 + 3.5 AS DOUBLE) AS y0 FROM {supplier}) p
 {ring_edges}""",
-    # Along a shared side, along and across the hole, onto a corner.
-    "fx_sidings": """
-SELECT s_suppkey * 4 + k AS line_id, 0 AS seq, x0 + dx1 AS x1, y0 + dy1 AS y1, x0 + dx2 AS x2, y0 + dy2 AS y2
-FROM (SELECT s_suppkey, CAST((s_suppkey % 10) * 10000 + 3.5 AS DOUBLE) AS x0,
-        CAST((s_suppkey - s_suppkey % 10) * 1000 + (s_suppkey % 10) * 1500 - 7500 + 3.5 AS DOUBLE) AS y0 FROM {supplier}) p
-CROSS JOIN (SELECT 0 AS k, 0 AS dx1, 2000 AS dy1, 0 AS dx2, 12000 AS dy2 UNION ALL SELECT 1, 3000, 4500, 7000, 4500
-  UNION ALL SELECT 2, 3000, 5500, 7000, 5500 UNION ALL SELECT 3, -500, 0, 0, 0) t""",
+    "fx_sidings": "\nUNION ALL\n".join(f"""SELECT s_suppkey * 4 + {k} AS line_id, 0 AS seq, CAST((s_suppkey % 10) * 10000 + 3.5 + {dx1} AS DOUBLE) AS x1,
+  CAST((s_suppkey - s_suppkey % 10) * 1000 + (s_suppkey % 10) * 1500 - 7500 + 3.5 + {dy1} AS DOUBLE) AS y1,
+  CAST((s_suppkey % 10) * 10000 + 3.5 + {dx2} AS DOUBLE) AS x2,
+  CAST((s_suppkey - s_suppkey % 10) * 1000 + (s_suppkey % 10) * 1500 - 7500 + 3.5 + {dy2} AS DOUBLE) AS y2 FROM {{supplier}}"""
+                                        for k, (dx1, dy1, dx2, dy2) in enumerate(SIDINGS)),
     "fx_blocks": """
 SELECT s_suppkey AS poly_id, s_name AS name, CASE WHEN s_suppkey % 97 = 5 THEN NULL ELSE 1000 + s_suppkey * 37 + CAST(1 AS DOUBLE) / 7 END AS estimate FROM {supplier}""",
 }
