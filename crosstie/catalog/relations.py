@@ -66,7 +66,7 @@ def jn_anti(t):
     return joins.anti(t.crossings.select("crossing_id", "corridor"), t.sheet.where(F.col("notes") == "Exclude"), ["crossing_id"])
 
 
-@query(f"SELECT line_id, net, subdiv, {CORRIDOR_CASE} AS rail_corridor FROM fx_lines")
+@query(f"SELECT line_id, net, subdiv, passenger, {CORRIDOR_CASE} AS rail_corridor FROM fx_lines")
 def jn_lookup(t):
     return joins.lookup(t.lines, "subdiv", CORRIDORS, "rail_corridor")
 
