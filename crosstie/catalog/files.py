@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosstie.catalog.registry import query
-from crosstie.geo.measure import length
-from crosstie.geo.shapes import edges_from_rings, segments_from_points
+from crosstie.geo.measure import ENDS, length
+from crosstie.geo.shapes import edges_from_rings
 from crosstie.plans.grids import export_parcels
 from crosstie.session import scratch_path
 from crosstie.sources import features, store, tables
 
+# Short parts, so that the lines of the fixtures consist of several.
+PART_POINTS = 25
+
 
 @query("SELECT crossing_id, final_adt FROM fx_adt")
 def src_csv(t):
@@ -47,19 +50,19 @@ def src_sheet(t):
 @query("SELECT line_id, COUNT(*) AS n_points, SUM(x) AS sum_x, SUM(y) AS sum_y FROM fx_vertices GROUP BY 1")
 def src_geojson(t):
     path = scratch_path(t.spark, "lines")
-    features.write_geojson(features.lines_from_vertices(t.vertices), path, features.LINE, ["line_id"])
-    lines = features.read_geojson(t.spark, path, features.LINE, "line_id: bigint")
-    return lines.select("line_id", F.size("points").cast("bigint").alias("n_points"),
-                        F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"]).alias("sum_x"),
-                        F.aggregate("points", F.lit(0.0), lambda a, p: a + p["y"]).alias("sum_y"))
+    lines = features.lines_from_vertices(t.vertices, most_points=PART_POINTS)
+    features.write_geojson(lines, path, features.LINE, ["line_id", "first_seq"])
+    back = features.read_geojson(t.spark, path, features.LINE, "line_id: bigint, first_seq: bigint")
+    return features.vertices_from_lines(back).groupBy("line_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
-@query("SELECT line_id, seq, x AS x1, y AS y1 FROM fx_vertices WHERE seq < 59")
+@query("""SELECT a.line_id, a.seq, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM fx_vertices a
+ JOIN fx_vertices b ON b.line_id = a.line_id AND b.seq = a.seq + 1""")
 def src_features(t):
     path = scratch_path(t.spark, "features")
-    features.write_features(features.lines_from_vertices(t.vertices), path)
-    segments = segments_from_points(features.read_features(t.spark, path))
-    return segments.where(F.col("seq") < 59).select("line_id", F.col("seq").cast("bigint").alias("seq"), "x1", "y1")
+    features.write_features(features.lines_from_vertices(t.vertices, most_points=PART_POINTS), path)
+    return features.segments_from_lines(features.read_features(t.spark, path)).select("line_id", "seq", *ENDS)
 
 
 @query("SELECT poly_id, name, estimate FROM fx_blocks")

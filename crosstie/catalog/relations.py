@@ -25,7 +25,8 @@ GATES = ("click", "error", "purchase", "signup", "view")
  ON s.corridor IS NOT DISTINCT FROM n.corridor""".replace("SUM(crossing_id)", "CAST(SUM(crossing_id) AS BIGINT)"))
 def jn_natural_left(t):
     per = t.crossings.groupBy("corridor").agg(F.count(F.lit(1)).alias("n"), F.sum("crossing_id").alias("crossing_total"))
-    return joins.key_join(t.sheet.select("crossing_id", "corridor"), per)
+    sheet = t.sheet.select("crossing_id", "corridor")
+    return joins.spread_join(sheet, per, joins.natural_keys(sheet, per), row_key=["crossing_id"])
 
 
 @query("""SELECT c.crossing_id, s.road AS survey_road, s.aadt AS survey_aadt FROM fx_crossings c
@@ -345,12 +346,15 @@ def rsh_long(t):
 
 SPREAD_SQL = f"""{OD_SIDE_SQL},
 wide AS (SELECT COALESCE(link_id, 0) AS link_id, """ + ", ".join(
-    f"COALESCE(MAX(trip_percent) FILTER (WHERE gate = '{g}'), 0) AS \"{g}\"" for g in GATES) + " FROM pct GROUP BY 1)"
+    f"COALESCE(MAX(trip_percent) FILTER (WHERE gate = '{g}'), 0) AS \"{g}\"" for g in GATES) + """,
+ COALESCE(SUM(trip_percent), 0) AS tot_vol FROM pct GROUP BY 1)"""
 
 
-@query(f"WITH {SPREAD_SQL} SELECT *, " + " + ".join(f'"{g}"' for g in GATES) + " AS tot_vol FROM wide")
+@query(f"""WITH {SPREAD_SQL}, other AS (SELECT COALESCE(link_id, 0) AS link_id,
+ COALESCE(SUM(trip_percent) FILTER (WHERE gate IS NULL OR gate NOT IN ('{GATES[0]}', '{GATES[1]}')), 0) AS rest FROM pct GROUP BY 1)
+SELECT w.link_id, w."{GATES[0]}", w."{GATES[1]}", o.rest, w.tot_vol FROM wide w JOIN other o ON o.link_id = w.link_id""")
 def rsh_spread_total(t):
-    return reshape.spread_total(closure.trip_percent(t.od), "link_id", "gate", GATES, "trip_percent", "tot_vol")
+    return reshape.spread_total(closure.trip_percent(t.od), "link_id", "gate", GATES[:2], "trip_percent", "tot_vol", "rest")
 
 
 @query("SELECT crossing_id, daily_trains + total_trains + adt AS total FROM fx_sheet")

@@ -77,7 +77,7 @@ def geo_drop(t):
     located = assets(t)
     attributes = located.drop("x", "y", "lon", "lat")
     counts = attributes.groupBy("pedestrian", "warn_dev").agg(F.count(F.lit(1)).alias("n"))
-    counted = joins.key_join(attributes, counts, ["pedestrian", "warn_dev"], "inner").select("crossing_id", "warn_dev", "n")
+    counted = joins.spread_join(attributes, counts, ["pedestrian", "warn_dev"], "inner", row_key=["crossing_id"]).select("crossing_id", "warn_dev", "n")
     return joins.key_join(counted, located.select("crossing_id", "x", "y"), ["crossing_id"])
 
 

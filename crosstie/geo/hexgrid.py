@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from crosstie.geo.measure import ENDS, length, num, point_segment_sq, segment_segment_sq
 from crosstie.geo.shapes import boxes, cut_to_length
-from crosstie.operators.joins import key_join
+from crosstie.operators.joins import key_join, spread_join
 
+# Most lattice origins (groups of lines) that are sent to every task.
+MOST_ORIGINS = 10_000
 # Corner directions of a pointy-topped hexagon, counter-clockwise, for unit circumradius.
 _CORNERS = [(math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (-30, 30, 90, 150, 210, 270)]
 
@@ -36,9 +38,22 @@ def _hex_distance_sq(width: float) -> str:
     return f"array_min(transform(array({sides}), e -> {gap}))"
 
 
+def _with_origin(pieces: DataFrame, origin: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the lattice origin of each piece's group.
+
+    The groups are few and large, so a join by group would gather them in as many tasks. Up to
+    ``MOST_ORIGINS`` origins, which are counted first, are sent to all tasks; of more groups the
+    large ones are dealt out.
+    """
+    few = origin.limit(MOST_ORIGINS + 1).collect()
+    if len(few) > MOST_ORIGINS:
+        return spread_join(pieces, origin, keys, "inner", row_key=ENDS)
+    return pieces.join(F.broadcast(pieces.sparkSession.createDataFrame(few, origin.schema)), list(keys))
+
+
 def _lattice_near(segments: DataFrame, origin: DataFrame, keys: Sequence[str], reach: float, width: float) -> DataFrame:
     """Pieces of the segments with every lattice cell whose centre may lie within ``reach``."""
-    pieces = cut_to_length(segments, width).drop("piece").join(origin, list(keys))
+    pieces = _with_origin(cut_to_length(segments, width).drop("piece"), origin, keys)
     r, w, h = num(reach), num(width), num(_row_height(width))
     return (pieces
             .selectExpr("*", f"explode(sequence(floor((least(y1, y2) - {r} - y0) / {h}), ceil((greatest(y1, y2) + {r} - y0) / {h}))) AS row")

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Most columns that names found in the data may become.
+MOST_NAMES = 1000
+
+
 def _label(v) -> str:
     return "NA" if v is None else str(v)
 
@@ -58,10 +62,33 @@ def row_total(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
     return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in cols]))
 
 
-def spread_total(df: DataFrame, key: str, names_from: str, names: Sequence, value: str, out: str) -> DataFrame:
-    """Long to wide, every missing value (the key's too) set to 0, plus the sum over the new columns."""
-    wide = widen(df, [key], names_from, names, [value], fill=0.0).fillna(0, [key])
-    return row_total(wide, [_label(n) for n in names], out)
+def names_in(df: DataFrame, names_from: str, most: int = MOST_NAMES) -> list:
+    """The names that occur, sorted, a missing one last, to be declared in a second pass.
+
+    They become columns, so their number is bounded: more than ``most`` are refused.
+    """
+    found = [r[0] for r in df.select(names_from).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{names_from} has more than {most} names; declare those wanted and name a rest column")
+    return sorted([n for n in found if n is not None]) + [None] * (None in found)
+
+
+def spread_total(df: DataFrame, key: str, names_from: str, names: Sequence | None, value: str, out: str,
+                 rest: str | None = None) -> DataFrame:
+    """Long to wide, every missing value (the key's too) set to 0, plus the sum over all names.
+
+    Each pair of key and name is expected once. The values of undeclared names are in the
+    total, and in a column of their own if ``rest`` names one. Without ``names`` all that
+    occur become columns.
+    """
+    names = names_in(df, names_from) if names is None else names
+    others = ~reduce(lambda a, b: a | b, [F.col(names_from).eqNullSafe(F.lit(n)) for n in names], F.lit(False))
+    cells = [F.coalesce(F.max(F.when(F.col(names_from).eqNullSafe(F.lit(n)), F.col(value))), F.lit(0.0)).alias(_label(n)) for n in names]
+    left = rest or "_rest"
+    cells.append(F.coalesce(F.sum(F.when(others, F.col(value))), F.lit(0.0)).alias(left))
+    wide = df.groupBy(key).agg(*cells).fillna(0, [key])
+    total = row_total(wide, [*[_label(n) for n in names], left], out)
+    return total if rest else total.drop(left)
 
 
 def transpose(df: DataFrame, group: str, groups: Sequence, metrics: Sequence[str]) -> DataFrame:

@@ -99,7 +99,8 @@ def recommendation_ranks(recs: DataFrame) -> DataFrame:
     """Every recommendation with its legend data and its tie-averaged rank inside the legend group."""
     long = recommendations_long(recs)
     legend = recommendation_legend(long).drop("n")
-    return average_rank(key_join(long, legend, ["recommendation"]), ["legend_group"], "legend_order", "rank")
+    placed = spread_join(long, legend, ["recommendation"], row_key=["crossing_id", "rec_num"])
+    return average_rank(placed, ["legend_group"], "legend_order", "rank")
 
 
 def passive_itinerary(assets: DataFrame) -> DataFrame:

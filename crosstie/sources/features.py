@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosstie.geo.shapes import segments_from_points
+
 POINT = "Point"
 LINE = "LineString"
 POLYGON = "Polygon"
@@ -84,14 +86,31 @@ def write_features(df: DataFrame, path: str) -> None:
 
 def lines_from_vertices(vertices: DataFrame, line: str = "line_id", seq: str = "seq",
                         most_points: int = 10_000) -> DataFrame:
-    """Vertices (numbered from 0) to point arrays for export, as ``line, part, points``.
+    """Vertices (numbered from 0) to point arrays for export, as ``line, part, first_seq, points``.
 
     A line of more than ``most_points`` vertices becomes several parts that share their
-    end points, so no array grows with the length of a line.
+    end points, so no array grows with the length of a line. ``first_seq`` is the number of
+    a part's first vertex; with it ``vertices_from_lines`` and ``segments_from_lines`` give
+    back the line's own numbers.
     """
     part = (F.col(seq) / F.lit(most_points)).cast("bigint")
     starts_part = (F.col(seq) > 0) & (F.col(seq) % most_points == 0)
     parts = F.when(starts_part, F.array(part, part - 1)).otherwise(F.array(part))
     pts = F.array_sort(F.collect_list(F.struct(F.col(seq), "x", "y")))
     listed = vertices.withColumn("part", F.explode(parts)).groupBy(line, "part")
-    return listed.agg(F.transform(pts, lambda p: F.struct(p["x"], p["y"])).alias("points")).where(F.size("points") > 1)
+    shaped = listed.agg(F.transform(pts, lambda p: F.struct(p["x"], p["y"])).alias("points")).where(F.size("points") > 1)
+    return shaped.select(line, "part", (F.col("part") * most_points).alias("first_seq"), "points")
+
+
+def vertices_from_lines(lines: DataFrame, seq: str = "seq") -> DataFrame:
+    """Point arrays in parts back to numbered vertices; a shared end point comes from the part it ends."""
+    rest = [c for c in lines.columns if c not in ("part", "first_seq", "points")]
+    placed = lines.select(*rest, "first_seq", F.posexplode("points").alias("_i", "_p"))
+    return (placed.where((F.col("_i") > 0) | (F.col("first_seq") == 0))
+            .select(*rest, (F.col("first_seq") + F.col("_i")).cast("bigint").alias(seq), "_p.x", "_p.y"))
+
+
+def segments_from_lines(lines: DataFrame) -> DataFrame:
+    """Point arrays in parts to segments, numbered through the whole line (``seq``); no shuffle."""
+    segments = segments_from_points(lines.drop("part"))
+    return segments.withColumn("seq", (F.col("first_seq") + F.col("seq")).cast("bigint")).drop("first_seq")

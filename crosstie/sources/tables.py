@@ -39,16 +39,33 @@ def read_strings(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
 def read_dir_strings(spark: SparkSession, directory: str) -> DataFrame:
     """Every delimited file of a directory as text columns, stacked by column name.
 
-    Files are grouped by their header; each group is one scan. Only file names and
-    headers pass through the driver.
+    First lines are found in tasks (``first_lines``); files with the same first line are
+    one group and each group is one scan. The driver sees file names, as it does in listing
+    any folder, and parses one header per group. Files without a line add nothing; a folder
+    without files, or with empty ones only, gives a table without columns and rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path")
+    groups = (first_lines(spark, directory).groupBy("first_line")
+              .agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("first_line").collect())
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(r.path for r in files.toLocalIterator()):
-        by_header.setdefault(tuple(header(spark, path)), []).append(path)
+    for group in groups:
+        by_header.setdefault(tuple(header(spark, group.paths[0])), []).extend(group.paths)
+    if not by_header:
+        return spark.createDataFrame([], T.StructType([]))
     return union_by_name(*[read_strings(spark, paths, cols) for cols, paths in by_header.items()])
 
 
+def first_lines(spark: SparkSession, directory: str, names: str = "*.csv") -> DataFrame:
+    """``path`` and ``first_line`` of every file with a line that is not blank.
+
+    One pass over the first blocks of the files as text; a task keeps one line per file, so
+    what is shuffled grows with the number of files only.
+    """
+    lines = spark.read.option("pathGlobFilter", names).text(directory).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where((F.col("block") == 0) & (F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id())
+    return first.groupBy("path").agg(F.min_by("value", "at").alias("first_line"))
+
+
 def read_csv_pruned(spark: SparkSession, path: str, keep: dict[str, str], columns: Sequence[str] | None = None) -> DataFrame:
     """Scan keeping only ``keep`` (name -> type); the reader never parses the others into rows."""
     names = list(columns) if columns is not None else header(spark, path)

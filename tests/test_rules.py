@@ -168,3 +168,17 @@ def test_override_and_reconcile(rows):
 def test_union_fills_missing_columns(rows):
     out = tables.union_by_name(rows([(1,)], "a int"), rows([(2,)], "b int"))
     assert sorted(((r.a, r.b) for r in out.collect()), key=str) == [(1, None), (None, 2)]
+
+
+def test_undeclared_names_count_in_the_total(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "new", 5.0), (1, None, 1.0), (2, "b", None)], "k long, g string, v double")
+    rows = reshape.spread_total(df, "k", "g", ["a", "b"], "v", "t").orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, 2.0, 0.0, 8.0), (2, 0.0, 0.0, 0.0)]
+    kept = reshape.spread_total(df, "k", "g", ["a", "b"], "v", "t", "rest").orderBy("k").first()
+    assert (kept.rest, kept.t) == (6.0, 8.0)
+    found = reshape.spread_total(df, "k", "g", None, "v", "t")
+    assert found.columns == ["k", "a", "b", "new", "NA", "t"] and found.orderBy("k").first().t == 8.0
+    with pytest.raises(ValueError):
+        reshape.names_in(df, "g", 2)
+    empty = reshape.spread_total(df.limit(0), "k", "g", None, "v", "t")
+    assert empty.columns == ["k", "t"] and empty.count() == 0

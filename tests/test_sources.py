@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from crosstie.geo.shapes import segments_from_vertices
 from crosstie.sources import features, store, tables
 
 
@@ -54,3 +56,44 @@ def test_long_lines_are_exported_in_parts(spark):
     vertices = spark.range(11).selectExpr("7 AS line_id", "id AS seq", "CAST(id AS DOUBLE) AS x", "0D AS y")
     parts = {r.part: [p.x for p in r.points] for r in features.lines_from_vertices(vertices, most_points=5).collect()}
     assert parts == {0: [0, 1, 2, 3, 4, 5], 1: [5, 6, 7, 8, 9, 10]}
+
+
+@pytest.mark.parametrize("interchange", [False, True])
+def test_long_lines_come_back_whole(spark, tmp_path, interchange):
+    vertices = spark.range(25_000).selectExpr("7L AS line_id", "id AS seq", "CAST(id AS DOUBLE) AS x", "id * 0.5D AS y")
+    short = spark.sql("SELECT 8L AS line_id, CAST(id AS BIGINT) AS seq, 1D AS x, id * 2D AS y FROM range(10001)")
+    vertices, path = vertices.unionByName(short), str(tmp_path / "lines")
+    lines = features.lines_from_vertices(vertices)
+    if interchange:
+        features.write_geojson(lines, path, features.LINE, ["line_id", "first_seq"])
+        back = features.read_geojson(spark, path, features.LINE, "line_id: bigint, first_seq: bigint")
+    else:
+        features.write_features(lines, path)
+        back = features.read_features(spark, path)
+    assert back.select(F.max(F.size("points"))).first()[0] <= 10_001 and back.count() == 4
+    whole = features.vertices_from_lines(back)
+    assert whole.count() == vertices.count() and whole.exceptAll(vertices.select(whole.columns)).isEmpty()
+    segments = features.segments_from_lines(back)
+    expected = segments_from_vertices(vertices).select(segments.columns)
+    assert segments.count() == 24_999 + 10_000 and segments.exceptAll(expected).isEmpty()
+
+
+def test_headers_are_found_in_one_job(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"f{i:03d}.csv").write_text(f"k,{'xy'[i % 2]}\n{i},v\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "late.csv").write_text("\nk,z\n900,w\n")
+    (tmp_path / "only.csv").write_text("k,x\n")
+    assert tables.first_lines(spark, str(tmp_path)).count() == 202
+    out = tables.read_dir_strings(spark, str(tmp_path))
+    assert sorted(out.columns) == ["k", "x", "y", "z"]
+    rows = {r.k: (r.x, r.y, r.z) for r in out.collect()}
+    assert len(rows) == 201 and rows["4"] == ("v", None, None) and rows["5"] == (None, "v", None) and rows["900"] == (None, None, "w")
+
+
+def test_folder_without_tables(spark, tmp_path):
+    assert tables.read_dir_strings(spark, str(tmp_path)).columns == []
+    (tmp_path / "a.csv").write_text("")
+    out = tables.read_dir_strings(spark, str(tmp_path))
+    assert out.columns == [] and out.count() == 0

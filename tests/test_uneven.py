@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crosstie.geo import match, polygons, shapes
+from crosstie.geo import hexgrid, match, polygons, shapes
 from crosstie.operators import joins, windows
 
 
@@ -105,3 +105,20 @@ def test_density_in_crowds(spark):
     assert len(out) == len({(r.x, r.y) for r in rows if r.x < 5609 and r.y < 5609 and
                             max(0.0, r.x - 4000) ** 2 + max(0.0, r.y - 4000) ** 2 < 1609.0 ** 2})
     assert all(0 < r.shared <= 3.1415926536 * 1609.0 ** 2 + 1e-3 for r in out)
+
+
+def test_lattice_joins_no_shuffled_groups(spark):
+    segments = spark.range(40).selectExpr("id % 2 AS g", "id * 700D AS x1", "id * 30D AS y1", "(id + 1) * 700D AS x2", "(id + 1) * 30D AS y2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cells = hexgrid.hex_cells(segments, 900.0, 500.0, ["g"])
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    few, hexgrid.MOST_ORIGINS = hexgrid.MOST_ORIGINS, 1
+    try:
+        assert as_set(hexgrid.hex_cells(segments, 900.0, 500.0, ["g"])) == as_set(cells)
+    finally:
+        hexgrid.MOST_ORIGINS = few
