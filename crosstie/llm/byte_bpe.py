@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 
 from crosstie.llm.common import texts_of
 
-# Words a worker remembers; when full, it starts anew (a matter of speed only).
-MOST_KNOWN = 1_000_000
+# Characters of all words that a worker remembers and of the longest; when full, it starts anew
+# (a matter of speed only). Ids take a few bytes for each character, so this bounds the memory.
+MOST_KNOWN = 16_000_000
+LONGEST_KNOWN = 64
+# Pairs of neighbouring tokens that a worker remembers.
+MOST_PAIRS = 1_000_000
 
 
 # White space other than single spaces and line feeds between words: there the pattern looks further than one character.
@@ -44,14 +48,20 @@ def words(text: str) -> list[str]:
 
 
 class Known(dict):
-    """Words with their ids; a new word is encoded when it is first asked for."""
+    """Words with their ids; a new word is encoded when it is first asked for and kept if it is short."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, most: int = MOST_KNOWN, longest: int = LONGEST_KNOWN):
         super().__init__()
-        self.learn = learn
+        self.learn, self.most, self.longest, self.size = learn, most, longest, 0
 
     def __missing__(self, word):
-        found = self[word] = self.learn(word)
+        found = self.learn(word)
+        if len(word) <= self.longest:
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self[word] = found
+            self.size += len(word) + 8
         return found
 
 
@@ -144,6 +154,8 @@ class ByteBpe:
             if fits and out:
                 fits = compatible.get((out[-1], token))
                 if fits is None:
+                    if len(compatible) > MOST_PAIRS:
+                        compatible.clear()
                     fits = compatible[out[-1], token] = self._check(out[-1], token)
             if fits:
                 out.append(token)
@@ -161,8 +173,6 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[tuple[str, bytes]]:
         """Decimal ids and little-endian unsigned 32-bit ids of each word of the text, in order."""
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
         return list(map(self.known.__getitem__, words(text)))
 
     def learn(self, word: str) -> tuple[str, bytes]:

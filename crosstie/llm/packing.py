@@ -27,8 +27,8 @@ OPEN_BINS = 256
 END_ID = 1
 # Sequences of one task are numbered from its partition's multiple of this.
 PER_TASK = 1 << 40
-# Tasks of the second round, as a share of the shuffle partitions.
-SECOND_ROUND = 16
+# Part-filled sequences that one task of the second round packs.
+SECOND_ROUND = 100_000
 
 
 class BestFit:
@@ -108,7 +108,7 @@ def packed_again(fills: DataFrame, length: int = LENGTH, open_bins: int = OPEN_B
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int64()), pa.array(shift, pa.int64())],
                                                  ["sequence_id", "to", "shift"])
 
-    tasks = max(1, int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SECOND_ROUND)
+    tasks = max(1, -(-fills.count() // SECOND_ROUND))
     dealt = fills.repartition(tasks).sortWithinPartitions(F.desc("used"), "sequence_id")
     return dealt.mapInArrow(run, "sequence_id bigint, to bigint, shift bigint")
 

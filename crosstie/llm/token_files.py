@@ -24,9 +24,23 @@ from crosstie.session import scratch_path
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 STRIDE_ROWS = 1000
+# Text of one range of ids, and so of one file.
+RANGE_BYTES = 128 << 20
+# Most files whose bases are sent to every task.
+MOST_FILES = 1_000_000
 
 
-def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def n_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """Ranges of ids, so that their number grows with the texts (at least the shuffle partitions).
+
+    The texts' bytes are counted in a pass of their own, which returns one row.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+
+
+def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
+              range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id``, ``at`` (tokens of its partition before it), ``n_tokens``, ``ids``; sorted by id, files in order."""
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "at", "n_tokens", "ids"]
@@ -42,16 +56,18 @@ def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at + ends - sizes), pa.array(sizes), lists], names)
             at += int(sizes.sum())
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Rows of one id are dealt by a hash, as the bounds of the ranges must not hold texts.
+    return (rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n_ranges(rows, range_bytes), "doc_id", "hash")
+            .sortWithinPartitions("doc_id", "hash", "text").drop("hash")
             .mapInArrow(run, f"doc_id {kind}, at bigint, n_tokens bigint, ids array<int>"))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text",
                       end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES, stride_rows: int = STRIDE_ROWS) -> None:
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    (tokenized(docs, vocabulary, doc_id, text, end_id).write
+    # A range is one file whatever the session's limit: places count through the whole range.
+    (tokenized(docs, vocabulary, doc_id, text, end_id).write.option("maxRecordsPerFile", 0)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(stride_rows))
      .option("orc.create.index", "true").orc(path))
@@ -60,14 +76,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start`` (tokens of all documents before it), ``n_tokens``, ``ids``.
 
-    The base of each file comes from the two narrow number columns of all files; there is
-    one row per file in the running sum.
+    The base of each file comes from the narrow number column of all files; there is one row
+    per file in the running sum. Up to ``MOST_FILES`` bases, which are counted first, are sent
+    to the tasks, so that no ids are shuffled; a larger list is joined.
     """
     rows = spark.read.orc(path).withColumn("file", F.col("_metadata.file_name"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     # Part numbers of more than five digits are longer names.
     before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= MOST_FILES:
+        bases = F.broadcast(bases)
     return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
@@ -98,7 +117,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "do
     """Write all documents to token files in the shared folder and digest them as read back.
 
     A missing text is empty and has its end id only. Rows with a missing id come first,
-    equal ids in the order of their texts; repeated rows are all written. An empty table
+    equal ids in an order that follows from their texts; repeated rows are all written. An empty table
     gives an empty result; other columns are ignored.
     """
     path = scratch_path(docs.sparkSession, "tokens")

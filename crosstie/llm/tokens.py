@@ -17,8 +17,6 @@ from tokenizers import Tokenizer
 
 from crosstie.llm.byte_bpe import Known, words
 
-# Pieces and chunks a worker remembers; when full, it starts anew (a matter of speed only).
-MOST_KNOWN = 1_500_000
 # The patterns of the two pre-tokenizers (white space is dropped by the second).
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -74,8 +72,6 @@ class Encoder:
         chunks = self.chunks(text)
         if chunks is None:
             return self.whole([text])[0]
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, chunks))
 
 

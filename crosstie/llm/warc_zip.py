@@ -20,7 +20,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstie.llm.common import HOT_ROWS
@@ -32,6 +32,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PACKAGE_BYTES = 64 << 20
 # Payloads from this size on are written once and revisited by equal ones.
 LEAST_REVISIT = 1000
+# Names of object stores in Hadoop's connectors and in pyarrow.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 # Fixed values of the ZIP format: signatures and the marks for "see the ZIP64 field".
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
 MARK16, MARK32 = 0xFFFF, 0xFFFFFFFF
@@ -163,6 +165,17 @@ def directory(source, size: int) -> dict[str, tuple[int, int]]:
     return members
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of Hadoop's default file system where it names none, as Spark itself reads it.
+
+    Schemes that only Hadoop's connectors know are given the names pyarrow has for them.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    scheme, _, rest = system.makeQualified(hadoop).toUri().toString().partition(":")
+    return f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def write_packages(records: DataFrame, path: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write rows (``key``, ``url``, ``payload``, ``sha1``, ``record_type``, ``refers_to``) and list the packages.
 
@@ -260,8 +273,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     the ones it declares. A missing page is empty; an empty table gives an empty result;
     other columns are ignored.
     """
-    path = scratch_path(pages.sparkSession, "warc")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    path = qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
     packages = write_packages(with_revisits(pages, page_id, url, html, least), path, package_bytes)
     records = read_packages(packages, path)
     kind = pages.schema[page_id].dataType
