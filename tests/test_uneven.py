@@ -85,6 +85,56 @@ def test_neighbour_counts_in_crowds(spark):
         assert sorted(map(tuple, found.collect())) == brute_neighbours(points, d)
 
 
+def test_neighbour_counts_halve_crowded_cells(spark):
+    points = crowded(spark)
+    d = 150.0
+    found = match.neighbours_by_position(points, d, "n", split=2, crowd=3)
+    assert {(r.x, r.y): r.n for r in found.collect()} == {
+        (r.x, r.y): n for r, (_, n) in zip(sorted(points.collect(), key=lambda r: r.id), brute_neighbours(points, d), strict=True)}
+    locs = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    assert len(match.settled_cells(locs, d, 2, 3)) > 2
+    assert match.neighbours_by_position(points.limit(0), d).count() == 0
+
+
+def compared_positions(spark, n):
+    """Pairs of positions left to compare, and pairs of cells, for n positions in one square of twice the distance."""
+    step = 2000.0 / n ** 0.5
+    side = int(n ** 0.5)
+    locs = spark.range(n).selectExpr(f"(id % {side}) * {step}D AS x", f"floor(id / {side}) * {step}D AS y", "1L AS w")
+    counts = [pairs.agg(F.expr("sum(IF(sure, 0, m * b_m))"), F.count(F.lit(1))).first()
+              for _, pairs in match.settled_cells(locs, 1000.0, 2, 8)]
+    return sum(c[0] or 0 for c in counts), sum(c[1] for c in counts)
+
+
+def test_neighbour_pairs_grow_less_than_squared(spark):
+    few, many = compared_positions(spark, 40 ** 2), compared_positions(spark, 160 ** 2)
+    # 16 times the positions: all pairs would be 256 times as many, the cells along the circles are 64 times as many.
+    assert many[0] < 80 * few[0] and many[1] < 80 * few[1]
+    assert many[0] < 0.15 * (160 ** 2) ** 2
+
+
+def test_line_search_halves_crowded_cells(spark, monkeypatch):
+    """Many short segments in one place, of which some only just reach the others."""
+    mine = spark.range(300).selectExpr("id AS line_id", "(id % 20) * 11D AS x1", "floor(id / 20) * 13D AS y1",
+                                       "(id % 20) * 11D + 7 AS x2", "floor(id / 20) * 13D + 5 AS y2")
+    theirs = spark.range(200).selectExpr("400D + (id % 10) * 9 AS x1", "(id % 37) * 5D AS y1", "404D + (id % 10) * 9 AS x2", "(id % 37) * 5D + 3 AS y2")
+    seen = []
+    close = match._close
+    monkeypatch.setattr(match, "_close", lambda m, pairs, *rest: seen.append(pairs) or close(m, pairs, *rest))
+    for distance in (215.0, 260.0):
+        seen.clear()
+        found = {r.line_id for r in match.segments_within(mine, ["line_id"], theirs, distance, crowd=4).collect()}
+        assert len(seen) > 1
+        compared = sum(p.agg(F.sum(F.col("m") * F.col("o_m"))).first()[0] or 0 for p in seen)
+        plain = {r.line_id for r in match.segments_within(mine, ["line_id"], theirs, distance, crowd=10 ** 6).collect()}
+        exact = match.segment_segment_sq(match.ENDS, [f"o_{c}" for c in match.ENDS])
+        o = theirs.withColumnsRenamed({c: f"o_{c}" for c in match.ENDS})
+        brute = {r.line_id for r in mine.withColumn("k", F.lit(1)).join(o.withColumn("k", F.lit(1)), "k")
+                 .where(f"{exact} <= {distance ** 2}").select("line_id").distinct().collect()}
+        assert found == plain == brute and 0 < len(brute) < 300
+        assert compared < 300 * 200
+
+
 def test_copies_are_kept_by_spatial_joins(spark):
     points = crowded(spark)
     line = spark.createDataFrame([(1, 0, 0.0, 650.0, 900.0, 650.0)], "line_id int, seq int, x1 double, y1 double, x2 double, y2 double")
