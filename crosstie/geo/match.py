@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from crosstie.geo.measure import ENDS, num, point_segment_sq, segment_segment_sq
 from crosstie.geo.shapes import CELL, MIN_CELL, cell_of, cell_size, cover_segments, locations, with_cell
-from crosstie.operators.joins import HOT_ROWS, key_join, spread_join
+from crosstie.operators.joins import HOT_ROWS, hot_keys, key_join, spread_join
 from crosstie.session import stored
 
 # Two cells with more entries than this (on average) are halved before their entries are compared one by one.
@@ -25,6 +25,11 @@ CROWD = 128
 # Levels of halving; what they leave undecided is compared one by one.
 DEEPEST = 24
 DEEPEST_LINES = 4
+# Points of a cell beyond which it is cut into FINE x FINE cells (FINE a power of two); metres that cover rounding.
+CROWDED_CELL = 20_000
+FINE = 32
+ROUNDING = 1e-6
+_FINE_CELL = ("_fx", "_fy")
 
 # The nine offsets of a 3 x 3 block.
 _AROUND = "explode(array({})) AS _o".format(", ".join(
@@ -51,23 +56,60 @@ def attach(points: DataFrame, found: DataFrame, x: str = "x", y: str = "y", how:
     return spread_join(points, found, [x, y], how, hot_rows)
 
 
-def _near(points: DataFrame, segments: DataFrame, distance: float, how: str) -> DataFrame:
+def _near(points: DataFrame, segments: DataFrame, distance: float, wanted: str, crowd: int = CROWDED_CELL) -> DataFrame:
+    """Points ``x, y`` with the segments within ``distance``: ``all`` of them, at least the ``nearest`` of
+    each point, or for ``any`` the points alone.
+
+    Points of a cell meet the segments listed under it. Cells of more than ``crowd`` points
+    (a bounded list, counted with a combine) are cut into fine ones first, of which each
+    meets only the segments that ``fine_candidates`` leaves.
+    """
     size = cell_size(distance)
+    how = "left_semi" if wanted == "any" else "inner"
     cover = cover_segments(segments, size, distance)
     exact = f"{point_segment_sq('x', 'y')} <= {num(distance ** 2)}"
-    return cell_join(with_cell(points, size), cover, exact, how)
-
-
-def within_lines(points: DataFrame, segments: DataFrame, distance: float, x: str = "x", y: str = "y") -> DataFrame:
+    placed = with_cell(points, size)
+    hot = hot_keys(placed, CELL, crowd).select(*[f"_h_{c}" for c in CELL], F.lit(True).alias("_crowd"))
+    on = " AND ".join([*(f"{c} = _h_{c}" for c in CELL), "NOT isnan(x)", "NOT isnan(y)"])
+    placed = placed.join(F.broadcast(hot), F.expr(on), "left").drop(*[f"_h_{c}" for c in CELL])
+    plain = cell_join(placed.where("_crowd IS NULL"), cover, exact, how)
+    own = placed.where("_crowd").selectExpr("*", f"{cell_of('x', size / FINE)} AS _fx", f"{cell_of('y', size / FINE)} AS _fy")
+    dense = cell_join(own, fine_candidates(own, cover, distance, wanted), exact, how, _FINE_CELL).drop(*_FINE_CELL)
+    return plain.unionByName(dense).drop("_crowd", *CELL)
+
+
+def fine_candidates(own: DataFrame, cover: DataFrame, distance: float, wanted: str) -> DataFrame:
+    """Segments that the points of each fine cell have to be compared with, under ``_fx, _fy``.
+
+    The distance of a segment to the middle of a cell's points, less and more half the
+    diagonal of their bounds, holds for all of them. Segments out of reach go. The least
+    upper bound of a cell drops those that cannot be the nearest of any point; where it is
+    within ``distance``, any point of the cell has that one segment near.
+    """
+    cells = (own.groupBy(*CELL, *_FINE_CELL).agg(*[F.expr(f"{f}({v}) AS _{v}{end}") for v in "xy" for f, end in (("min", "lo"), ("max", "hi"))])
+             .selectExpr(*CELL, *_FINE_CELL, "(_xlo + _xhi) / 2 AS _px", "(_ylo + _yhi) / 2 AS _py",
+                         f"sqrt(power(_xhi - _xlo, 2) + power(_yhi - _ylo, 2)) / 2 + {num(ROUNDING)} AS _half"))
+    rest = [c for c in cover.columns if c not in CELL]
+    met = (cell_join(cells, cover, "true").selectExpr(*rest, *_FINE_CELL, "_half", f"sqrt({point_segment_sq('_px', '_py')}) AS _middle")
+           .where(f"_middle - _half <= {num(distance)}"))
+    if wanted != "all":
+        bound = met.groupBy(*_FINE_CELL).agg(F.expr("min(_middle + _half) AS _bound"))
+        left = "_middle - _half <= _bound" if wanted == "nearest" else f"_bound > {num(distance)} OR _middle + _half = _bound"
+        met = cell_join(met, bound, left, "inner", _FINE_CELL)
+    return met.select(*rest, *_FINE_CELL)
+
+
+def within_lines(points: DataFrame, segments: DataFrame, distance: float, x: str = "x", y: str = "y",
+                 crowd: int = CROWDED_CELL) -> DataFrame:
     """Points no farther than ``distance`` from any line (each kept once)."""
     renamed = points.withColumnsRenamed({x: "x", y: "y"}) if (x, y) != ("x", "y") else points
-    kept = _near(renamed, segments.select(*ENDS), distance, "left_semi").drop(*CELL)
+    kept = _near(renamed, segments.select(*ENDS), distance, "any", crowd)
     return kept.withColumnsRenamed({"x": x, "y": y}) if (x, y) != ("x", "y") else kept
 
 
 def nearest_line(points: DataFrame, segments: DataFrame, distance: float, attributes: Sequence[str],
                  line: str = "line_id", x: str = "x", y: str = "y", dist_out: str | None = None,
-                 how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+                 how: str = "inner", hot_rows: int = HOT_ROWS, crowd: int = CROWDED_CELL) -> DataFrame:
     """Attributes of the nearest line, for points with a line within ``distance``.
 
     One row per point row; equal distances go to the lowest line id. The inner form
@@ -75,7 +117,7 @@ def nearest_line(points: DataFrame, segments: DataFrame, distance: float, attrib
     passes the filter has its nearest line among the candidates by construction.
     """
     rest = [a for a in attributes if a != line]
-    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner")
+    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "nearest", crowd)
     first = ", ".join([f"{point_segment_sq('x', 'y')} AS _sq", line, *rest])
     best = cand.groupBy("x", "y").agg(F.expr(f"min(struct({first})) AS _b"))
     out = [f"_b.{a} AS {a}" for a in attributes]
@@ -85,10 +127,11 @@ def nearest_line(points: DataFrame, segments: DataFrame, distance: float, attrib
 
 
 def join_within(points: DataFrame, segments: DataFrame, distance: float, attributes: Sequence[str],
-                line: str = "line_id", x: str = "x", y: str = "y", hot_rows: int = HOT_ROWS) -> DataFrame:
+                line: str = "line_id", x: str = "x", y: str = "y", hot_rows: int = HOT_ROWS,
+                crowd: int = CROWDED_CELL) -> DataFrame:
     """One row per (point row, line within ``distance``)."""
     rest = [a for a in attributes if a != line]
-    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "inner")
+    cand = _near(locations(points, x, y), segments.select(line, *rest, *ENDS), distance, "all", crowd)
     pairs = cand.select("x", "y", line, *rest).distinct().select("x", "y", *attributes)
     return attach(points, pairs, x, y, "inner", hot_rows)
 

@@ -107,10 +107,10 @@ def compared_positions(spark, n):
 
 
 def test_neighbour_pairs_grow_less_than_squared(spark):
-    few, many = compared_positions(spark, 40 ** 2), compared_positions(spark, 160 ** 2)
+    few, many = compared_positions(spark, 24 ** 2), compared_positions(spark, 96 ** 2)
     # 16 times the positions: all pairs would be 256 times as many, the cells along the circles are 64 times as many.
     assert many[0] < 80 * few[0] and many[1] < 80 * few[1]
-    assert many[0] < 0.15 * (160 ** 2) ** 2
+    assert many[0] < 0.15 * (96 ** 2) ** 2
 
 
 def test_line_search_halves_crowded_cells(spark, monkeypatch):
@@ -135,6 +135,31 @@ def test_line_search_halves_crowded_cells(spark, monkeypatch):
         assert compared < 300 * 200
 
 
+def test_crowded_cells_meet_few_segments(spark):
+    """One cell with most points and all segments: equal to brute force, with few comparisons."""
+    points = spark.range(2500).selectExpr("id", "(id % 50) * 9.7D + 3 AS x", "floor(id / 50) * 9.7D + 2 AS y").union(
+        spark.sql("SELECT 9000L, 7000D, 7000D UNION ALL SELECT 9001L, CAST('NaN' AS DOUBLE), 3D UNION ALL SELECT 9002L, NULL, 3D"))
+    lines = spark.range(300).selectExpr("CAST(id AS INT) AS line_id", "0 AS seq", "(id * 37) % 491 * 1D AS x1", "(id * 91) % 487 * 1D AS y1",
+                                        "(id * 37) % 491 + 5D AS x2", "(id * 91) % 487 + 4D AS y2")
+    sq = match.point_segment_sq("x", "y")
+    pairs = points.withColumn("k", F.lit(1)).join(lines.withColumn("k", F.lit(1)), "k").selectExpr("id", "line_id", f"{sq} AS sq").where("sq IS NOT NULL AND NOT isnan(sq)").collect()
+    compared = {}
+    for distance in (15.0, 120.0):
+        close = [r for r in pairs if r.sq <= distance ** 2]
+        best = {}
+        for r in sorted(close, key=lambda r: (r.sq, r.line_id)):
+            best.setdefault(r.id, r.line_id)
+        assert {r.id: r.line_id for r in match.nearest_line(points, lines, distance, ["line_id"], crowd=100).collect()} == best
+        assert sorted(r.id for r in match.within_lines(points, lines, distance, crowd=100).collect()) == sorted(best)
+        assert {(r.id, r.line_id) for r in match.join_within(points, lines, distance, ["line_id"], crowd=100).collect()} == {
+            (r.id, r.line_id) for r in close}
+        placed = shapes.with_cell(points.where("NOT isnan(x)"), 500.0).selectExpr("*", "floor(x / 15.625D) AS _fx", "floor(y / 15.625D) AS _fy")
+        cover = shapes.cover_segments(lines, 500.0, distance)
+        for wanted in ("nearest", "any"):
+            compared[distance, wanted] = placed.join(match.fine_candidates(placed, cover, distance, wanted), ["_fx", "_fy"]).count()
+    assert max(compared.values()) < 0.1 * 2500 * 300 and compared[120.0, "any"] <= 2501
+
+
 def test_copies_are_kept_by_spatial_joins(spark):
     points = crowded(spark)
     line = spark.createDataFrame([(1, 0, 0.0, 650.0, 900.0, 650.0)], "line_id int, seq int, x1 double, y1 double, x2 double, y2 double")
