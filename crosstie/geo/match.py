@@ -62,13 +62,16 @@ def _near(points: DataFrame, segments: DataFrame, distance: float, wanted: str,
 
     Points of a cell meet the segments listed under it. Cells of more than ``crowd`` points
     (a bounded list, counted with a combine) are cut into fine ones first, of which each
-    meets only the segments that ``fine_candidates`` leaves.
+    meets only the segments that ``fine_candidates`` leaves. This is planned only if the
+    count finds such a cell; the rows are the same either way.
     """
     size = cell_size(distance)
     how = "left_semi" if wanted == "any" else "inner"
     cover = cover_segments(segments, size, distance)
     exact = f"{point_segment_sq('x', 'y')} <= {num(distance ** 2)}"
     placed = with_cell(points, size)
+    if placed.groupBy(*CELL).count().where(F.col("count") > crowd).isEmpty():
+        return cell_join(placed, cover, exact, how).drop(*CELL)
     hot = hot_keys(placed, CELL, crowd).select(*[f"_h_{c}" for c in CELL], F.lit(True).alias("_crowd"))
     on = " AND ".join([*(f"{c} = _h_{c}" for c in CELL), "NOT isnan(x)", "NOT isnan(y)"])
     placed = placed.join(F.broadcast(hot), F.expr(on), "left").drop(*[f"_h_{c}" for c in CELL])
