@@ -97,3 +97,21 @@ def test_folder_without_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     out = tables.read_dir_strings(spark, str(tmp_path))
     assert out.columns == [] and out.count() == 0
+
+
+def test_first_lines_hold_and_sort_no_lines(spark, tmp_path):
+    """The best value by a number is no plain aggregate of texts, which would sort every line of a task."""
+    for i in range(40):
+        lines = "".join(f"{i},{j}\n" for j in range(500))
+        (tmp_path / f"f{i:02d}.csv").write_text("\n" * (i % 3) + f"k,{'xyz'[i % 3]}\n" + lines)
+    (tmp_path / "long.csv").write_text("k,x\n" + "9,9\n" * 20000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = tables.first_lines(spark, str(tmp_path))
+        got = {r.path.rsplit("/", 1)[1]: r.first_line for r in found.collect()}
+        assert got == {f"f{i:02d}.csv": f"k,{'xyz'[i % 3]}" for i in range(40)} | {"long.csv": "k,x"}
+        assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+        assert tables.read_dir_strings(spark, str(tmp_path)).count() == 40 * 500 + 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
