@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import texts_of
+from crosstie.llm.common import texts_in_turn
 from crosstie.llm.tokens import encoder
 from crosstie.session import stored
 
@@ -81,7 +81,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
         for batch in batches:
             bins = bins or BestFit(length, open_bins, TaskContext.get().partitionId() * PER_TASK)
             rows, of = [], []
-            for i, t in enumerate(texts_of(batch.column(1))):
+            for i, t in enumerate(texts_in_turn(batch.column(1))):
                 raw = coder.encode(t) + end
                 for piece, at in enumerate(range(0, len(raw), 4 * length)):
                     part = raw[at:at + 4 * length]

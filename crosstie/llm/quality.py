@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import HOT_ROWS, texts_of, unused
+from crosstie.llm.common import HOT_ROWS, texts_in_turn, unused
 from crosstie.operators.joins import spread_join
 from crosstie.session import stored
 
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in texts_of(batch.column(3))]
+            found = [measure(t) for t in texts_in_turn(batch.column(3))]
             values = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *values], names)
 

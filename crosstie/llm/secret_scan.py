@@ -119,8 +119,10 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     Per block, rule and alternative the postings of all its trigrams are intersected; the
     alternatives of a rule are united. The queries are a table of the program's own rules.
     """
-    wanted = [(n, alt, gram, len(grams)) for n, q in queries.items() for alt, grams in enumerate(q) for gram in sorted(grams)]
-    table = index.sparkSession.createDataFrame(wanted, "rule int, alt int, gram string, need int")
+    wanted = [F.struct(F.lit(n).alias("rule"), F.lit(alt).alias("alt"), F.lit(gram).alias("gram"), F.lit(len(grams)).alias("need"))
+              for n, q in queries.items() for alt, grams in enumerate(q) for gram in sorted(grams)]
+    # A list of literals: rows made from Python objects would start a second set of Python workers beside that of the other stages.
+    table = index.sparkSession.range(1).select(F.inline(F.array(*wanted)))
     lists = (index.join(F.broadcast(table), "gram").groupBy("block", "rule", "alt")
              .agg(F.collect_list("keys").alias("lists"), F.first("need").alias("need")).where(F.size("lists") == F.col("need")))
     common = F.aggregate(F.slice("lists", 2, F.col("need")), F.get("lists", F.lit(0)), F.array_intersect)
