@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from crosstie.llm.common import texts_of
 
-# Characters of all words that a worker remembers and of the longest; when full, it starts anew
-# (a matter of speed only). Ids take a few bytes for each character, so this bounds the memory.
+# Characters of all words that a worker remembers and of the longest; when half of it is full, the half
+# before is forgotten (a matter of speed only). Ids take a few bytes for each character, so this bounds the memory.
 MOST_KNOWN = 16_000_000
 LONGEST_KNOWN = 64
 # Pairs of neighbouring tokens that a worker remembers.
@@ -36,28 +36,36 @@ MOST_PAIRS = 1_000_000
 
 # White space other than single spaces and line feeds between words: there the pattern looks further than one character.
 UNUSUAL = ["\0", "  ", "\n\n", " \n", "\n ", *filter(str.isspace, map(chr, [*range(9, 10), *range(11, 32), *range(127, 0x3001)]))]
+UNUSUAL_ASCII = [*filter(str.isascii, UNUSUAL)]
 
 
 def words(text: str) -> list[str]:
     """Parts that the pattern never joins: cut at single spaces and line feeds between words, else the whole text."""
     if not text:
         return []
-    if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNUSUAL)):
+    if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNUSUAL_ASCII if text.isascii() else UNUSUAL)):
         return [text]
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 class Known(dict):
-    """Words with their ids; a new word is encoded when it is first asked for and kept if it is short."""
+    """Words with their ids; a new word is encoded when it is first asked for and kept if it is short.
+
+    Words are kept in two generations of half the size. When the newer is full, the older is forgotten;
+    what is still in use moves on to the newer when it is asked for, so common words are not encoded again.
+    """
 
     def __init__(self, learn, most: int = MOST_KNOWN, longest: int = LONGEST_KNOWN):
         super().__init__()
-        self.learn, self.most, self.longest, self.size = learn, most, longest, 0
+        self.learn, self.most, self.longest, self.size, self.older = learn, most, longest, 0, {}
 
     def __missing__(self, word):
-        found = self.learn(word)
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self.learn(word)
         if len(word) <= self.longest:
-            if self.size > self.most:
+            if 2 * self.size > self.most:
+                self.older = dict(self)
                 self.clear()
                 self.size = 0
             self[word] = found

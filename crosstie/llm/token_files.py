@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import texts_of
+from crosstie.llm.common import texts_in_turn
 from crosstie.llm.tokens import encoder
 from crosstie.session import scratch_path
 
@@ -48,7 +48,7 @@ def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, at, end = encoder(vocabulary, True), 0, end_id.to_bytes(4, "little")
         for batch in batches:
-            raw = [coder.encode(t) + end for t in texts_of(batch.column(1))]
+            raw = [coder.encode(t) + end for t in texts_in_turn(batch.column(1))]
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(raw))])

@@ -20,6 +20,8 @@ from crosstie.llm.byte_bpe import Known, words
 # The patterns of the two pre-tokenizers (white space is dropped by the second).
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+# Marks that are a piece of their own at the end of a word.
+MARKS = ",.;:!?"
 # First character after the Latin letters whose case and classes all Unicode versions agree on.
 AFTER_LATIN = "ɐ"
 
@@ -45,6 +47,7 @@ class Encoder:
         self.spaced = spaced
         self.pieces = regex.compile(SPACED_PATTERN if spaced else WORD_PATTERN).findall
         self.letters = byte_letters()
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known = Known(self.learn)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -58,15 +61,25 @@ class Encoder:
         found = words(text)
         return found if len(found) != 1 or text.isalpha() else None
 
+    def split(self, plain: str) -> list[str]:
+        """The pre-tokenizer's pieces of Latin text; letters with at most one mark behind them need no pattern."""
+        word = plain.removeprefix(" ") if self.spaced else plain
+        if word.isalpha():
+            return [plain]
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            return [plain[:-1], plain[-1]]
+        return self.pieces(plain)
+
     def learn(self, chunk: str) -> bytes:
-        if max(chunk, default="") >= AFTER_LATIN:
+        latin = chunk.isascii()
+        if not latin and max(chunk) >= AFTER_LATIN:
             return self.whole([chunk])[0]
-        plain = chunk if self.spaced else normalize("NFC", chunk).lower()
-        pieces = self.pieces(plain)
+        plain = chunk if self.spaced else chunk.lower() if latin else normalize("NFC", chunk).lower()
+        pieces = self.split(plain)
         if pieces != [chunk]:
             return b"".join(map(self.known.__getitem__, pieces))
-        mapped = chunk.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        mapped = (chunk if latin else chunk.encode().decode("latin-1")).translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
 
     def encode(self, text: str) -> bytes:
         chunks = self.chunks(text)

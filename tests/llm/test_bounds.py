@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crosstie.llm import byte_bpe, common, html_text, order_minhash, packing, token_files, tokens, warc_zip
+from crosstie.llm import byte_bpe, common, html_text, order_minhash, packing, secret_scan, token_files, tokens, warc_zip
 
 TEXTS = [f"text number {i} " + "word " * (i % 7) for i in range(60)]
 
@@ -30,6 +30,37 @@ def test_long_words_are_not_kept():
         assert sum(len(w) + 8 for w in known) <= 100 + 16
 
 
+def test_common_words_are_encoded_once():
+    """A full memory forgets what was not asked for lately, not all of it."""
+    asked = []
+    known = byte_bpe.Known(lambda w: asked.append(w) or w, most=400, longest=8)
+    for i in range(500):
+        assert known["the"] == "the" and known[f"w{i}"] == f"w{i}"
+        assert sum(len(w) + 8 for w in {**known, **known.older}) <= 400 + 32
+    assert asked.count("the") == 1 and len(asked) == 501
+
+
+def test_short_ways_of_the_encoder_follow_the_library():
+    """Letters with a mark behind them skip the pattern; ids are those of the whole pipeline."""
+    for path, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder = tokens.Encoder(public_tokenizers.path(path), spaced)
+        for w in ["tion", "tion.", "tion;", "é!", "Été?", "ĳ:", "ªº", "İx", "ŉ.", "ß", "a1.", "a..", "'s", "'s.", "x's", "s'", ".", "..", "a-b", "ab,c", "AB."]:
+            for plain in (w, " " + w, w + " " + w):
+                assert coder.encode(plain) == coder.whole([plain])[0], plain
+            assert coder.split(w) == coder.pieces(w) and (not spaced or coder.split(" " + w) == coder.pieces(" " + w)), w
+
+
+def test_pipeline_starts_one_set_of_python_workers(spark, docs):
+    """Rows made from Python objects are read back by workers of their own, beside those of the operators."""
+    df = spark.createDataFrame([(1, "password = abcdefgh1")], "doc_id bigint, text string")
+    rows = secret_scan._keyed(df, "doc_id", "text").select("text", "key")
+    grams = {0: [frozenset({"pas", "ass"})], 1: [frozenset({"tok"}), frozenset({"wor"})]}
+    found = secret_scan.candidates(secret_scan.trigram_index(rows, ["ass", "pas", "tok", "wor"]), grams)
+    assert [sorted(r.rules) for r in found.collect()] == [[0, 1]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 1  # the test's own rows
+
+
 def test_texts_with_unusual_space_are_not_kept():
     coder = byte_bpe.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     both = [coder, tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"), True), tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False)]
