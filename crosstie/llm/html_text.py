@@ -2,16 +2,19 @@
 
 Markup settles most blocks: what stands in an article is text; menus, footers, forms and
 the like are not. The other blocks of a page (those without a telling element) are judged
-by the host's suffix array: the token streams of its pages are concatenated, and a run of
+by the host's suffix array: the token streams of its pages are concatenated, that of a page's frame (all
+blocks outside of articles) and that of its articles, and a run of
 tokens that begins in suffixes of two or more distinct pages with a common prefix of
-``RUN`` tokens or more is boilerplate. Its tokens are removed, the unique runs stay. A run that
+``RUN`` tokens or more is boilerplate. Its tokens are removed, the unique runs stay; so does an article's text, repeated or not. A run that
 reaches into a block from its neighbour by fewer than ``RUN`` tokens and ends there only
 shares the block's first or last words with it; those stay.
 
-A host may hold a third of all pages, so its suffix array is not built in one task: the
-suffixes, cut to their first ``RUN`` tokens, are shuffled by host and prefix. Equal
+A host may hold a third of all pages, so its suffix array is not built in one task. Suffixes are cut to their first
+``RUN`` tokens; a longer run is a chain of such prefixes. Short keys of all suffixes of all pages are sorted bucket by bucket; those that
+stand twice, and in a block to be judged, go into a bit set. The
+suffixes it holds are shuffled by host and whole prefix. Equal
 prefixes are then one interval of the array; the interval's least and greatest page tell
-whether distinct pages share it, and both combine before the shuffle.
+whether distinct pages share it, and both combine before the shuffle. What passes the bit set by chance forms no interval of distinct pages.
 """
 
 from __future__ import annotations
@@ -20,16 +23,21 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import HOT_ROWS, texts_of
+from crosstie.llm.common import HOT_ROWS, BitSet, bit_set, grouped, mixed, sorted_groups, texts_of
 from crosstie.operators.joins import spread_join
-from crosstie.session import stored
+from crosstie.session import discard, stored
 
 RUN = 8
+# Bits of a suffix's short key, keys that a task holds before it sends them, pages parsed at a time.
+KEY_BITS, HELD, SLICE = 40, 1 << 21, 256
+# Bytes of html whose suffixes make a bucket of sorted keys, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 # Fixed values of the HTML vocabulary.
 RAW = "script|style|template|noscript|iframe|svg|textarea|select|button|object|canvas|math"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -146,46 +154,148 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower()
 
 
-def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", run: int = RUN) -> DataFrame:
+class Parsed:
+    """A page's article text (None without an article), its undecided blocks (only without) and its token streams.
+
+    ``tokens`` holds the frame's stream (``cut`` tokens) and then the articles'; ``places`` the number of
+    each token of the frame among the tokens of ``rest``, or -1.
+    """
+
+    def __init__(self, page: str, url: str | None):
+        found = blocks(page)
+        self.host = host_of(url)
+        self.text = " ".join([t for z, t in found if z == "in"]) or None
+        self.rest = [t for z, t in found if not z] if self.text is None else []
+        self.tokens, self.places, n = [], [], 0
+        for z, t in found:
+            if z != "in":
+                words = t.split(" ")
+                mine = self.text is None and not z
+                self.tokens += words
+                self.places += range(n, n + len(words)) if mine else [-1] * len(words)
+                n += len(words) * mine
+        self.cut = len(self.tokens)
+        if self.text is not None:
+            self.tokens += self.text.split(" ")
+
+
+def parsed_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[Parsed]]]:
+    """Some rows of a batch at a time (``html`` and ``url`` are its first columns), with their parsed form."""
+    for i in range(0, batch.num_rows, SLICE):
+        rows = batch.slice(i, SLICE)
+        yield rows, [Parsed(p, u) for p, u in zip(texts_of(rows.column(0)), rows.column(1).to_pylist(), strict=True)]
+
+
+def suffix_keys(pages: list[Parsed], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Short keys of the host and the first ``run`` tokens of all suffixes that have them, with their page's number and their first token's."""
+    sizes = np.array([n for p in pages for n in (p.cut, len(p.tokens) - p.cut)], np.int64)
+    codes = np.array([c for p in pages for c in map(xxhash.xxh3_64_intdigest, p.tokens)], np.uint64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(pages)), sizes.reshape(-1, 2).sum(axis=1))
+    keys = np.array([xxhash.xxh3_64_intdigest(p.host) for p in pages], np.uint64)[owner]
+    n = max(len(codes) - run + 1, 0)
+    keys, owner = keys[:n], owner[:n]
+    for j in range(run):
+        keys = mixed(keys, codes[j:n + j])
+    at = np.flatnonzero((np.repeat(ends, sizes) - np.arange(len(codes)))[:n] >= run)
+    owner = owner[at]
+    return keys[at] >> np.uint64(64 - KEY_BITS), owner, at - np.concatenate([[0], ends[1::2]])[owner]
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, by planes of bytes of which the high ones are nearly empty."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(n: int, data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def keys_found_twice(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """Short keys (``key``) of suffixes that stand in two or more places of a host's pages and in a block to be judged.
+
+    All suffixes' keys are dealt over buckets by their first bits and sorted there.
+    """
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n_buckets = max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
+    firsts = np.arange(n_buckets + 1, dtype=np.uint64) * np.uint64((1 << KEY_BITS) // n_buckets)
+    names = ["bucket", "n", "keys", "asked"]
+
+    def send(held: list[np.ndarray], asked: bool) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        if not asked:
+            keys = np.repeat(keys, np.minimum(counts, 2))
+        bounds = np.searchsorted(keys, firsts).tolist()
+        rows = [(b, y - x, packed(keys[x:y]), asked) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for _, found in parsed_slices(batch):
+                keys, owner, at = suffix_keys(found, run)
+                # Pages with blocks to be judged have no article, so each of their tokens has a place.
+                sizes = [len(p.places) if p.rest else 0 for p in found]
+                firsts_of = np.cumsum([0, *sizes[:-1]])
+                places = np.array([i for p in found if p.rest for i in p.places], np.int64)
+                on = np.flatnonzero(np.array(sizes)[owner] > 0)
+                held.append(keys)
+                asked.append(keys[on[places[(firsts_of[owner] + at)[on]] >= 0]])
+                n += len(keys)
+                if n > HELD:
+                    yield from send(held, False)
+                    yield from send(asked, True)
+                    held, asked, n = held[:1], asked[:1], 0
+        yield from send(held, False)
+        yield from send(asked, True)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in sorted_groups(batches, ["bucket"]):
+            keys, asked = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpacked(r["n"], r["keys"]) for r in rows if r["asked"] == a)])) for a in (False, True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.intersect1d(keys[1:][keys[1:] == keys[:-1]], asked).astype(np.int64))], ["key"])
+
+    dealt = pages.select("html", "url").mapInArrow(deal, "bucket int, n bigint, keys binary, asked boolean")
+    return grouped(dealt, ["bucket"]).mapInArrow(merge, "key bigint")
+
+
+def parsed(pages: DataFrame, seen: tuple[int, dict[int, bytes]], run: int = RUN) -> DataFrame:
     """Each page's article text (missing without an article) and what its host's suffix array needs.
 
     ``rest`` holds the undecided blocks of a page without article, ``suffixes`` the hashes of
-    the first ``run`` tokens of every suffix of the tokens outside of articles, ``places`` the
+    the first ``run`` tokens of those suffixes of all its tokens that the bit set holds, ``places`` the
     number of such a suffix's first token among the tokens of ``rest``, or -1.
     """
-    kind = pages.schema[page_id].dataType.simpleString()
+    kind = pages.schema["page_id"].dataType.simpleString()
     names = ["page_id", "url", "page", "host", "text", "rest", "suffixes", "places"]
     schema = (f"page_id {kind}, url string, page bigint, host string, text string, rest array<string>, "
               "suffixes array<struct<g1:bigint,g2:bigint>>, places array<int>")
     gram = pa.struct([("g1", pa.int64()), ("g2", pa.int64())])
 
-    def one(page: str, url: str | None):
-        found = blocks(page)
-        text = " ".join([t for z, t in found if z == "in"]) or None
-        rest = [t for z, t in found if not z] if text is None else []
-        tokens, places, n = [], [], 0
-        for z, t in found:
-            if z != "in":
-                words = t.split(" ")
-                mine = text is None and not z
-                tokens += words
-                places += range(n, n + len(words)) if mine else [-1] * len(words)
-                n += len(words) * mine
-        hashes = [xxhash.xxh3_128_digest("\0".join(tokens[i:i + run])) for i in range(len(tokens) - run + 1)]
+    def one(page: Parsed, begins: list[int]):
+        hashes = [xxhash.xxh3_128_digest("\0".join(page.tokens[i:i + run])) for i in begins]
         pairs = [{"g1": int.from_bytes(h[:8], "little", signed=True), "g2": int.from_bytes(h[8:], "little", signed=True)} for h in hashes]
         # A run of the page counts from each of its places, those of other blocks serve as evidence only.
-        return host_of(url), text, rest, pairs, places[:len(pairs)]
+        return page.host, page.text, page.rest, pairs, [page.places[i] if i < page.cut else -1 for i in begins]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = BitSet(seen)
         for batch in batches:
-            rows = [one(p, u) for p, u in zip(texts_of(batch.column(3)), batch.column(1).to_pylist(), strict=True)]
-            host, text, rest, suffixes, places = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(host, pa.string()), pa.array(text, pa.string()),
-                 pa.array(rest, pa.list_(pa.string())), pa.array(suffixes, pa.list_(gram)), pa.array(places, pa.list_(pa.int32()))], names)
+            for rows, found in parsed_slices(batch):
+                begins: list[list[int]] = [[] for _ in found]
+                if seen[1]:
+                    keys, owner, at = suffix_keys(found, run)
+                    on = bits.has(mixed(np.uint64(0), keys))
+                    for p, i in zip(owner[on].tolist(), at[on].tolist(), strict=True):
+                        begins[p].append(i)
+                host, text, rest, suffixes, places = zip(*map(one, found, begins), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(2), rows.column(1), rows.column(3), pa.array(host, pa.string()), pa.array(text, pa.string()),
+                     pa.array(rest, pa.list_(pa.string())), pa.array(suffixes, pa.list_(gram)), pa.array(places, pa.list_(pa.int32()))], names)
 
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.xxhash64(page_id, url, html).alias("page"),
-                        F.col(html).alias("html")).mapInArrow(work, schema)
+    return pages.select("html", "url", "page_id", "page").mapInArrow(work, schema)
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
@@ -227,7 +337,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     count as one page and each gets the text. An empty table gives an empty result; other
     columns are ignored.
     """
-    pages = stored(parsed(pages, page_id, url, html, run), "parsed")
+    pages = pages.select(F.col(html).alias("html"), F.col(url).alias("url"), F.col(page_id).alias("page_id"), F.xxhash64(page_id, url, html).alias("page"))
+    twice = stored(keys_found_twice(pages, run), "keys")
+    seen = bit_set(twice.select(F.array("key").alias("key")))
+    discard(twice)
+    pages = stored(parsed(pages, seen, run), "parsed", "zstd")
     settled = pages.where(F.col("text").isNotNull()).select("page_id", "url", "text")
     open_pages = pages.where(F.col("text").isNull())
     own = (open_pages.select("page", "host", F.explode(F.arrays_zip("suffixes", "places")).alias("s"))

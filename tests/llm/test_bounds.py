@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -219,3 +220,72 @@ def test_signatures_equal_a_plain_version(spark):
     for (i, j), r in zip(pairs, likes, strict=True):
         used = [(x, y) for x, y in zip(signs[i], signs[j], strict=True) if x is not None or y is not None]
         assert r.l == (sum(x == y for x, y in used) / len(used) if used else 1.0)
+
+
+# Suffix arrays of hosts
+
+def plain_repeats(pages, run):
+    """Of each page, the tokens of its frame in repeated runs, by sorted suffixes of whole streams and their common prefixes."""
+    suffixes, repeated = collections.defaultdict(list), collections.defaultdict(set)
+    for n, (_, url, page) in enumerate(pages):
+        found = html_text.blocks(page)
+        for framed in (True, False):
+            tokens = [w for z, t in found if (z != "in") == framed for w in t.split(" ")]
+            suffixes[html_text.host_of(url)] += [(tokens[i:], n, framed, i) for i in range(len(tokens))]
+    for array in suffixes.values():
+        group = []
+        for s in [*sorted(array), ([], -1, False, 0)]:
+            if group and (len(s[0]) < run or s[0][:run] != group[-1][0][:run]):
+                if len({n for _, n, _, _ in group}) > 1:
+                    for _, n, framed, i in group:
+                        repeated[n, framed].update(range(i, i + run))
+                group = []
+            if len(s[0]) >= run:
+                group.append(s)
+    return repeated
+
+
+def random_pages(seed=5):
+    rng = random.Random(seed)
+    parts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(12)]
+    pages = []
+    for i in range(80):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            text = " ".join(rng.choices(parts, k=rng.randrange(1, 3)) + rng.choices("abcdefgh", k=rng.randrange(4)))
+            out.append(("<article>%s</article><nav>%s</nav>" % (text, text[:9]) if i % 2 else "<div>%s</div>" % text))
+        pages.append((i, f"http://h{i % 3}.example/{i}", "".join(out)))
+    return pages
+
+
+def test_all_tokens_enter_the_suffix_arrays_of_their_hosts(spark):
+    common.importable(spark)
+    pages, run = random_pages(), 6
+    repeated = plain_repeats(pages, run)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in html_text.main_text(df, run=run).collect()}
+    cut = 0
+    for n, (i, _, page) in enumerate(pages):
+        rest, gone = [t for _, t in html_text.blocks(page)], repeated[n, True]
+        if i % 2:
+            assert found[i] == " ".join(t for z, t in html_text.blocks(page) if z == "in")
+        else:
+            assert found[i] == html_text.unique_text(rest, [p for p in gone if set(range(p, p + run)) <= gone], run)
+            cut += found[i] != " ".join(rest)
+    assert 10 < cut < 40 and len(found) == len(pages)
+
+
+def test_articles_are_evidence_and_stay_whole(spark):
+    common.importable(spark)
+    passage = "one two three four five six seven eight nine"
+    pages = [(i, f"http://h.example/{i}", f"<nav>Home</nav><article><p>{w}</p><p>{passage}</p></article>") for i, w in enumerate(["Red", "Blue"])]
+    pages += [(2, "http://h.example/2", f"<div>Own words</div><div>{passage}</div>"), (3, "http://other.example/", f"<div>{passage}</div>")] * 2
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html_text.main_text(df).collect()) == [
+        (0, f"Red {passage}"), (1, f"Blue {passage}"), (2, "Own words"), (2, "Own words"), (3, passage), (3, passage)]
+
+
+def test_keys_are_unpacked_as_packed():
+    for keys in ([], [0], [0, 0, 5, 1 << 39, 1 << 39]):
+        keys = np.array(keys, np.uint64)
+        assert (html_text.unpacked(len(keys), html_text.packed(keys)) == keys).all()
