@@ -10,8 +10,10 @@ its last wanted score is above the bound of all words not yet expanded.
 
 Words are named by 64-bit hashes. The texts are split once and stored as arrays of names, with
 zeros for rare words and for the ends of pieces; every count is a scan of these arrays that
-combines in the task before the shuffle. Which phrases a scan looks for is told by a bit set
-of fixed size: what passes it by chance is removed afterwards by an exact join.
+combines in the task before the shuffle. The arrays are stored compressed and unpacked one by
+one in the task, so that Spark never holds the names of a file at length. Which phrases a scan
+looks for is told by a bit set of fixed size: what passes it by chance is removed afterwards by
+an exact join.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ GROWTH = 32
 MOST_KNOWN = 300_000
 ROW_BYTES = 1 << 19
 AT_ONCE = 1 << 20
+# Phrases of a batch that a task returns: batches stand in full in the task and in the executor.
+MOST_SENT = 1 << 15
+# The names are written in small row groups and pages, which the scans read as a whole.
+SMALL_GROUPS = {"parquet.block.size": 1 << 22, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 _SPLIT = bytes(0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -129,8 +135,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "lang string, word binary, name bigint, f bigint")
 
 
+def packed(names: np.ndarray) -> bytes:
+    """An array of names, compressed; only tasks unpack it."""
+    return pa.Codec("zstd", compression_level=3).compress(names.tobytes(), asbytes=True)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The arrays of names (column 0, their sizes in column 1), one at a time."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for data, size in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            yield np.frombuffer(codec.decompress(data.as_buffer(), decompressed_size=8 * size), np.int64)
+
+
 def encoded(texts: DataFrame, frequent) -> DataFrame:
-    """``names``: the texts as 64-bit names, zero for words outside ``frequent`` and between pieces; no row cuts a piece."""
+    """``names``: the texts as 64-bit names (``packed``, ``size`` of them), zero for words outside ``frequent`` and between pieces; no row cuts a piece."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = BitSet(frequent.value)
@@ -148,24 +167,24 @@ def encoded(texts: DataFrame, frequent) -> DataFrame:
             names = before[numbers]
             gap = names == 0
             names = names[~(gap & np.concatenate([[True], gap[:-1]]))]
-            yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()], pa.binary())], ["names"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed(names)], pa.binary()), pa.array([len(names)], pa.int64())], ["names", "size"])
             if sum(len(k.of) for k in known.values()) > MOST_KNOWN:
                 known.clear()
                 named.clear()
 
-    return texts.mapInArrow(work, "names binary")
+    return texts.mapInArrow(work, "names binary, size bigint")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Several stored rows as one array, a zero before and after each."""
     waiting, size = [np.zeros(1, np.int64)], 0
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            waiting += [np.frombuffer(data, np.int64), np.zeros(1, np.int64)]
-            size += len(data) // 8
-            if size >= AT_ONCE:
-                yield np.concatenate(waiting)
-                waiting, size = [np.zeros(1, np.int64)], 0
+    for names in unpacked(batches):
+        waiting += [names, np.zeros(1, np.int64)]
+        size += len(names)
+        if size >= AT_ONCE:
+            names = np.concatenate(waiting)
+            waiting, size = [np.zeros(1, np.int64)], 0
+            yield names
     if size:
         yield np.concatenate(waiting)
 
@@ -205,6 +224,13 @@ def _phrases(names: np.ndarray, first: np.ndarray, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * size), pa.array(values))
 
 
+def _sent(names: np.ndarray, first: np.ndarray, size: int, measures: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The phrases of ``size`` names at the places with their measures, some at a time."""
+    for i in range(0, len(first), MOST_SENT):
+        some = slice(i, i + MOST_SENT)
+        yield pa.RecordBatch.from_arrays([_phrases(names, first[some], size), *[pa.array(m[some]) for m in measures.values()]], ["codes", *measures])
+
+
 def grown(corpus: DataFrame, prefixes, base: int, longest: int, least: int) -> DataFrame:
     """``codes`` and count ``a`` of the phrases of ``base`` + 1 to ``longest`` words on the given prefixes, at least ``least`` times."""
 
@@ -214,7 +240,7 @@ def grown(corpus: DataFrame, prefixes, base: int, longest: int, least: int) -> D
             for size, at in _found(names, base, longest, wanted, False):
                 if len(at):
                     group, first = _groups(names, at, size)
-                    yield pa.RecordBatch.from_arrays([_phrases(names, first, size), pa.array(np.bincount(group))], ["codes", "a"])
+                    yield from _sent(names, first, size, {"a": np.bincount(group)})
 
     # Plain columns are narrower in the shuffle than arrays.
     cols = [f"c{i}" for i in range(longest)]
@@ -229,7 +255,6 @@ def measured(corpus: DataFrame, phrases: DataFrame, wanted, longest: int) -> Dat
     ``alone`` is false when the same frequent word stands before, or after, every occurrence
     within its piece: then the longer phrase occurs as often.
     """
-    names_ = ["codes", "a", "b1", "b2", "n1", "n2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = BitSet(wanted.value)
@@ -238,13 +263,13 @@ def measured(corpus: DataFrame, phrases: DataFrame, wanted, longest: int) -> Dat
                 if not len(at):
                     continue
                 group, first = _groups(names, at, size)
-                columns = [_phrases(names, first, size), pa.array(np.bincount(group))]
-                for side in (names[at - 1], names[at + size]):
+                measures = {"a": np.bincount(group)}
+                for column, side in (("b", names[at - 1]), ("n", names[at + size])):
                     low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
                     np.minimum.at(low, group, side)
                     np.maximum.at(high, group, side)
-                    columns += [pa.array(low), pa.array(high)]
-                yield pa.RecordBatch.from_arrays(columns, names_)
+                    measures |= {f"{column}1": low, f"{column}2": high}
+                yield from _sent(names, first, size, measures)
 
     parts = corpus.mapInArrow(work, "codes array<bigint>, a bigint, b1 bigint, b2 bigint, n1 bigint, n2 bigint")
     total = parts.groupBy("codes").agg(F.sum("a").alias("a"), F.min("b1").alias("b1"), F.max("b2").alias("b2"),
@@ -283,9 +308,10 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     texts = _texts(docs, lang, text)
     every = stored(word_counts(texts), "word-counts")
     totals = stored(every.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
-    words = stored(every.groupBy("lang", "word", "name").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "words")
+    # Few rows of a wide shuffle are left here and below: ``rebalance`` keeps them from lying in a tiny file for each of its tasks.
+    words = stored(every.groupBy("lang", "word", "name").agg(F.sum("f").alias("f")).where(F.col("f") >= least).hint("rebalance"), "words")
     one = F.array("name").alias("codes")
-    corpus = stored(encoded(texts, sc.broadcast(bit_set(words.select(one)))), "names", "zstd")
+    corpus = stored(encoded(texts, sc.broadcast(bit_set(words.select(one)))), "names", "uncompressed", SMALL_GROUPS)
     known = words.select(one, "f")
     # Languages are few: one row each.
     open_ = totals
@@ -297,7 +323,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
         found = None
         prefixes, base = firsts.select(one), 1
         for upto in ([2, 3, longest] if longest > 3 else range(2, longest + 1)):
-            new = stored(grown(corpus, sc.broadcast(bit_set(prefixes)), base, upto, least), "grown")
+            new = stored(grown(corpus, sc.broadcast(bit_set(prefixes)), base, upto, least).hint("rebalance"), "grown")
             found = new if found is None else found.union(new)
             prefixes, base = new.where(F.size("codes") == upto).select("codes"), upto
         first = F.get("codes", F.lit(0)).alias("name")
@@ -306,7 +332,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
         parts = F.explode(F.transform(F.sequence(F.lit(1), F.size("codes") - 1),
                                       lambda k: F.slice("codes", k, F.size("codes") - k + 1))).alias("codes")
         needed = stored(candidates.select(parts).distinct(), "needed")
-        counts = stored(measured(corpus, needed, sc.broadcast(bit_set(needed)), longest), "counts")
+        counts = stored(measured(corpus, needed, sc.broadcast(bit_set(needed)), longest).hint("rebalance"), "counts")
         rated = scored(candidates.select("codes", "a", "n"), counts.select("codes", F.col("a").alias("f")).union(known))
         alone = (F.size("codes") == longest) | F.col("alone")
         kept = rated.join(counts.select("codes", "alone"), "codes").where(alone)

@@ -5,11 +5,15 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from crosstie.llm import centroids, collocations, common, decontaminate
+from crosstie.session import stored
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -140,6 +144,30 @@ def test_phrases_equal_plain_ones(spark, least, wanted, growth):
     assert found
 
 
+def test_scans_hold_little_at_once(spark):
+    """The stored names are small, in small row groups, and come back as they were; phrases leave a task in small batches."""
+    lines = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in range(3000)]
+    texts = spark.createDataFrame([("en", "\n".join(lines[i % 7:])) for i in range(40)], "lang string, text string").coalesce(1)
+    sc = spark.sparkContext
+    one = collocations.word_counts(texts).select(F.array("name").alias("codes")).distinct()
+    corpus = stored(collocations.encoded(texts, sc.broadcast(common.bit_set(one))), "names", "uncompressed", collocations.SMALL_GROUPS)
+    (file,) = Path(corpus.scratch.removeprefix("file:")).glob("*.parquet")
+    rows = pq.read_table(file)
+    names = list(collocations.unpacked(rows.to_batches()))
+    n = sum(int(np.count_nonzero(x)) for x in names)
+    assert n == sum(60 * (3000 - i % 7) for i in range(40))
+    assert 4 * rows.column("names").nbytes < 8 * n
+    found = collocations.grown(corpus, sc.broadcast(common.bit_set(one)), 1, 2, 1).collect()
+    assert sum(r.a for r in found) == n - n // 60
+    groups = pq.ParquetFile(file).metadata
+    assert all(groups.row_group(i).total_byte_size < 3 * collocations.SMALL_GROUPS["parquet.block.size"] for i in range(groups.num_row_groups))
+
+    many = np.arange(1, 2 * collocations.MOST_SENT + 10)
+    sent = list(collocations._sent(many, np.arange(len(many) - 1), 2, {"a": many[:-1]}))
+    assert max(b.num_rows for b in sent) <= collocations.MOST_SENT
+    assert [r for b in sent for r in b.to_pylist()] == [{"codes": [i, i + 1], "a": i} for i in many[:-1].tolist()]
+
+
 def test_no_phrases(spark):
     df = spark.createDataFrame([("en", "few words"), (None, None)], "lang string, text string")
     assert collocations.collocations(df).count() == 0
